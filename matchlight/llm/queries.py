@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ngram_join
+from . import bpe, ngram_join, packing, toxicity
 from .common import table
 
 
@@ -15,8 +17,30 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_copies(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximal-scoring segments; the fifth of crc32(doc_id) mod 5 = 0 is held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = toxicity.score(docs.select("doc_id", "text"), toxicity.fit(docs, labels))
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+def op7_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of the word-level BPE file, as digests."""
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op8_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of 2048 ids of the byte-level BPE file."""
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return packing.pack(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, {"<|endoftext|>": 50256})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op4_toxicity": op4_toxicity,
+    "op7_bpe_automaton": op7_bpe_automaton,
+    "op8_harmonic_packing": op8_harmonic_packing,
 }
 
 ORACLES: dict[str, str] = {}
