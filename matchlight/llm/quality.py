@@ -27,21 +27,17 @@ MIN_COVER = 8
 #: Share of rejected rows of the pruning third that must be labelled bad.
 MIN_PRECISION = 0.9
 
-WORD = r"[^\x20\x09-\x0D]+"
-SPACES = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Different repeated windows up to which they are looked up one by one.
+FEW_REPEATS = 12
 #: Statistics that rules may use, as shares so that they do not depend on length.
 FEATURES: dict[str, str] = {
     "symbols_per_word": "n_symbols / n_words",
     "bangs_per_word": "n_bangs / n_words",
     "upper_share": "n_upper / word_chars",
-    "digit_share": "n_digits / word_chars",
     "chars_per_word": "word_chars / n_words",
-    "distinct_share": "n_distinct / n_words",
+    "distinct_share": "n_windows / n_words",
     "repeat_share": "n_repeat_words / n_words",
     "dup_line_share": "n_dup_lines / n_lines",
-    "stops_per_word": "n_stops / n_words",
 }
 
 
@@ -59,11 +55,6 @@ class Condition:
 Rule = tuple[Condition, ...]
 
 
-def _less(text: Column, characters: str) -> Column:
-    """How many of ``characters`` the text holds."""
-    return (F.char_length(text) - F.char_length(F.translate(text, characters, ""))).cast("long")
-
-
 def statistics(docs: DataFrame) -> DataFrame:
     """``docs`` with ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed`` and the counts that rules use.
 
@@ -71,40 +62,53 @@ def statistics(docs: DataFrame) -> DataFrame:
     these names in the input are replaced. Words in repeated windows are counted once
     each, however many windows they lie in.
     """
+    names = [c for c in docs.columns if c not in STATISTICS]
     text = F.coalesce(F.col("text"), F.lit(""))
-    split = docs.withColumn("_words", F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).withColumn("_text", text)
-    lines = F.filter(F.split("_text", "\n"), lambda x: F.translate(x, SPACES, "") != "")
+    # one split at single spaces after the other white space has become spaces
+    words = F.array_remove(F.split(F.regexp_replace(text, r"[\x09-\x0D]", " "), " "), "")
+    split = docs.select(*names, text.alias("_text"), words.alias("_words"))
     windows = F.transform(
         F.slice("_words", 1, F.greatest(F.size("_words") - 2, F.lit(0))),
         lambda x, i: F.xxhash64(x, F.get("_words", i + 1), F.get("_words", i + 2)),
     )
-    counted = split.withColumn("_windows", windows).withColumn("_lines", lines)
-    runs = F.when(
-        F.size("_windows") > F.size(F.array_distinct("_windows")),
-        F.sort_array(F.transform("_windows", lambda x, i: F.struct(x.alias("h"), i.alias("at")))),
-    )
-    ordered = counted.withColumn("_runs", runs)
-    repeated = F.filter(
-        "_runs",
-        lambda p, i: ((i > 0) & (F.get("_runs", F.greatest(i - 1, F.lit(0)))["h"] == p["h"])) | F.coalesce(F.get("_runs", i + 1)["h"] == p["h"], F.lit(False)),
+    counted = split.withColumn("_windows", windows).withColumn("_n_windows", F.size(F.array_distinct("_windows")))
+    sorted_windows = F.when(F.size("_windows") > F.col("_n_windows"), F.sort_array("_windows"))
+    ordered = counted.withColumn("_sorted", sorted_windows)
+    twice = F.array_distinct(F.filter("_sorted", lambda x, i: (i > 0) & (F.get("_sorted", F.greatest(i - 1, F.lit(0))) == x)))
+    marked = ordered.withColumn("_twice", twice)
+    # few different repeated windows: look each window up; many: sort windows with their places
+    few = F.filter(F.transform("_windows", lambda x, i: F.when(F.array_contains("_twice", x), i)), lambda i: i.isNotNull())
+    runs = F.when(F.size("_twice") > FEW_REPEATS, F.sort_array(F.transform("_windows", lambda x, i: F.struct(x.alias("h"), i.alias("at")))))
+    placed = marked.withColumn("_runs", runs)
+    many = F.transform(
+        F.filter(
+            "_runs",
+            lambda p, i: ((i > 0) & (F.get("_runs", F.greatest(i - 1, F.lit(0)))["h"] == p["h"])) | F.coalesce(F.get("_runs", i + 1)["h"] == p["h"], F.lit(False)),
+        ),
+        lambda p: p["at"],
     )
-    covered = F.size(F.array_distinct(F.flatten(F.transform(repeated, lambda p: F.array(p["at"], p["at"] + 1, p["at"] + 2)))))
-    t = F.col("_text")
-    out = ordered.select(
-        *[c for c in docs.columns if c not in STATISTICS],
+    starts = F.when(F.col("_twice").isNull(), F.array().cast("array<int>")).when(F.col("_runs").isNull(), few).otherwise(many)
+    covered = F.size(F.array_distinct(F.flatten(F.transform(starts, lambda i: F.array(i, i + 1, i + 2)))))
+    lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    final = placed.withColumn("_lines", lines)
+    counts = F.struct(
         F.size("_words").cast("long").alias("n_words"),
-        F.char_length(F.translate(t, SPACES, "")).cast("long").alias("word_chars"),
-        _less(t, SYMBOLS).alias("n_symbols"),
+        F.char_length(F.array_join("_words", "")).cast("long").alias("word_chars"),
+        F.regexp_count("_text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.when(F.col("_runs").isNull(), 0).otherwise(covered).cast("long").alias("n_repeat_words"),
+        covered.cast("long").alias("n_repeat_words"),
         F.size("_lines").cast("long").alias("n_lines"),
-        F.size(F.array_distinct("_words")).cast("long").alias("n_distinct"),
-        _less(t, "!").alias("n_bangs"), _less(t, UPPER).alias("n_upper"), _less(t, "0123456789").alias("n_digits"), _less(t, ".,").alias("n_stops"),
+        F.col("_n_windows").cast("long").alias("n_windows"),
+        F.regexp_count("_text", F.lit("!")).cast("long").alias("n_bangs"),
+        F.regexp_count("_text", F.lit("[A-Z]")).cast("long").alias("n_upper"),
     )
+    # explode of one struct: filters on the counts stay above it instead of being
+    # pushed down as copies of the expressions, which would count once for each use
+    out = final.select(*names, F.explode(F.array(counts)).alias("_counts")).select(*names, "_counts.*")
     return out.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
 
 
-STATISTICS = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_bangs", "n_upper", "n_digits", "n_stops", "base_failed"}
+STATISTICS = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_windows", "n_bangs", "n_upper", "base_failed"}
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> list[Rule]:
@@ -117,9 +121,9 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> list[Rule
     known = statistics(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")).where("not base_failed")
     known = cut(known.select("bad", "fold", *[F.expr(e).cast("double").alias(f) for f, e in FEATURES.items()]), "rules").coalesce(4).cache()
     try:
-        quantiles = [i / BINS for i in range(1, BINS)]
-        got = known.agg(*[F.percentile_approx(f, F.array(*map(F.lit, quantiles)), 10000).alias(f) for f in FEATURES]).first()
-        steps = {f: sorted(set(got[f] or [])) for f in FEATURES}
+        quantiles = [i / BINS for i in range(BINS + 1)]
+        got = known.groupBy("bad").agg(*[F.percentile_approx(f, F.array(*map(F.lit, quantiles)), 10000).alias(f) for f in FEATURES]).collect()
+        steps = {f: _between([x for r in got for x in r[f] or []]) for f in FEATURES}
         rules: list[Rule] = []
         left = known
         while len(rules) < MAX_RULES:
@@ -133,6 +137,12 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> list[Rule
         known.unpersist()
 
 
+def _between(values: list[float]) -> list[float]:
+    """Thresholds half-way between neighbouring distinct values."""
+    v = sorted(set(values))
+    return [(a + b) / 2 for a, b in zip(v, v[1:], strict=False)]
+
+
 def _plain(c: Condition) -> Column:
     x = F.col(c.feature)
     return F.coalesce(x > c.threshold if c.above else x <= c.threshold, F.lit(False))
@@ -167,7 +177,7 @@ def _grow(rows: DataFrame, steps: dict[str, list[float]]) -> Rule:
         bad, good = sum(x[0] for x in some), sum(x[1] for x in some)
         if not bad or not good:
             return rule
-        now, best = math.log2(bad / (bad + good)), (0.0, None)
+        now, best, ties = math.log2(bad / (bad + good)), 1e-9, []
         for feature in sorted(counts):
             b = g = 0
             for i, threshold in enumerate(steps[feature]):
@@ -176,11 +186,13 @@ def _grow(rows: DataFrame, steps: dict[str, list[float]]) -> Rule:
                 for above, pb, pg in ((False, b, g), (True, bad - b, good - g)):
                     if pb >= MIN_COVER:
                         gain = pb * (math.log2(pb / (pb + pg)) - now)
-                        if gain > best[0] + 1e-9:
-                            best = (gain, Condition(feature, above, float(threshold)))
-        if best[1] is None:
+                        if gain > best + 1e-9:
+                            best, ties = gain, []
+                        if gain >= best - 1e-9 and (not ties or (ties[0].feature, ties[0].above) == (feature, above)):
+                            ties.append(Condition(feature, above, float(threshold)))
+        if not ties:
             return rule
-        rule = (*rule, best[1])
+        rule = (*rule, ties[len(ties) // 2])
     return rule
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ngram_join, packing, toxicity
+from . import bpe, ngram_join, packing, pii, quality, toxicity
 from .common import table
 
 
@@ -17,6 +17,12 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_copies(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
 
+def op3_pii_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules and the skip-chain field over all documents."""
+    docs = table(spark, sf_dir, "documents")
+    return pii.report(docs, pii.fit(docs))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Maximal-scoring segments; the fifth of crc32(doc_id) mod 5 = 0 is held out."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -36,11 +42,20 @@ def op8_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, {"<|endoftext|>": 50256})
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, the base test and the learned decision list's verdict."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    judged = quality.judge(docs.select("doc_id", "text"), quality.learn(docs, labels))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_pii_skip_chain": op3_pii_skip_chain,
     "op4_toxicity": op4_toxicity,
     "op7_bpe_automaton": op7_bpe_automaton,
     "op8_harmonic_packing": op8_harmonic_packing,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLES: dict[str, str] = {}
