@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ngram_join, packing, pii, quality, toxicity
+from . import bpe, ngram_join, packing, pii, quality, secrets, toxicity
 from .common import table
 
 
@@ -31,6 +31,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op6_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patterns and the randomness battery over all documents."""
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of the word-level BPE file, as digests."""
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_pii_skip_chain": op3_pii_skip_chain,
     "op4_toxicity": op4_toxicity,
+    "op6_secret_battery": op6_secret_battery,
     "op7_bpe_automaton": op7_bpe_automaton,
     "op8_harmonic_packing": op8_harmonic_packing,
     "op10_quality_rules": op10_quality_rules,
