@@ -8,10 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ngram_join, packing, pii, quality, secrets, toxicity
+from . import bpe, html, licenses, ngram_join, packing, pii, quality, rp_forest, secrets, toxicity
 from .common import table
 
 
+def op1_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of equal labels at a cosine of 0.93 or more."""
+    return rp_forest.near_vectors(table(spark, sf_dir, "embeddings"), least=0.93)
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word shingles, links at 100 * intersection >= 90 * union."""
     return ngram_join.near_copies(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
@@ -31,6 +36,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op5_host_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Patterns and the randomness battery over all documents."""
     return secrets.report(table(spark, sf_dir, "documents"))
@@ -47,6 +57,11 @@ def op8_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, {"<|endoftext|>": 50256})
 
 
+def op9_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of every whole text, joined to known licences."""
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.known_digests(spark))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, the base test and the learned decision list's verdict."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -55,13 +70,16 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_rp_forest": op1_rp_forest,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_pii_skip_chain": op3_pii_skip_chain,
     "op4_toxicity": op4_toxicity,
+    "op5_host_suffix_array": op5_host_suffix_array,
     "op6_secret_battery": op6_secret_battery,
     "op7_bpe_automaton": op7_bpe_automaton,
     "op8_harmonic_packing": op8_harmonic_packing,
+    "op9_license_digests": op9_license_digests,
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_license_digests": licenses.oracle_sql()}
