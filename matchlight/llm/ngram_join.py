@@ -205,7 +205,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, routes: Routes) -> Data
 
 
 def _groups_to_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Candidate pairs of the routing nodes in ``members(key, n, rep, component, size, bitmap)``.
+    """Candidate pairs of the routing nodes in ``members(key, n, rep, component, size, every, bitmap)``.
 
     A node above ``BLOCK`` sets is dealt as pairs of blocks, each a task of two trees.
     """
@@ -215,7 +215,7 @@ def _groups_to_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
         .withColumn("block", F.pmod(F.xxhash64("rep", F.lit(7)), "blocks").cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
-        .select("key", "bi", "bj", "block", "rep", "component", "size", "bitmap")
+        .select("key", "bi", "bj", "block", "rep", "component", "size", "every", "bitmap")
     )
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -223,8 +223,10 @@ def _groups_to_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
         second = first if key[1] == key[2] else np.flatnonzero((rows["block"] == key[2]).to_numpy())
         if not len(first) or not len(second):
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        rep = rows["rep"].to_numpy()
+        rep, every = rows["rep"].to_numpy(), [set(k.tolist()) for k in rows["every"]]
         found = tree_candidates(rows["size"].to_numpy(), rows["bitmap"].tolist(), first, second, rows["component"].to_numpy(), num, den)
+        # sets that meet at several routing nodes are a candidate at the least of them only
+        found = [(i, j) for i, j in found if min(every[i] & every[j]) == key[0]]
         a = np.array([rep[i] for i, _ in found], np.int64)
         b = np.array([rep[j] for _, j in found], np.int64)
         return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)})
@@ -270,7 +272,7 @@ def near_copies(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, slic
     many = nodes.where("n > 2").select("key", "n")
     narrow = F.broadcast(many) if many.count() <= BROADCAST_ROWS // 4 else many
     rows = known.select("rep", F.explode("every").alias("key")).join(narrow, "key")
-    members = rows.join(known.select("rep", "component", "size", "bitmap"), "rep")
+    members = rows.join(known.select("rep", "component", "size", "every", "bitmap"), "rep")
     tried = pairs.select("a", "b")
     more = cut(twos.union(_groups_to_pairs(members, num, den)).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
     found = components(cut(links.union(_verified(more, docs, n, routes)), "links"))
