@@ -46,16 +46,10 @@ def cooldown(events: DataFrame, key: str, seconds: int) -> DataFrame:
     gap = (F.col("sec") - F.lag("sec").over(w)) >= seconds
     runs = events.withColumn("_new", F.when(F.coalesce(gap, F.lit(True)), 1).otherwise(0)).withColumn("_run", F.sum("_new").over(w))
 
-    def keep(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["sec", "event_id"])
-        kept, last = [], None
-        for at in rows["sec"]:
-            kept.append(last is None or at - last >= seconds)
-            last = at if kept[-1] else last
-        return rows.loc[kept, [key, "event_id", "sec"]]
-
-    kind = events.schema[key].dataType.simpleString()
-    return runs.groupBy(key, "_run").applyInPandas(keep, f"{key} {kind}, event_id long, sec long")
+    rows = runs.groupBy(key, "_run").agg(F.sort_array(F.collect_list(F.struct(F.col("sec").cast("long").alias("sec"), "event_id"))).alias("r"))
+    last = lambda k: F.element_at(k, -1)["sec"]
+    kept = F.aggregate("r", F.filter("r", lambda x: F.lit(False)), lambda k, e: F.when((F.size(k) == 0) | (e["sec"] - F.when(F.size(k) > 0, last(k)) >= seconds), F.array_append(k, e)).otherwise(k))
+    return rows.select(key, F.explode(kept).alias("k")).select(key, "k.event_id", "k.sec")
 
 
 def lockouts(attempts: DataFrame, limit: int = 5, seconds: int = 900) -> DataFrame:
