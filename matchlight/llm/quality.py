@@ -158,6 +158,8 @@ def _holds(rule: Rule, plain: bool = False) -> Column:
 def _grow(rows: DataFrame, steps: dict[str, list[float]]) -> Rule:
     """Conditions added one by one for the best gain in information on bad rows."""
     rule: Rule = ()
+    if not any(steps.values()):
+        return rule
     for _ in range(MAX_CONDITIONS):
         inside = rows.where(_holds(rule, plain=True))
         places = F.array(*[
