@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..operators import telemetry as T
 from .registry import register
 
+ALERT_COOLDOWN = "WITH RECURSIVE c AS (SELECT name, event_id, sec, row_number() OVER (PARTITION BY name ORDER BY sec, event_id) AS rn FROM metrics WHERE value > 90), k AS (SELECT name, event_id, sec, rn, true AS kept, sec AS last FROM c WHERE rn = 1 UNION ALL SELECT c.name, c.event_id, c.sec, c.rn, c.sec - k.last >= 3600, CASE WHEN c.sec - k.last >= 3600 THEN c.sec ELSE k.last END FROM k JOIN c ON c.name = k.name AND c.rn = k.rn + 1) SELECT name, event_id FROM k WHERE kept"
+LOGIN_LOCKOUT = "SELECT event_id, sec + 900 AS locked_until FROM (SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY sec RANGE BETWEEN 900 PRECEDING AND CURRENT ROW) AS n FROM metrics WHERE name = 'error') WHERE n >= 2"
 _NOW = "(SELECT max(sec) FROM metrics)"
 
 
@@ -43,7 +45,7 @@ register("metric_anomaly", lambda t: T.anomaly(t.metrics).select("event_id", F.r
 register("alert_rules", lambda t: T.trend(t.metrics).join(t.metrics.select("event_id", "value"), "event_id").select("event_id", F.coalesce(F.when(F.col("value") > 95, "critical"), F.when(F.col("value") > 70, "warning"), F.when((F.col("n") >= 10) & (F.col("slope") > 1.0), "medium")).alias("severity")).where("severity IS NOT NULL"),
     f"SELECT event_id, CASE WHEN value > 95 THEN 'critical' WHEN value > 70 THEN 'warning' ELSE 'medium' END AS severity FROM ({_TREND}) JOIN (SELECT event_id, value FROM metrics) USING (event_id) WHERE value > 70 OR (n >= 10 AND slope > 1.0)")
 register("alert_cooldown", lambda t: T.cooldown(t.metrics.where("value > 90"), "name", 3600).select("name", "event_id"),
-    "WITH RECURSIVE c AS (SELECT name, event_id, sec, row_number() OVER (PARTITION BY name ORDER BY sec, event_id) AS rn FROM metrics WHERE value > 90), k AS (SELECT name, event_id, sec, rn, true AS kept, sec AS last FROM c WHERE rn = 1 UNION ALL SELECT c.name, c.event_id, c.sec, c.rn, c.sec - k.last >= 3600, CASE WHEN c.sec - k.last >= 3600 THEN c.sec ELSE k.last END FROM k JOIN c ON c.name = k.name AND c.rn = k.rn + 1) SELECT name, event_id FROM k WHERE kept")
+    ALERT_COOLDOWN)
 
 
 def lifecycle(t):
@@ -72,7 +74,7 @@ register("error_triage", lambda t: t.metrics.where("name = 'error'").selectExpr(
 register("error_statistics", lambda t: F.broadcast(t.spark.createDataFrame([(x,) for x in ("critical", "high", "medium", "low", "info")], "severity string")).join(t.metrics.where("name = 'error'").selectExpr(f"{_TRIAGE} AS severity").groupBy("severity").agg(F.count("*").alias("n")), "severity", "left").select("severity", F.coalesce("n", F.lit(0)).alias("n")),
     f"SELECT s.severity, coalesce(n, 0) AS n FROM (VALUES ('critical'), ('high'), ('medium'), ('low'), ('info')) s(severity) LEFT JOIN (SELECT {_TRIAGE} AS severity, count(*) AS n FROM metrics WHERE name = 'error' GROUP BY 1) e USING (severity)")
 register("security_report", lambda t: now(t.metrics).agg(F.count_if(F.expr("sec >= now - 86400")).alias("day"), F.count_if(F.expr("sec >= now - 7 * 86400")).alias("week"), F.count_if(F.expr("name = 'error'")).alias("failed"), F.count_distinct(F.expr("CASE WHEN sec >= now - 86400 THEN user_id END")).alias("active")), f"SELECT count(*) FILTER (sec >= {_NOW} - 86400) AS day, count(*) FILTER (sec >= {_NOW} - 7 * 86400) AS week, count(*) FILTER (name = 'error') AS failed, count(DISTINCT CASE WHEN sec >= {_NOW} - 86400 THEN user_id END) AS active FROM metrics")
-register("login_lockout", lambda t: T.lockouts(t.metrics.where("name = 'error'"), 2, 900).select("event_id", "locked_until"), "SELECT event_id, sec + 900 AS locked_until FROM (SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY sec RANGE BETWEEN 900 PRECEDING AND CURRENT ROW) AS n FROM metrics WHERE name = 'error') WHERE n >= 2")
+register("login_lockout", lambda t: T.lockouts(t.metrics.where("name = 'error'"), 2, 900).select("event_id", "locked_until"), LOGIN_LOCKOUT)
 register("rate_limit", lambda t: T.rate_bound(t.metrics, {3600: 2, 86400: 5}).select("event_id", "over"), "SELECT event_id, (count(*) OVER (PARTITION BY user_id ORDER BY sec RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW) > 2) OR (count(*) OVER (PARTITION BY user_id ORDER BY sec RANGE BETWEEN 86399 PRECEDING AND CURRENT ROW) > 5) AS over FROM metrics")
 register("rate_limit_exact", lambda t: T.rate_limit(t.metrics, {3600: 2, 86400: 5}))
 register("request_metrics", lambda t: t.metrics.withColumn("rn", F.row_number().over(Window.partitionBy("name").orderBy("value", "event_id"))).withColumn("n", F.count("*").over(Window.partitionBy("name"))).groupBy("name").agg(F.max("n").alias("n"), F.max(F.expr("CASE WHEN rn = CAST(floor(n * 0.95) AS INT) + 1 THEN value END")).alias("p95"), F.max(F.expr("CASE WHEN rn = CAST(floor(n * 0.99) AS INT) + 1 THEN value END")).alias("p99")),
