@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Limits of incoming files.
@@ -24,15 +25,13 @@ def shared_folder(df: DataFrame) -> str:
 
 def write_sample_images(vectors: DataFrame) -> str:
     """A folder with one sub-folder per class and a small text file for each part of it, as a source of files."""
-    path = f"{shared_folder(vectors)}/images-{abs(hash(str(vectors.sparkSession.sparkContext.applicationId)))}"
+    path = f"{shared_folder(vectors)}/images-{uuid.uuid4().hex}"
     vectors.selectExpr("concat('class_', label) AS folder", "CAST(vec_id AS STRING) AS value").repartition("folder").write.mode("overwrite").partitionBy("folder").text(path)
     return path
 
 
 def scan_image_dir(path: str, extensions: str = r"\.(jpg|jpeg|png|tiff|txt)$") -> DataFrame:
     """``(path, class, label)``: one sub-folder per class, numbered in the order of their names."""
-    from pyspark.sql import SparkSession, Window
-
     files = SparkSession.active().read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(F.lower("path").rlike(extensions)).select("path", "length")
     named = files.withColumn("class", F.element_at(F.split("path", "/"), -2))
     order = named.select("class").distinct().withColumn("label", F.dense_rank().over(Window.orderBy("class")) - 1)  # a row per class
