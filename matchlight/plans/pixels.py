@@ -78,7 +78,8 @@ register("cell_cross_correlation", lambda t: P.cell_correlation(t.pixels, some_p
 register("cell_vote", lambda t: voted(t).select("id_a", "cy", "cx", "is_cmc"), f"SELECT id_a, cy, cx, coalesce(is_cmc, false) AS is_cmc FROM ({_VOTE})")
 register("cell_convergence", lambda t: P.cell_result(voted(t), 2).select("id_a", *rr("convergence")), f"SELECT id_a, round(convergence, 5) AS convergence FROM ({_RES})")
 register("cell_match_result", lambda t: P.cell_result(voted(t), 2).select("id_a", "n", *rr("score", "confidence"), "is_match"), f"SELECT id_a, n, round(score, 5) AS score, round(least(1.0, mean * n / 2 * (1 + convergence)), 5) AS confidence, is_match FROM ({_RES})")
-register("cell_bidirectional", lambda t: (lambda p: P.cell_result(P.cell_vote(P.cell_correlation(t.pixels, p), 0.2, 1.0), 2).select(F.least("id_a", "id_b").alias("low"), "n").groupBy("low").agg(F.max("n").alias("n")))(some_pairs(t).union(some_pairs(t).select("id_b", "id_a"))))
+_BACK = _RES.replace("a.image_id % 20 = 0 AND b.image_id = a.image_id + 1", "b.image_id % 20 = 0 AND a.image_id = b.image_id + 1")
+register("cell_bidirectional", lambda t: (lambda p: P.cell_result(P.cell_vote(P.cell_correlation(t.pixels, p), 0.2, 1.0), 2).select(F.least("id_a", "id_b").alias("low"), "n").groupBy("low").agg(F.max("n").alias("n")))(some_pairs(t).union(some_pairs(t).select("id_b", "id_a"))), f"SELECT least(id_a, id_b) AS low, max(n) AS n FROM (SELECT id_a, id_b, n FROM ({_RES}) UNION ALL SELECT id_a, id_b, n FROM ({_BACK})) GROUP BY 1")
 register("cell_rotation", lambda t: P.sobel(t.pixels).groupBy("image_id").agg(F.avg("gx").alias("gx"), F.avg("gy").alias("gy")).select("image_id", F.round(F.degrees(F.atan2("gy", "gx")), 4).alias("theta")), f"SELECT image_id, round(degrees(atan2(avg(gy), avg(gx))), 4) AS theta FROM ({_SOBEL}) GROUP BY 1")
 
 # quality records of an image, from its pixels
@@ -124,6 +125,9 @@ def suppress(t):
     return rows.select("image_id", F.explode(kept).alias("k")).select("image_id", "k.region_id")
 
 
-register("region_suppress", suppress)
+_ONE = "{'r': o.region_id, 'cx': o.cx, 'cy': o.cy, 'radius': o.radius}"
+register("region_suppress", suppress, f"""WITH RECURSIVE o AS (SELECT image_id, region_id, cx, cy, radius, row_number() OVER (PARTITION BY image_id ORDER BY confidence DESC, region_id, cx, cy, radius) AS rn FROM regions),
+    k AS (SELECT image_id, rn, [{_ONE}] AS kept FROM o WHERE rn = 1 UNION ALL SELECT o.image_id, o.rn, CASE WHEN len(list_filter(k.kept, lambda p: (p.radius + o.radius - sqrt((p.cx - o.cx) * (p.cx - o.cx) + (p.cy - o.cy) * (p.cy - o.cy))) / (2 * least(p.radius, o.radius)) > 0.3)) > 0
+    THEN k.kept ELSE list_append(k.kept, {_ONE}) END FROM k JOIN o ON o.image_id = k.image_id AND o.rn = k.rn + 1) SELECT image_id, x.r AS region_id FROM (SELECT image_id, unnest(arg_max(kept, rn)) AS x FROM k GROUP BY 1)""")
 register("region_image_confidence", lambda t: t.regions.withColumn("type", F.expr(_TYPE)).groupBy("image_id").agg(F.round(F.least(F.lit(1.0), F.avg("confidence") + 0.1 * F.count_distinct("type")), 6).alias("c")), f"SELECT image_id, round(least(1.0, avg(confidence) + 0.1 * count(DISTINCT type)), 6) AS c FROM (SELECT *, {_TYPE} AS type FROM regions) GROUP BY 1")
 register("region_texture", lambda t: t.pixels.where("y BETWEEN 2 AND 5 AND x BETWEEN 1 AND 6").groupBy("image_id").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_pop("value"), 6).alias("std"), F.round(2 * F.stddev_pop("value"), 6).alias("contrast")), "SELECT image_id, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(2 * stddev_pop(value), 6) AS contrast FROM pixels WHERE y BETWEEN 2 AND 5 AND x BETWEEN 1 AND 6 GROUP BY 1")
