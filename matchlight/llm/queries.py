@@ -62,6 +62,11 @@ def op9_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"), licenses.known_digests(spark))
 
 
+def op9_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of lines and paragraphs, joined to known licence notices."""
+    return licenses.scan_notices(table(spark, sf_dir, "documents"), licenses.known_notices(spark))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, the base test and the learned decision list's verdict."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -79,7 +84,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_bpe_automaton": op7_bpe_automaton,
     "op8_harmonic_packing": op8_harmonic_packing,
     "op9_license_digests": op9_license_digests,
+    "op9_license_notices": op9_license_notices,
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLES: dict[str, str] = {"op9_license_digests": licenses.oracle_sql()}
+ORACLES: dict[str, str] = {"op9_license_digests": licenses.oracle_sql(), "op9_license_notices": licenses.notices_sql()}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import pathlib
 import random
 import re
 import zlib
@@ -298,6 +299,32 @@ def test_licenses(spark, hard, none):
     assert licenses.scan(hard, known).where("license_id IS NOT NULL").count() == 0 and licenses.scan(hard, known).count() == len(HARD) and licenses.scan(none, known).count() == 0
 
 
+def test_stored_licenses_are_known(spark, none):
+    folder = pathlib.Path(licenses.__file__).parent / "license_texts"
+    rows = [(f.stem, f.read_text()) for f in sorted(folder.glob("*.txt"))]
+    rows += [("old", (folder / "GPL-2.txt").read_text().replace("51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA", "59 Temple Place, Suite 330, Boston, MA  02111-1307  USA"))]
+    rows += [("terms", (folder / "Apache-2.0.txt").read_text().split("END OF TERMS")[0].upper()), ("part", (folder / "GPL-3.txt").read_text()[:9000])]
+    got = {r["doc_id"]: r["license_id"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id string, text string"), licenses.known_digests(spark)).collect()}
+    assert got == licenses._STORED | {"old": "GPL-2.0", "terms": "Apache-2.0", "part": None}
+
+
+def test_license_notices(spark, hard, none):
+    known = licenses.known_notices(spark).cache()
+    assert all(re.search(licenses.HINT, t) for _, t in licenses.notices())
+    gpl = "# This program is free software; you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation; either version 2 of the License, or\n# (at your option) any later version."
+    rows = [(1, "Some text\nLicensed under the Apache License, Version 2.0.\nmore"), (2, "a\nLICENCE: MIT\n\n// SPDX-License-Identifier: GPL-3.0-only\nlicense: mit"), (3, f"code\n\n{gpl}\n \nmore"), (4, "He is not licensed under any law."), (5, "Licensed under CC BY-NC 4.0.")]
+    got = sorted((r["doc_id"], r["license_id"]) for r in licenses.scan_notices(spark.createDataFrame(rows, "doc_id long, text string"), known).collect())
+    assert got == [(1, "Apache-2.0"), (2, "GPL-3.0"), (2, "MIT"), (3, "GPL-2.0"), (5, "CC-BY-NC-4.0")]
+    assert licenses.scan_notices(hard, known).count() == 0 == licenses.scan_notices(none, known).count()
+
+
+def test_license_notices_of_documents(spark):
+    """Every line of the documents that speaks of a licence is found."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    want = {r["doc_id"] for r in docs.where("text rlike '(?i)licensed under|released under'").collect()}
+    assert {r["doc_id"] for r in queries.op9_license_notices(spark, "/root/testdata/sf0.01").collect()} == want and want
+
+
 def test_quality_statistics(spark, hard, none):
     rng = random.Random(6)
     texts = [r["text"] for r in table(spark, SF, "documents").collect()] + [" ".join(rng.choice("a b c d # \n |".split(" ")) for _ in range(rng.randint(0, 80))) for _ in range(200)]
