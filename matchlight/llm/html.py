@@ -3,7 +3,7 @@
 A page is cut into blocks at block-level tags. Blocks inside menus, headers, footers,
 sidebars, forms, scripts, adverts, notices and comment sections (by element or by
 class, id and role words) never belong to the text. Blocks of an ``article`` (or else
-``main``) element do. Pages that have neither are decided by their host: the token
+``main``) element do, unless these hold no text outside furniture. Pages that have neither are decided by their host: the token
 streams of all blocks outside articles of the host's pages are concatenated, a suffix
 array with longest common prefixes finds substrings that occur on distinct pages, and
 blocks mostly covered by such long repeats are boilerplate; the unique runs are kept.
@@ -50,35 +50,90 @@ BLOCKS = frozenset(
     "li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 
+#: Words that make a class name tell of a page's layout or state, such as has-sidebar or comments-open.
+STATES = frozenset("has no not with without layout open closed enabled disabled".split())
+#: Start tags that end an open element of another list's names, up to an element that holds its own.
+_CELLS, _ROWS = frozenset(("td", "th")), frozenset("td th tr caption".split())
+ENDS = {
+    **dict.fromkeys(("td", "th"), _CELLS), "tr": _ROWS, **dict.fromkeys(("tbody", "thead", "tfoot"), _ROWS | {"tbody", "thead", "tfoot"}),
+    "li": frozenset(("li",)), **dict.fromkeys(("dt", "dd"), frozenset(("dt", "dd"))),
+}
+_HOLDERS = {"li": frozenset("ul ol menu".split()), "dt": frozenset(("dl",)), "dd": frozenset(("dl",))}
 
-def _flagged(rest: str) -> bool:
+
+def _flagged(rest: str) -> int:
+    """2 for a class, id or role that is a furniture word (or one with a number), 1 for one that holds such a word, 0 for others."""
+    most = 0
     for _, value in _ATTRIBUTE.findall(rest):
-        if not FLAGGED.isdisjoint(re.split(r"[\s_-]+", value.strip("\"'").lower())):
-            return True
-    return False
+        for token in value.strip("\"'").lower().split():
+            words = [w for w in re.split(r"[_-]+", token) if w and not w.isdigit()]
+            if not FLAGGED.isdisjoint(words) and STATES.isdisjoint(words):
+                most = max(most, 2 if len(words) == 1 else 1)
+    return most
 
 
 def blocks(page: str | None) -> tuple[list[str], list[tuple[str, bool]], bool]:
-    """Blocks inside the article (or main) element, the other blocks with whether they are marked as furniture, and whether there is such an element."""
-    inside: dict[str, list[str]] = {"article": [], "main": []}
+    """Blocks inside the article (or main) element, the other blocks with whether they are marked as furniture, and whether there are any of the first.
+
+    The first that has text is taken: articles outside furniture; ``main``, which no
+    class name around it makes furniture; articles in elements whose class name only
+    holds a furniture word (``sidebar-page``).
+    """
+    inside: dict[str, list[str]] = {"article": [], "main": [], "wrapped": []}
     outside: list[tuple[str, bool]] = []
     if not page:
         return [], outside, False
     parts: list[str] = []
-    stack: list[tuple[str, bool]] = []  # open elements that matter: their name, and whether they drop what they hold
-    depth = {"article": 0, "main": 0, "drop": 0}
-    seen = {"article": False, "main": False}
+    # open elements that matter: their name, and how they drop what they hold (3 by name, 2 by a furniture word, 1 by a compound of one)
+    stack: list[tuple[str, int]] = []
 
     def flush() -> None:
-        if parts:
-            text = " ".join(references.unescape("".join(parts)).split())
-            parts.clear()
-            if text and not depth["drop"] and (depth["article"] or depth["main"]):
-                for name in ("article", "main"):
-                    if depth[name]:
-                        inside[name].append(text)
-            elif text:
-                outside.append((text, bool(depth["drop"])))
+        if not parts:
+            return
+        text = " ".join(references.unescape("".join(parts)).split())
+        parts.clear()
+        if not text:
+            return
+        # drops within the innermost main count, or else all; class names around a main do not
+        names = [n for n, _ in stack]
+        main = len(names) - 1 - names[::-1].index("main") if "main" in names else None
+        drops = [d for k, (_, d) in enumerate(stack) if d == 3 or (d and (main is None or k > main))]
+        first = names.index("article") if "article" in names else None
+        chosen = False
+        if not drops and (first is not None or main is not None):
+            chosen = True
+            for name, at in (("article", first), ("main", main)):
+                if at is not None:
+                    inside[name].append(text)
+        elif first is not None and not any(d > 1 or (d and k >= first) for k, (_, d) in enumerate(stack) if d == 3 or main is None or k > main):
+            inside["wrapped"].append(text)
+        if not chosen:
+            outside.append((text, bool(drops)))
+
+    def end(at: int) -> None:
+        del stack[at:]
+
+    def implied(name: str) -> None:
+        """Ends the elements whose end tag may be left out before this start tag."""
+        if name in BLOCKS and name not in ("body", "html", "caption", "td", "th", "tr", "tbody", "thead", "tfoot"):
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] == "p":
+                    end(k)
+                    break
+                if stack[k][0] in ("table", "td", "th", "caption", "button", "object", "template", "html"):
+                    break
+        if name in ENDS:
+            holders = _HOLDERS.get(name, frozenset(("table",)))
+            lowest = None
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] in ENDS[name]:
+                    lowest = k
+                    if name in _HOLDERS:
+                        break
+                elif stack[k][0] in holders or stack[k][0] in ("article", "main") or (name in _CELLS and stack[k][0] == "tr"):
+                    break
+            if lowest is not None:
+                end(lowest)
 
     at, until = 0, len(page)
     while at < until:
@@ -95,35 +150,36 @@ def blocks(page: str | None) -> tuple[list[str], list[tuple[str, bool]], bool]:
         if name == "br":
             parts.append(" ")
             continue
-        if name in BLOCKS or name in DROPPED:
+        block = name in BLOCKS or name in DROPPED
+        if block:
             flush()
         if m["close"]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    for gone, drops in stack[k:]:
-                        depth["drop"] -= drops
-                        if gone in seen:
-                            depth[gone] -= 1
-                    del stack[k:]
+                    if not block and any(d for _, d in stack[k:]):
+                        flush()
+                    end(k)
                     break
+                if stack[k][0] in ("article", "main") and name not in ("article", "main", "body", "html"):
+                    break  # a stray end tag does not end the text
             continue
+        if block:
+            implied(name)
         if name in VOID or m["rest"].endswith("/"):
             continue
-        drops = name in DROPPED or (name not in ("html", "body") and _flagged(m["rest"]))
-        if drops or name in seen or any(o[0] == name for o in stack):
+        drops = 3 if name in DROPPED else 0 if name in ("html", "body", "main") else _flagged(m["rest"])
+        if name == "article" and drops == 1:
+            drops = 0  # an article is furniture only by a whole word
+        if block or drops or any(o[0] == name for o in stack):
             if drops:
                 flush()
             stack.append((name, drops))
-            depth["drop"] += drops
-            if name in seen:
-                depth[name] += 1
-                seen[name] = True
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\b", re.I).search(page, at)
-            at = end.start() if end else until
+            close = re.compile(rf"</{re.escape(name)}\b", re.I).search(page, at)
+            at = close.start() if close else until
     flush()
-    name = "article" if seen["article"] else "main"
-    return inside[name], outside, seen[name]
+    text = next((inside[n] for n in ("article", "main", "wrapped") if inside[n]), [])
+    return text, outside, bool(text)
 
 
 def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -217,6 +217,35 @@ def test_hosts_decide_pages_without_article(spark):
     assert all(t.startswith(f"own text {i} ") for i, t in got if i < 5000) and len(got) == 1104
 
 
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<main><p>text</p><div class='comments'><article class='comment'>c</article></div></main>", "text"),
+        ("<main><p>text</p><div class='comment-list'><article id='comment-12'>c</article></div></main>", "text"),
+        ("<main><p>text</p><aside><article>teaser</article></aside></main>", "text"),
+        ("<div class='content has-sidebar'><article>text</article></div>", "text"),
+        ("<div class='sidebar-page'><article><p>text</p><div class='share'>s</div></article></div>", "text"),
+        ("<div class='layout sidebar'><main class='no-sidebar'>text<p class='ad'>x</p></main></div>", "text"),
+        ("<article class='post has-comments comments-open'>text<div class='ad-box'>x</div></article>", "text"),
+        ("<article><p class='ad'>Buy<p>text<p>more</article>", "text\n\nmore"),
+        ("<article><div><p class='ad'>Buy</div>text</article>", "text"),
+        ("<article><ul><li class='ad'>Buy<ul><li>x</ul><li>text</ul>more</article>", "text\n\nmore"),
+        ("<article><table><tr class='ad'><td>Buy<tr><td class='ad'>x<td>text</table><dl><dt class='ad'>a<dd>b</dl></article>", "text\n\nb"),
+        ("<article><p>a</p></div></section>text</article><p>no</p>", "a\n\ntext"),
+        ("<article>a<span class='ad'>x</span> b</article>", "a\n\nb"),
+    ],
+)
+def test_main_text_is_not_lost(page, want):
+    inside, _, found = html.blocks(f"<html><body class='with-sidebar'><nav>menu</nav>{page}<footer>f</footer></body></html>")
+    assert found and "\n\n".join(inside) == want
+
+
+def test_page_with_teasers_only_is_decided_by_its_host(spark):
+    rows = [(i, f"http://h.com/{i}", f"<body><aside><article>teaser</article></aside><div>the same words of the site on each page</div><div>own{i} text{i}</div></body>") for i in range(3)]
+    got = {r["page_id"]: r["text"] for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"own{i} text{i}" for i in range(3)}
+
+
 def test_suffix_array():
     tokens = np.array([random.Random(4).choice([1, 2, 3]) for _ in range(80)])
     order, common = html.suffix_array(tokens)
