@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # kind, start, end
 
@@ -212,7 +214,10 @@ def fit(docs: DataFrame) -> Field:
 
     counts = docs.select("text").mapInPandas(run, "shape string, label int, n long").groupBy("shape").pivot("label", [0, 1, 2, 3, 4]).agg(F.sum("n"))
     total = sum(F.coalesce(F.col(str(k)), F.lit(0)) for k in range(5))
-    rows = counts.withColumn("total", total).where((F.col("total") >= MIN_SHAPE) | F.col("shape").startswith("c")).orderBy(F.desc("total"), "shape").limit(SHAPES).collect()
+    counts = cut(counts.withColumn("total", total), "counts")
+    chained, shaped = F.col("shape").startswith("c"), F.col("shape").startswith("s")
+    rows = counts.where(chained).collect()  # five at most, whatever the shapes
+    rows += counts.where(shaped & (F.col("total") >= MIN_SHAPE)).orderBy(F.desc("total"), "shape").limit(SHAPES).collect()
     table = {r["shape"]: [r[str(k)] or 0 for k in range(5)] for r in rows}
     chain = np.array([table.get(f"c{k}", [0] * 5) for k in range(5)], float)
     return Field({s[1:]: c for s, c in table.items() if s[0] == "s"}, chain)

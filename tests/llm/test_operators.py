@@ -163,6 +163,15 @@ def test_pii_rules(spark, hard, none):
     assert pii.find(hard, field).where("size(spans) > 0").count() == 0
 
 
+def test_pii_chain_needs_no_room_among_shapes(spark, monkeypatch):
+    docs = spark.createDataFrame([(f"10.0.0.{i} and 10.0.1.{i} 10.0.2.{i} x{i} " + "7 8 9 " * 9,) for i in range(20)], "text string")
+    whole = pii.fit(docs)
+    monkeypatch.setattr(pii, "SHAPES", 1)
+    small = pii.fit(docs)
+    assert len(small.shapes) == 1 < len(whole.shapes) and np.ptp(small.chain[2] + small.rare) > 1
+    assert np.allclose(small.chain + small.rare, whole.chain + whole.rare)
+
+
 def test_pii_field_adds_repeats():
     text = "call +1 (988) 555-2485 or later (988) 555-2485 and thanks"
     counts = {pii.shape(w): c for w, c in (("+1", [0, 0, 0, 0, 9]), ("(988)", [1, 0, 0, 0, 9]), ("555-2485", [1, 0, 0, 0, 9]))}
