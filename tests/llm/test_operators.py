@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import itertools
+import json
 import pathlib
 import random
 import re
@@ -11,6 +13,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -288,9 +291,11 @@ TEXTS = ["", " ", "Hello's  WORLD\n\tfoo 123 ½ ÀÉ ΣΑΣ İstanbul 日本語
 def test_bpe_is_the_library(spark, hard, none):
     path = public_tokenizers.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
-    encode, auto = bpe.word_encoder(path)
-    for text in TEXTS + [r["text"] for r in table(spark, SF, "documents").limit(60).collect()]:
-        ids, decoded = encode(text)
+    rng = random.Random(11)
+    parts = ["the", "er", "in", "aa", "x", " ", "  ", "</w>", "'s", "É", "Σ", "日", "1", "!!", "st", "\u0301", "<|endoftext|>"]
+    texts = TEXTS + ["".join(rng.choice(parts) for _ in range(rng.randint(1, 40))) for _ in range(500)] + [r["text"] for r in table(spark, SF, "documents").limit(60).collect()]
+    made = list(bpe.Encoder(bpe.tables(path)).texts(pa.array(texts)))
+    for text, (ids, decoded) in zip(texts, made, strict=True):
         want = t.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(ids, "<u4").tolist() == want and decoded.decode() == t.decode(want, skip_special_tokens=False) == bpe.decode_ids(ids, path)
     got = {r["doc_id"]: r for r in bpe.digests(hard, path).collect()}
@@ -298,6 +303,41 @@ def test_bpe_is_the_library(spark, hard, none):
     assert bpe.encode_decode(hard, path).count() == len(HARD)
 
 
+def test_automaton_is_the_merges_in_order(tmp_path):
+    """A small automaton allows exactly the token sequences that merging in order leaves as they are."""
+    letters = {c: b for b, c in bpe.byte_symbols().items() if c in "abx"}
+    merges = [("a", "b"), ("x", "x"), ("ab", "a"), ("xx", "x"), ("b", "a</w>"), ("a", "b</w>"), ("xx", "xx</w>"), ("x", "x</w>"), ("ab", "ab</w>")]
+    merges.sort(key=lambda m: len(m[0] + m[1].removesuffix("</w>")))
+    vocab: dict[str, int] = {}
+    for t in [*letters, *(c + "</w>" for c in letters), *(a + b for a, b in merges)]:
+        vocab[t] = len(vocab)
+    for a, b in merges:
+        assert a in vocab and b in vocab
+    path = tmp_path / "small.json"
+    path.write_text(json.dumps({"added_tokens": [], "model": {"vocab": vocab, "merges": [f"{a} {b}" for a, b in merges], "end_of_word_suffix": "</w>"}}))
+    t = bpe.compile_tables(str(path))
+    names = {i: n for n, i in vocab.items()}
+
+    def merged(word: str) -> list[str]:
+        parts = [*word[:-1], word[-1] + "</w>"]
+        for a, b in merges:
+            out = []
+            for p in parts:
+                if out and out[-1] == a and p == b:
+                    out[-1] = a + b
+                else:
+                    out.append(p)
+            parts = out
+        return parts
+
+    words = ["".join(w) for n in range(1, 9) for w in itertools.product("abx", repeat=n)]
+    tokens, counts = bpe.Encoder(t).words(words)
+    ids = t.ids[tokens].tolist()
+    for word, n in zip(words, counts.tolist(), strict=True):
+        assert [names[i] for i in ids[:n]] == merged(word)
+        ids = ids[n:]
+
+
 def pack(df, capacity=2048):
     return packing.pack(df, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {"<|endoftext|>": 50256}, capacity=capacity)
 
