@@ -1,13 +1,15 @@
 """Harmonic packing of tokenised documents into fixed-length sequences.
 
-A document is cut into pieces whose lengths are reciprocals of the capacity:
-``capacity`` itself as often as it fits, then the binary parts of the rest. Class k
-holds the pieces of length ``capacity / k`` and each of its bins takes exactly k of
-them, so a closed bin is full to the last token. Every task packs the documents of
-its partition on its own: no shuffle, and a lost task is repeated alone. At the end
-of a partition the bins still open hold fewer than ``2 * capacity`` pieces; they are
-laid out largest first, which fills further sequences exactly, and the last sequence
-is split at powers of two. No sequence needs padding.
+Class k holds the pieces of at most ``capacity / k`` ids, and each of its bins takes
+exactly k of them, one for each of k slots that add up to the capacity. A document's
+whole capacities are bins of class 1. Its rest goes uncut into the class whose slot it
+nearly fills (at most ``SLACK`` of the slot stays free) or if it is short; else it
+fills one slot of the class below to the last id, and only the overhang, which is
+less than half of it, is placed in the same way. Every task packs the documents of its
+partition on its own: no shuffle, and a lost task is repeated alone. The bins that are
+still open at the end of a partition hold one capacity per class at most; their
+pieces are laid end to end and cut at every capacity, and the last ids at powers of
+two, so they need no padding.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from pyspark.sql import DataFrame
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Sequences of one partition are numbered from its index times this.
 SEQUENCES_PER_PARTITION = 1 << 36
+#: Share of a slot that an uncut piece may leave free, and ids below which a piece is never cut.
+SLACK, SHORT = 1 / 48, 48
 #: Distinct words whose ids a worker keeps.
 CACHE_WORDS = 400_000
 _SPACE_BEFORE_SPACE = re.compile(r"\s ")
@@ -80,10 +84,7 @@ def byte_encoder(ranks_path: str, pattern: str, special: dict[str, int]) -> Call
     return encode
 
 
-def cut_lengths(total: int, capacity: int) -> list[int]:
-    """Piece lengths of a document: whole capacities, then falling powers of two."""
-    whole, rest = divmod(total, capacity)
-    return [capacity] * whole + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
+Piece = tuple[int | None, int, bytes, int]  # doc_id, start, ids, ids of the document
 
 
 class Bins:
@@ -91,37 +92,58 @@ class Bins:
 
     def __init__(self, capacity: int, first: int):
         self.capacity, self.next = capacity, first
-        self.open: dict[int, list[tuple]] = {}
+        self.open: dict[int, list[Piece]] = {}
 
-    def _close(self, pieces: list[tuple]) -> list[tuple]:
+    def _close(self, pieces: list[Piece]) -> list[tuple]:
         out, at = [], 0
-        for p in pieces:
-            out.append((*p, self.next, at))
-            at += p[2]
+        for doc_id, start, ids, total in pieces:
+            out.append((doc_id, start, len(ids) // 4, zlib.crc32(ids), total, self.next, at))
+            at += len(ids) // 4
         self.next += 1
         return out
 
-    def add(self, piece: tuple) -> list[tuple]:
-        length = piece[2]
-        held = self.open.setdefault(length, [])
+    def slot(self, k: int) -> int:
+        """Size of the next free slot in the open bin of class ``k``; the k slots add up to the capacity."""
+        j = len(self.open.get(k, ()))
+        return (j + 1) * self.capacity // k - j * self.capacity // k
+
+    def _put(self, k: int, piece: Piece) -> list[tuple]:
+        held = self.open.setdefault(k, [])
         held.append(piece)
-        if len(held) * length < self.capacity:
-            return []
-        self.open[length] = []
-        return self._close(held)
+        return self._close(self.open.pop(k)) if len(held) == k else []
+
+    def add(self, doc_id: int | None, ids: bytes) -> list[tuple]:
+        """Rows of the bins that the document closes."""
+        capacity, total, start, out = self.capacity, len(ids) // 4, 0, []
+        while (rest := total - start) > 0:
+            if rest >= capacity:
+                k, length = 1, capacity
+            else:
+                k, length = capacity // rest, rest
+                if rest >= SHORT and rest < (1 - SLACK) * (capacity // k):
+                    k += 1
+                    length = min(rest, self.slot(k))
+            out += self._put(k, (doc_id, start, ids[4 * start : 4 * (start + length)], total))
+            start += length
+        return out
 
     def finish(self) -> list[tuple]:
-        rest = [p for length in sorted(self.open, reverse=True) for p in self.open[length]]
+        rest = [p for k in sorted(self.open) for p in self.open[k]]
+        self.open = {}
         out: list[tuple] = []
-        while rest:
-            left = sum(p[2] for p in rest)
+        left, n = sum(len(p[2]) for p in rest) // 4, 0
+        while left:
             room = self.capacity if left >= self.capacity else 1 << (left.bit_length() - 1)
-            taken, n = 0, 0
-            while taken < room:
-                taken += rest[n][2]
-                n += 1
-            out += self._close(rest[:n])
-            rest = rest[n:]
+            left -= room
+            taken: list[Piece] = []
+            while room:
+                doc_id, start, ids, total = rest[n]
+                length = min(room, len(ids) // 4)
+                taken.append((doc_id, start, ids[: 4 * length], total))
+                rest[n] = (doc_id, start + length, ids[4 * length :], total)
+                room -= length
+                n += length == len(ids) // 4
+            out += self._close(taken)
         return out
 
 
@@ -147,13 +169,7 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, special: dict[str, int]
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = (encode(text) if text else b"") + end
-                total, start = len(ids) // 4, 0
-                doc_id = None if pd.isna(doc_id) else int(doc_id)
-                for length in cut_lengths(total, capacity):
-                    crc = zlib.crc32(ids[4 * start : 4 * (start + length)])
-                    rows += bins.add((doc_id, start, length, crc, total))
-                    start += length
+                rows += bins.add(None if pd.isna(doc_id) else int(doc_id), (encode(text) if text else b"") + end)
             yield frame(rows)
         yield frame(bins.finish())
 

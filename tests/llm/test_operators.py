@@ -364,10 +364,31 @@ def test_packing(spark, hard, none):
         for p in sorted(pieces, key=lambda p: p["offset"]):
             assert p["offset"] == at
             at += p["length"]
-        assert at <= 2048 and at & (at - 1) == 0
+        assert at <= 2048
+    lengths = [sum(p["length"] for p in pieces) for pieces in by_seq.values()]
+    assert sum(2048 - n for n in lengths if n & (n - 1)) < 0.005 * sum(lengths) and len(rows) < 3 * len(docs)
     assert {r["doc_id"] for r in pack(hard).collect()} == {i for i, _ in HARD} and pack(none).count() == 0
 
 
+def test_bins_hold_a_fixed_count():
+    rng = random.Random(2)
+    bins, rows, want = packing.Bins(256, 0), [], {}
+    for i in range(3000):
+        want[i] = np.array([rng.randrange(9999) for _ in range(rng.choice([1, 3, 40, 86, 128, 200, 255, 256, 600]))], "<u4").tobytes()
+        rows += bins.add(i, want[i])
+    closed = collections.defaultdict(list)
+    for r in rows:
+        closed[r[5]].append(r[2])
+    assert all(max(v) <= -(-256 // len(v)) and sum(v) <= 256 for v in closed.values()) and len({len(v) for v in closed.values()}) > 3
+    assert all(sum(len(p[2]) for p in held) <= 4 * 256 for held in bins.open.values())
+    rows += bins.finish()
+    got = collections.defaultdict(int)
+    for doc_id, start, length, crc, total, _, _ in rows:
+        assert crc == zlib.crc32(want[doc_id][4 * start : 4 * (start + length)]) and 4 * total == len(want[doc_id])
+        got[doc_id] += 4 * length
+    assert got == {i: len(x) for i, x in want.items()}
+
+
 def test_licenses(spark, hard, none):
     known = licenses.known_digests(spark)
     text = "MIT Licence\n\nCopyright (c) 2020 Some One\n(c) 2021 Other\n" + licenses.KNOWN["MIT"][len("MIT License ") :].lower().replace(", ", ",\n")
