@@ -1,18 +1,24 @@
-"""Main text of web pages, with a suffix array over each host's page furniture.
-
-A page is cut into blocks at block-level tags. Blocks inside menus, headers, footers,
-sidebars, forms, scripts, adverts, notices and comment sections (by element or by
-class, id and role words) never belong to the text. Blocks of an ``article`` (or else
-``main``) element do, unless these hold no text outside furniture. Pages that have neither are decided by their host: the token
-streams of all blocks outside articles of the host's pages are concatenated, a suffix
-array with longest common prefixes finds substrings that occur on distinct pages, and
-blocks mostly covered by such long repeats are boilerplate; the unique runs are kept.
-Hosts with many pages are dealt to several arrays; repeats across those are found by
-digests of token windows, aggregated before they are shuffled.
+"""Main text of web pages, with a suffix array over each host's token streams.
+
+A page is cut into blocks at block-level tags, and the tags give each block a prior:
+furniture (menus, headers, footers, sidebars, forms, scripts, adverts, notices and
+comment sections, by element or by class, id and role words), text (in an ``article``,
+or else in ``main``) or open. The token streams of the text and open blocks of all
+pages of a host are concatenated and sorted as suffixes; each interval of suffixes that
+share their first ``REPEAT`` tokens is a long substring with the distinct pages that
+hold it (pages of equal streams are one). A substring on a large share of a host's
+pages is boilerplate; a block that such substrings cover is removed, and unique runs
+are kept. Tags and array meet in the shares: in a page without text blocks open blocks
+go from ``OPEN_SHARE`` on, text blocks only from ``TEXT_SHARE`` on.
+
+Large hosts are dealt to several arrays by content; each sends the counts of its common
+substrings only, which are summed by host. What leaves the arrays is the table of each
+host's boilerplate, a few windows; pages are then read once more and decided in place.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as references
 import re
 from collections.abc import Iterator
@@ -22,13 +28,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import bounded_broadcast, cut
 from .shingles import U, mix, word_hashes
 
-#: Tokens that make a repeat long, or the whole of a shorter block; share of a block that must be covered.
-REPEAT, COVERED = 6, 0.5
-#: Pages of one suffix array.
-PAGES = 512
+#: Tokens that make a repeat long (a power of two), or the whole of a shorter block; share of a block that must be covered.
+REPEAT, COVERED = 8, 0.5
+#: Least number and share of a host's distinct pages that make a repeat boilerplate: for open blocks, and for blocks that tags call text.
+OPEN_PAGES, OPEN_SHARE = 3, 0.5
+TEXT_PAGES, TEXT_SHARE = 5, 0.8
+#: Pages of one suffix array, and pages from which an array leaves out counts below a quarter of OPEN_SHARE (it holds pages at random).
+PAGES, FEW_PAGES = 2048, 256
+FURNITURE, OPEN, TEXT = 0, 1, 2
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*>", re.S
@@ -72,17 +82,16 @@ def _flagged(rest: str) -> int:
     return most
 
 
-def blocks(page: str | None) -> tuple[list[str], list[tuple[str, bool]], bool]:
-    """Blocks inside the article (or main) element, the other blocks with whether they are marked as furniture, and whether there are any of the first.
+def blocks(page: str | None) -> list[tuple[str, int]]:
+    """The blocks of a page in order, each with its prior ``FURNITURE``, ``OPEN`` or ``TEXT``.
 
-    The first that has text is taken: articles outside furniture; ``main``, which no
-    class name around it makes furniture; articles in elements whose class name only
-    holds a furniture word (``sidebar-page``).
+    Text is the first of these that there is: articles outside furniture; ``main``,
+    which no class name around it makes furniture; articles in elements whose class
+    name only holds a furniture word (``sidebar-page``).
     """
-    inside: dict[str, list[str]] = {"article": [], "main": [], "wrapped": []}
-    outside: list[tuple[str, bool]] = []
+    found: list[tuple[str, frozenset[str], bool]] = []  # text, the sets it may belong to, whether it is furniture
     if not page:
-        return [], outside, False
+        return []
     parts: list[str] = []
     # open elements that matter: their name, and how they drop what they hold (3 by name, 2 by a furniture word, 1 by a compound of one)
     stack: list[tuple[str, int]] = []
@@ -99,16 +108,12 @@ def blocks(page: str | None) -> tuple[list[str], list[tuple[str, bool]], bool]:
         main = len(names) - 1 - names[::-1].index("main") if "main" in names else None
         drops = [d for k, (_, d) in enumerate(stack) if d == 3 or (d and (main is None or k > main))]
         first = names.index("article") if "article" in names else None
-        chosen = False
+        sets = frozenset()
         if not drops and (first is not None or main is not None):
-            chosen = True
-            for name, at in (("article", first), ("main", main)):
-                if at is not None:
-                    inside[name].append(text)
+            sets = frozenset(n for n, at in (("article", first), ("main", main)) if at is not None)
         elif first is not None and not any(d > 1 or (d and k >= first) for k, (_, d) in enumerate(stack) if d == 3 or main is None or k > main):
-            inside["wrapped"].append(text)
-        if not chosen:
-            outside.append((text, bool(drops)))
+            sets = frozenset(("wrapped",))
+        found.append((text, sets, bool(drops)))
 
     def end(at: int) -> None:
         del stack[at:]
@@ -178,139 +183,144 @@ def blocks(page: str | None) -> tuple[list[str], list[tuple[str, bool]], bool]:
             close = re.compile(rf"</{re.escape(name)}\b", re.I).search(page, at)
             at = close.start() if close else until
     flush()
-    text = next((inside[n] for n in ("article", "main", "wrapped") if inside[n]), [])
-    return text, outside, bool(text)
+    chosen = next((n for n in ("article", "main", "wrapped") if any(n in sets for _, sets, _ in found)), None)
+    return [(text, TEXT if chosen in sets else FURNITURE if dropped else OPEN) for text, sets, dropped in found]
 
 
-def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix order by prefix doubling, and the common prefix of each suffix with the one before it."""
+def suffix_ranks(tokens: np.ndarray, depth: int = REPEAT) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix order by prefix doubling up to ``depth`` tokens, and the rank of each place: equal where these tokens are."""
     n = len(tokens)
-    rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
+    order, rank = np.empty(0, np.int64), np.unique(tokens, return_inverse=True)[1].astype(np.int64).ravel()
     step = 1
-    while True:
-        after = np.full(n, -1, np.int64)
-        after[: n - step] = rank[step:] if step < n else []
-        order = np.lexsort((after, rank))
-        new = np.concatenate(([0], np.cumsum((np.diff(rank[order]) != 0) | (np.diff(after[order]) != 0))))
-        rank[order] = new
-        if new[-1] == n - 1 or step >= n:
-            break
+    while step <= depth // 2:
+        after = np.zeros(n, np.int64)
+        after[: max(0, n - step)] = rank[step:] + 1
+        both = rank * (n + 1) + after
+        order = np.argsort(both, kind="stable")
+        rank[order] = np.concatenate(([0], np.cumsum(np.diff(both[order]) != 0)))[:n]
         step *= 2
-    common, h = np.zeros(n, np.int64), 0
-    values, places, ranks = tokens.tolist(), order.tolist(), rank.tolist()
-    for i in range(n):  # Kasai's pass
-        if ranks[i]:
-            j = places[ranks[i] - 1]
-            while i + h < n and j + h < n and values[i + h] == values[j + h]:
-                h += 1
-            common[ranks[i]] = h
-            h = max(0, h - 1)
-        else:
-            h = 0
-    return order, common
-
-
-def repeated(tokens: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Per position, the length of the longest substring from there that another page also has."""
-    order, common = suffix_array(tokens)
-    best = np.zeros(len(tokens), np.int64)
-    for ks in (range(1, len(order)), range(len(order) - 1, 0, -1)):
-        forward = ks.step > 0
-        reach = 0
-        for k in ks:
-            here, there = (order[k], order[k - 1]) if forward else (order[k - 1], order[k])
-            reach = common[k] if owner[here] != owner[there] else min(reach, common[k])
-            best[here] = max(best[here], reach)
-    return best
-
-
-def _streams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for own, host, page in zip(batch["own"], batch["host"], batch["html"], strict=True):
-            _, outside, found = blocks(page)
-            texts = [t for t, _ in outside]
-            rows.append((own, host, found, texts, [m for _, m in outside]))
-        yield pd.DataFrame(rows, columns=["own", "host", "found", "texts", "marked"])
-
-
-def _loose_text(pages: DataFrame) -> DataFrame:
-    """``(own, loose)``: text of the pages without article or main, decided by their hosts."""
-    schema = "own long, host string, found boolean, texts array<string>, marked array<boolean>"
-    streams = cut(pages.mapInPandas(_streams, schema).dropDuplicates(["own"]), "streams")
-    wanted = streams.where("not found").select("host").distinct()
-    streams = streams.join(wanted, "host", "left_semi")
-    sizes = streams.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / PAGES).cast("int").alias("arrays"))
-    dealt = streams.join(sizes, "host").withColumn("array", F.pmod(F.xxhash64("own", F.lit(5)), "arrays").cast("int"))
-
-    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = {(host, int(w), array) for host, array, texts in zip(batch["host"], batch["array"], batch["texts"], strict=True) for t in texts for w in _windows(t)}
-            yield pd.DataFrame(list(rows), columns=["host", "w", "array"])
-
-    several = dealt.where("arrays > 1")
-    across = (
-        several.mapInPandas(windows, "host string, w long, array int").groupBy("host", "w")
-        .agg(F.min("array").alias("a"), F.max("array").alias("b")).where("a <> b").select("host", "w")
-    )
-    # windows of undecided pages that another array of the host has too
-    open_windows = several.where("not found").select("own", "host", F.posexplode("texts").alias("block", "text"))
-
-    def of_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(own, host, block, k, int(w)) for own, host, block, t in zip(batch["own"], batch["host"], batch["block"], batch["text"], strict=True) for k, w in enumerate(_windows(t))]
-            yield pd.DataFrame(rows, columns=["own", "host", "block", "k", "w"])
-
-    elsewhere = (
-        open_windows.mapInPandas(of_blocks, "own long, host string, block int, k int, w long").join(across, ["host", "w"])
-        .groupBy("own").agg(F.collect_list(F.struct("block", "k")).alias("elsewhere"))
-    )
-
-    def decide(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        tokens, owner, at = [], [], []
-        for page, texts in enumerate(rows["texts"]):
-            for block, text in enumerate(texts):
-                words = word_hashes(text)
-                at.append((page, block, len(tokens), len(words)))
-                tokens += (words | U(1)).tolist()
-                owner += [page] * len(words)
-                tokens.append(2 * len(at))  # a mark that occurs once
-                owner.append(page)
-        longest = repeated(np.array(tokens, U), np.array(owner)) if tokens else np.empty(0, np.int64)
-        kept: dict[int, list[str]] = {}
-        found, texts, marked, other = rows["found"].tolist(), rows["texts"].tolist(), rows["marked"].tolist(), rows["elsewhere"].tolist()
-        for page, block, start, n in at:
-            if found[page] or marked[page][block]:
-                continue
-            cover = np.zeros(n + 1, np.int64)
-            need = min(REPEAT, n)
-            for k in range(n):
-                if longest[start + k] >= need:
-                    cover[k] += 1
-                    cover[min(n, k + longest[start + k])] -= 1
-            for x in other[page] if other[page] is not None else []:
-                if x["block"] == block:
-                    cover[x["k"]] += 1
-                    cover[min(n, x["k"] + need)] -= 1
-            if not n or (np.cumsum(cover)[:n] > 0).mean() <= COVERED:
-                kept.setdefault(page, []).append(texts[page][block])
-        out = [(own, "\n\n".join(kept.get(page, []))) for page, own in enumerate(rows["own"]) if not found[page]]
-        return pd.DataFrame(out, columns=["own", "loose"])
-
-    return dealt.join(elsewhere, "own", "left").groupBy("host", "array").applyInPandas(decide, "own long, loose string")
-
-
-def _windows(text: str) -> np.ndarray:
-    words = word_hashes(text)
-    k = min(REPEAT, len(words))
-    if not k:
-        return np.empty(0, np.int64)
-    out = mix(words[: len(words) - k + 1] + U(k))
-    for i in range(1, k):
-        out = mix(out * U(3) + words[i : len(words) - k + 1 + i])
+    return order, rank
+
+
+def _window_hash(tokens: np.ndarray, places: np.ndarray, width: int) -> np.ndarray:
+    out = mix(tokens[places].astype(np.uint64) + U(width))
+    for i in range(1, width):
+        out = mix(out * U(3) + tokens[places + i].astype(np.uint64))
     return out.astype(np.int64)
 
 
+def _short_hash(tokens: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of whole blocks of fewer than ``REPEAT`` tokens."""
+    out = np.zeros(len(start), np.int64)
+    for width in range(1, REPEAT):
+        of = np.flatnonzero(size == width)
+        out[of] = _window_hash(tokens, start[of], width)
+    return out
+
+
+def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of the blocks, one stream, as 32-bit hashes, and the number of each block's tokens."""
+    sizes = np.array([t.count(" ") + 1 for t in texts], np.int64)
+    return (word_hashes(" ".join(texts)) >> U(32)).astype(np.uint32), sizes
+
+
+def repeats(tokens: np.ndarray, sizes: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all windows of ``REPEAT`` tokens within a block, and of whole shorter blocks, with the number of distinct pages.
+
+    ``page`` is the page number of each block, not falling.
+    """
+    if not len(tokens):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    start = np.cumsum(sizes) - sizes
+    owner = np.repeat(page, sizes)
+    left = np.repeat(start + sizes, sizes) - np.arange(len(tokens))
+    order, rank = suffix_ranks(tokens)
+    order = order[left[order] >= REPEAT]  # windows stay within their block
+    kinds, pages = rank[order], owner[order]
+    # suffixes of one rank are in order of their places, so those of a page lie together
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (kinds[1:] != kinds[:-1]) | (pages[1:] != pages[:-1])
+    head = np.ones(len(order), bool)
+    head[1:] = kinds[1:] != kinds[:-1]
+    heads = np.flatnonzero(head)
+    counts = np.add.reduceat(fresh.astype(np.int64), heads) if len(heads) else np.empty(0, np.int64)
+    short = np.flatnonzero(sizes < REPEAT)
+    whole = np.unique(np.stack((_short_hash(tokens, start[short], sizes[short]), page[short].astype(np.int64))), axis=1)
+    names, n = np.unique(whole[0], return_counts=True)
+    return np.concatenate((_window_hash(tokens, order[heads], REPEAT), names)), np.concatenate((counts, n))
+
+
+def covered(tokens: np.ndarray, sizes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Per block, whether windows in the sorted ``known`` cover more than ``COVERED`` of it."""
+    start = np.cumsum(sizes) - sizes
+    out = np.zeros(len(sizes), bool)
+    if not len(known) or not len(tokens):
+        return out
+    short = np.flatnonzero(sizes < REPEAT)
+    out[short] = np.isin(_short_hash(tokens, start[short], sizes[short]), known)
+    left = np.repeat(start + sizes, sizes) - np.arange(len(tokens))
+    places = np.flatnonzero(left >= REPEAT)
+    hit = places[np.isin(_window_hash(tokens, places, REPEAT), known)]
+    edge = np.zeros(len(tokens) + 1, np.int64)
+    np.add.at(edge, hit, 1)
+    np.add.at(edge, hit + REPEAT, -1)
+    share = np.add.reduceat((np.cumsum(edge)[:-1] > 0).astype(np.int64), start) / sizes
+    return out | ((sizes >= REPEAT) & (share > COVERED))
+
+
+def boilerplate(pages: DataFrame) -> DataFrame:
+    """``(host, w, strong)``: the windows that are boilerplate on a host of ``pages(host, html)``.
+
+    ``strong`` ones are on ``TEXT_SHARE`` of the host's distinct pages. A host's windows
+    are no more than its tokens per page over ``OPEN_SHARE``.
+    """
+    large = cut(pages.groupBy("host").count().where(F.col("count") > PAGES).select("host", F.ceil(F.col("count") / PAGES).cast("int").alias("arrays")), "hosts")
+    dealt = pages.join(bounded_broadcast(large), "host", "left").select("host", F.coalesce("arrays", F.lit(1)).alias("arrays"), "html")
+
+    def streams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[tuple] = set()  # equal streams of one task are sent once
+        for batch in batches:
+            rows = []
+            for host, arrays, page in zip(batch["host"], batch["arrays"], batch["html"], strict=True):
+                texts = [t for t, prior in blocks(page) if prior != FURNITURE]
+                if not texts:
+                    continue
+                tokens, sizes = _tokens(texts)
+                code = hashlib.blake2b(tokens.tobytes() + sizes.tobytes(), digest_size=16).digest()
+                if (host, code) not in seen:
+                    seen.add((host, code))
+                    rows.append((host, int.from_bytes(code[:6], "little") % arrays, code, tokens.tobytes(), sizes.astype(np.uint32).tobytes()))
+            yield pd.DataFrame(rows, columns=["host", "array", "code", "tokens", "sizes"])
+
+    def count(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop_duplicates("code")
+        sizes = [np.frombuffer(b, np.uint32) for b in rows["sizes"]]
+        page = np.repeat(np.arange(len(rows)), [len(x) for x in sizes])
+        w, n = repeats(np.frombuffer(b"".join(rows["tokens"]), np.uint32), np.concatenate(sizes).astype(np.int64), page)
+        common = n >= (OPEN_SHARE / 4 * len(rows) if len(rows) >= FEW_PAGES else 1)
+        return pd.DataFrame({"host": key[0], "w": np.append(w[common], 0), "n": np.append(n[common], 0), "pages": np.append(np.zeros(common.sum(), np.int64), len(rows))})
+
+    counts = dealt.mapInPandas(streams, "host string, array int, code binary, tokens binary, sizes binary").groupBy("host", "array")
+    counts = cut(counts.applyInPandas(count, "host string, w long, n long, pages long").groupBy("host", "w").agg(F.sum("n").alias("n"), F.sum("pages").alias("pages")), "windows")
+    total = counts.groupBy("host").agg(F.sum("pages").alias("total"))
+    found = counts.where(F.col("n") >= OPEN_PAGES).select("host", "w", "n").join(total, "host")
+    strong = (F.col("n") >= TEXT_PAGES) & (F.col("n") >= TEXT_SHARE * F.col("total"))
+    return found.where(F.col("n") >= OPEN_SHARE * F.col("total")).select("host", "w", strong.alias("strong"))
+
+
+def _chosen(page: str | None, weak: np.ndarray | None, strong: np.ndarray | None) -> str:
+    """The page's text, given its host's boilerplate."""
+    found = blocks(page)
+    prior = max((p for _, p in found), default=FURNITURE)
+    texts = [t for t, p in found if p == prior != FURNITURE]
+    known = strong if prior == TEXT else weak
+    if texts and known is not None and len(known):
+        dropped = covered(*_tokens(texts), np.sort(known))
+        if prior == OPEN or not dropped.all():
+            texts = [t for t, d in zip(texts, dropped, strict=True) if not d]
+    return "\n\n".join(texts)
+
+
 def main_text(pages: DataFrame) -> DataFrame:
     """``(page_id, url, text, n_chars)`` for each row of ``pages(page_id, url, html)``.
 
@@ -319,16 +329,14 @@ def main_text(pages: DataFrame) -> DataFrame:
     empty text; pages with a null url share one nameless host; equal rows get equal
     texts; an empty table gives none. Other columns are ignored.
     """
-    pages = pages.select("page_id", "url", "html").withColumn("own", F.xxhash64("page_id", "url", "html"))
+    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/@?#]*@)?([^/:?#]*)", 1))
+    pages = pages.select("page_id", "url", host.alias("host"), "html")
+    known = boilerplate(pages.select("host", "html")).groupBy("host").agg(F.collect_list("w").alias("weak"), F.collect_list(F.when(F.col("strong"), F.col("w"))).alias("strong"))
 
-    @F.pandas_udf("struct<found:boolean,text:string>")
-    def article(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in texts:
-            made = [blocks(page) for page in batch]
-            yield pd.DataFrame({"found": [m[2] for m in made], "text": ["\n\n".join(m[0]) for m in made]})
+    @F.pandas_udf("string")
+    def text_of(columns: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for html, weak, strong in columns:
+            yield pd.Series([_chosen(*row) for row in zip(html, weak, strong, strict=True)], dtype=object)
 
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/@?#]*@)?([^/:?#]*)", 1))
-    loose = _loose_text(pages.select("own", host.alias("host"), "html"))
-    read = pages.select("page_id", "url", "own", article("html").alias("a")).select("page_id", "url", F.when(~F.col("a.found"), F.col("own")).alias("own"), F.col("a.text").alias("text"))
-    text = F.coalesce("loose", "text")
-    return read.join(loose, "own", "left").select("page_id", "url", text.alias("text"), F.char_length(text).cast("long").alias("n_chars"))
+    read = pages.join(bounded_broadcast(cut(known, "boilerplate")), "host", "left").select("page_id", "url", text_of("html", "weak", "strong").alias("text"))
+    return read.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
