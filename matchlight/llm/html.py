@@ -37,7 +37,7 @@ REPEAT, COVERED = 8, 0.5
 OPEN_PAGES, OPEN_SHARE = 3, 0.5
 TEXT_PAGES, TEXT_SHARE = 5, 0.8
 #: Pages of one suffix array, and pages from which an array leaves out counts below a quarter of OPEN_SHARE (it holds pages at random).
-PAGES, FEW_PAGES = 2048, 256
+PAGES, FEW_PAGES = 512, 128
 FURNITURE, OPEN, TEXT = 0, 1, 2
 
 _TAG = re.compile(
@@ -289,18 +289,21 @@ def boilerplate(pages: DataFrame) -> DataFrame:
                 code = hashlib.blake2b(tokens.tobytes() + sizes.tobytes(), digest_size=16).digest()
                 if (host, code) not in seen:
                     seen.add((host, code))
-                    rows.append((host, int.from_bytes(code[:6], "little") % arrays, code, tokens.tobytes(), sizes.astype(np.uint32).tobytes()))
-            yield pd.DataFrame(rows, columns=["host", "array", "code", "tokens", "sizes"])
+                    rows.append((host, int.from_bytes(code[:6], "little") % arrays, arrays, code, tokens.tobytes(), sizes.astype(np.uint32).tobytes()))
+            yield pd.DataFrame(rows, columns=["host", "array", "arrays", "code", "tokens", "sizes"])
 
     def count(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates("code")
         sizes = [np.frombuffer(b, np.uint32) for b in rows["sizes"]]
         page = np.repeat(np.arange(len(rows)), [len(x) for x in sizes])
         w, n = repeats(np.frombuffer(b"".join(rows["tokens"]), np.uint32), np.concatenate(sizes).astype(np.int64), page)
-        common = n >= (OPEN_SHARE / 4 * len(rows) if len(rows) >= FEW_PAGES else 1)
+        if rows["arrays"].iloc[0] == 1:
+            common = n >= max(OPEN_PAGES, OPEN_SHARE * len(rows))
+        else:
+            common = n >= (OPEN_SHARE / 4 * len(rows) if len(rows) >= FEW_PAGES else 1)
         return pd.DataFrame({"host": key[0], "w": np.append(w[common], 0), "n": np.append(n[common], 0), "pages": np.append(np.zeros(common.sum(), np.int64), len(rows))})
 
-    counts = dealt.mapInPandas(streams, "host string, array int, code binary, tokens binary, sizes binary").groupBy("host", "array")
+    counts = dealt.mapInPandas(streams, "host string, array int, arrays int, code binary, tokens binary, sizes binary").groupBy("host", "array")
     counts = cut(counts.applyInPandas(count, "host string, w long, n long, pages long").groupBy("host", "w").agg(F.sum("n").alias("n"), F.sum("pages").alias("pages")), "windows")
     total = counts.groupBy("host").agg(F.sum("pages").alias("total"))
     found = counts.where(F.col("n") >= OPEN_PAGES).select("host", "w", "n").join(total, "host")

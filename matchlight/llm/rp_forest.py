@@ -180,12 +180,13 @@ def links(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     total = vectors.count()
     if total < 2:
         return vectors.select("own", F.lit(0).cast("long").alias("degree"), F.col("own").alias("root")).limit(0)
+    kind = vectors.schema["embedding"].dataType.simpleString()  # floats stay floats until they are compared
     depth = max(0, math.ceil(math.log2(total / NODE)))
     dim = vectors.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").first()["dim"]
     splits: list[dict] = [{} for _ in range(TREES)]
     if depth:
         got = vectors.where(F.size("embedding") == dim).orderBy(F.xxhash64("own"), "own").limit(FIT_ROWS).select("embedding").toArrow()
-        sample = got.column("embedding").combine_chunks().flatten().to_numpy().reshape(-1, dim)
+        sample = got.column("embedding").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(-1, dim)
         splits = fit_splits(sample / np.linalg.norm(sample, axis=1, keepdims=True), depth, spill_width(dim, least))
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -200,7 +201,7 @@ def links(vectors: DataFrame, least: float = 0.93) -> DataFrame:
                     yield part.iloc[row].assign(tree=tree, node=node, dim=int(size))[["tree", "node", "dim", *batch.columns]]
 
     keys = ["tree", "node", "dim", "label"]
-    routed = vectors.select("label", "own", "embedding").mapInPandas(route, "tree int, node long, dim int, label string, own long, embedding array<double>")
+    routed = vectors.select("label", "own", "embedding").mapInPandas(route, f"tree int, node long, dim int, label string, own long, embedding {kind}")
     places = cut(routed.drop("embedding").groupBy(*keys).count().where(F.col("count") > BIG).select(*keys, F.ceil(F.col("count") / NODE).cast("int").alias("blocks")), "big")
     big = bounded_broadcast(places)
 
@@ -222,7 +223,7 @@ def links(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     wide = routed.drop("embedding").join(big, keys).mapInPandas(name_big, "own long, code long")
     codes = cut(small.union(wide).groupBy("own").agg(F.array_sort(F.collect_set("code")).alias("codes")), "leaves")
     known = vectors.join(codes, "own").select("label", "own", "embedding", F.col("n").alias("weight"), "codes")
-    again = known.mapInPandas(route, "tree int, node long, dim int, label string, own long, embedding array<double>, weight long, codes array<long>")
+    again = known.mapInPandas(route, f"tree int, node long, dim int, label string, own long, embedding {kind}, weight long, codes array<long>")
     dealt = (
         again.join(big, keys, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         .withColumn("block", F.pmod(F.xxhash64("own", F.lit(3)), "blocks").cast("int"))
@@ -265,12 +266,13 @@ def near_vectors(embeddings: DataFrame, least: float = 0.93) -> DataFrame:
     value = F.col("embedding")
     finite = ~F.exists(value, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     good = F.coalesce(finite & F.exists(value, lambda v: v != 0) & (F.size(value) > 0) & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False))
+    floats = embeddings.schema["embedding"].dataType.elementType.typeName() == "float"
     rows = embeddings.select(
         F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"),
-        F.transform("embedding", lambda v: v.cast("double")).alias("embedding"), good.alias("good"),
+        value.cast("array<float>" if floats else "array<double>").alias("embedding"), good.alias("good"),
     )
     # adding 0.0 makes the two zeros one; two hashes name a vector of a label in 128 bits
-    rows = rows.withColumn("embedding", F.transform("embedding", lambda v: v + F.lit(0.0)))
+    rows = rows.withColumn("embedding", F.transform("embedding", lambda v: v + F.lit(0).cast("float")))
     key = [F.when(F.col("good"), F.xxhash64("label", "embedding", F.lit(k))).alias(f"h{k}") for k in (1, 2)]
     rows = rows.select("vec_id", "label", "embedding", *key)
     equal = rows.where("h1 is not null").groupBy("h1", "h2").agg(

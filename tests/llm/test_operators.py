@@ -329,7 +329,7 @@ def test_secrets(spark, hard, none):
     spans = {r["doc_id"]: [(r["text"][x["start"] : x["end"]], x["kind"]) for x in r["spans"]] for r in got}
     assert (noise, 3) in spans[10_002]
     sure = {r["doc_id"]: {r["text"][x["start"] : x["end"]] for x in r["confirmed"]} for r in got}
-    assert "token: 9f86d081884c7d659a2feaa0c55ad015" in sure[10_003] and not sure[10_004] and not spans[10_005] and len(spans[10_006]) == 3000
+    assert "token: 9f86d081884c7d659a2feaa0c55ad015" in sure[10_003] and not sure[10_004] and not sure[10_005] and len(spans[10_006]) == 3000
     assert secrets.report(hard).count() == len(HARD) and secrets.report(none).count() == 0
 
 
