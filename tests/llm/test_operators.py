@@ -166,23 +166,47 @@ def test_pii_rules(spark, hard, none):
     assert pii.find(hard, field).where("size(spans) > 0").count() == 0
 
 
-def test_pii_chain_needs_no_room_among_shapes(spark, monkeypatch):
-    docs = spark.createDataFrame([(f"10.0.0.{i} and 10.0.1.{i} 10.0.2.{i} x{i} " + "7 8 9 " * 9,) for i in range(20)], "text string")
-    whole = pii.fit(docs)
-    monkeypatch.setattr(pii, "SHAPES", 1)
-    small = pii.fit(docs)
-    assert len(small.shapes) == 1 < len(whole.shapes) and np.ptp(small.chain[2] + small.rare) > 1
-    assert np.allclose(small.chain + small.rare, whole.chain + whole.rare)
-
-
 def test_pii_field_adds_repeats():
     text = "call +1 (988) 555-2485 or later (988) 555-2485 and thanks"
     counts = {pii.shape(w): c for w, c in (("+1", [0, 0, 0, 0, 9]), ("(988)", [1, 0, 0, 0, 9]), ("555-2485", [1, 0, 0, 0, 9]))}
-    field = pii.Field(counts, np.zeros((5, 5)))
+    field = pii.Field(counts, [500, 0, 0, 0, 0], np.zeros((5, 5)), (1.0, 0.0, 1.0, 5.0, 3.5))
     base = pii.rule_spans(text)
     more = field.label(text, base)
     assert [text[a:b] for _, a, b in base] == ["+1 (988) 555-2485"] and any("555-2485" in text[a:b] for _, a, b in more)
-    assert pii._redacted("mail x@y.zz now", field) == "mail [EMAIL] now" and field.label("no 1234567", []) == []
+    assert pii._redacted("mail x@y.zz now", field) == "mail [EMAIL] now" and field.label("no 1234567 9", []) == []
+
+
+def test_pii_field_decides_planted_repeats(spark):
+    """Numbers that the rules cannot know alone become spans where they repeat one that they know, and nowhere else."""
+    docs = [(r["doc_id"], r["text"]) for r in table(spark, "/root/testdata/sf0.01", "documents").collect()]
+    rng = random.Random(12)
+    planted = {}
+    for k in range(60):
+        n = f"{rng.randrange(200, 999)} {rng.randrange(200, 999)}-{rng.randrange(1000, 9999)}"
+        planted[50_000 + k] = (f"Ring +1 {n} today. It is also known as {n} here.", n.split()[1])
+        docs.append((50_000 + k, planted[50_000 + k][0]))
+        docs.append((60_000 + k, f"In the year {rng.randrange(1000, 2100)} there were {rng.randrange(10**6)} of them"))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    field = pii.fit(df)
+    got = {r["doc_id"]: (r["rules"], r["spans"]) for r in pii.find(df, field).collect()}
+    text = dict(docs)
+    found = sum(any(x["kind"] == "phone" and end in text[i][x["start"] : x["end"]] and x not in got[i][0] for x in got[i][1]) for i, (_, end) in planted.items())
+    assert found >= 57 and field.weights[3] + field.weights[4] > 0
+    off = pii.Field({s: [9, 0, 0, 0, 0] for s in field.shapes}, [9, 0, 0, 0, 0], np.zeros((5, 5)), (1.0, -30.0, 0.0, 0.0, 0.0))
+    assert not any(off.label(t, pii.rule_spans(t)) for t, _ in planted.values())
+    assert not any(got[60_000 + k][1] for k in range(60))
+
+
+def test_pii_propagation_is_exact_on_trees():
+    """On a chain with one skip edge less than a loop, marginals equal those of all labelings."""
+    rng = np.random.default_rng(3)
+    unary, edges = rng.normal(size=(4, 5)), [(0, 1, rng.normal(size=(5, 5))), (1, 2, rng.normal(size=(5, 5))), (1, 3, 2 * np.eye(5))]
+    want = np.zeros((4, 5))
+    for labels in itertools.product(range(5), repeat=4):
+        p = np.exp(sum(unary[i, k] for i, k in enumerate(labels)) + sum(e[labels[i], labels[j]] for i, j, e in edges))
+        for i, k in enumerate(labels):
+            want[i, k] += p
+    assert np.allclose(pii.Field._propagate(unary, edges), want / want.sum(1, keepdims=True), atol=0.01)
 
 
 def test_segments_are_brute_force():
