@@ -18,28 +18,34 @@ Every document is its set of distinct word shingles. The tree over all sets has
   ``bits(OR_x & OR_y) + excess >= required overlap``; a dual traversal drops every
   other pair of nodes. Surviving pairs of sets are compared exactly, word for word.
 
-Equal sets are collapsed first. Then each set is compared with the least set of its
-first routing nodes, which joins groups of near copies by a star instead of by all
-pairs; trees are built only at routing nodes that still hold sets of two components.
+Equal sets are collapsed first. The trees then run twice. In the first pass each set
+takes, from the trees of its first routing nodes, the one earlier set with the largest
+possible overlap; a group of near copies is joined by as many pairs as it has sets. In
+the second pass the trees of all routing nodes that still hold sets of two components
+yield every pair of sets in different components that may link. Hashing only deals the
+sets to trees; every candidate comes from a traversal and is compared exactly.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, bounded_broadcast, components, cut
 from .shingles import U, digest, mix, shingles
 
 SLICES = 40
-STAR_SLICES = 8
+#: Slices of a bucket whose trees the first pass asks.
+FIRST_SLICES = 3
 FANOUT = 8
-#: Sets of one routing node that one task takes at once; larger nodes are dealt as pairs of blocks.
+#: Sets of one routing node that one tree takes; larger nodes are dealt as pairs of blocks.
 BLOCK = 256
+#: Pairs with one text that are verified in one task.
+HUB = 512
 
 
 class Routes:
@@ -81,7 +87,7 @@ class Routes:
                 j = j[filled[:use] > 0]
             key = mix(mix(sums[j]) + U((bucket + 1) * 0x9E3779B97F4A7C15 % 2**64) + j.astype(np.uint64) * U(0xD6E8FEB86659FD93)).astype(np.int64)
             every += key.tolist()
-            star += key[:STAR_SLICES].tolist()
+            star += key[:FIRST_SLICES].tolist()
         return star, every
 
     def bitmap(self, s: np.ndarray) -> bytes:
@@ -107,8 +113,8 @@ def _fold(bitmap: bytes, size: int) -> np.ndarray:
 
 def tree_candidates(
     sizes: np.ndarray, bitmaps: list[bytes], left: np.ndarray, right: np.ndarray, group: np.ndarray, num: int, den: int
-) -> list[tuple[int, int]]:
-    """Pairs ``(i, j)`` of ``left`` x ``right`` in different groups that may link, by dual traversal of two signature trees."""
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs ``i, j`` of ``left`` x ``right`` in different groups that may link, and their greatest possible similarity, by dual traversal of two signature trees."""
     width = min(len(b) for b in bitmaps) // 8
     words = np.stack([_fold(b, width) for b in bitmaps])
     excess = sizes - np.bitwise_count(words).sum(1)
@@ -133,6 +139,7 @@ def tree_candidates(
         return [np.arange(n * FANOUT, min(below, n * FANOUT + FANOUT)) for n in nodes]
 
     i = j = np.zeros(1, np.int64)
+    near = np.zeros(1)
     dx, dy = len(x) - 1, len(y) - 1
     while True:
         _, wx, lox, hix, ex = x[dx]
@@ -140,7 +147,7 @@ def tree_candidates(
         least = lox[i] + loy[j]
         overlap = np.minimum(np.bitwise_count(wx[i] & wy[j]).sum(1) + np.minimum(ex[i], ey[j]), np.minimum(hix[i], hiy[j]))
         may = (overlap * (num + den) >= num * least) & (den * hix[i] >= num * loy[j]) & (den * hiy[j] >= num * lox[i])
-        i, j = i[may], j[may]
+        i, j, near = i[may], j[may], (overlap / (least - overlap))[may]
         if not len(i) or dx == dy == 0:
             break
         if dx >= dy:
@@ -154,12 +161,12 @@ def tree_candidates(
             i = np.repeat(i, [len(k) for k in kids])
             j = np.concatenate(kids)
     if not len(i):
-        return []
+        return i, j, near
     i, j = x[0][0][i], y[0][0][j]
     keep = group[i] != group[j]
     if same:
         keep &= i < j
-    return list(zip(i[keep].tolist(), j[keep].tolist(), strict=True))
+    return i[keep], j[keep], near[keep]
 
 
 def _profile(docs: DataFrame, n: int, routes: Routes) -> DataFrame:
@@ -181,19 +188,20 @@ def _profile(docs: DataFrame, n: int, routes: Routes) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, n: int, routes: Routes) -> DataFrame:
-    """Those of the distinct ``pairs(a, b)`` whose whole texts link."""
+    """Those of the distinct ``pairs(a, b)`` whose whole texts link; a text that many pairs share goes to many tasks."""
     ids = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
     texts = docs.where("doc_id is not null").join(bounded_broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
     texts = cut(texts, "texts")
-    rows = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(
-        texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b"
-    )
+    salts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / HUB).cast("int").alias("salts"))
+    second = texts.join(salts, texts["doc_id"] == salts["b"]).select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("text").alias("text_b"))
+    rows = pairs.join(salts, "b").withColumn("salt", F.pmod(F.xxhash64("a"), "salts").cast("int"))
+    rows = rows.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(second, ["b", "salt"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             ok = []
-            for a, b, ta, tb in zip(batch["a"], batch["b"], batch["text_a"], batch["text_b"], strict=True):
+            for b, ta, tb in zip(batch["b"], batch["text_a"], batch["text_b"], strict=True):
                 if b not in held:
                     if len(held) >= 64:
                         held.clear()
@@ -201,37 +209,68 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, routes: Routes) -> Data
                 ok.append(routes.linked(shingles(ta, n), held[b]))
             yield batch.loc[ok, ["a", "b"]]
 
-    return rows.mapInPandas(run, "a long, b long")
-
+    return rows.select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long")
 
-def _groups_to_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Candidate pairs of the routing nodes in ``members(key, n, rep, component, size, every, bitmap)``.
 
-    A node above ``BLOCK`` sets is dealt as pairs of blocks, each a task of two trees.
-    """
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
-    dealt = (
-        members.withColumn("blocks", blocks)
+def _dealt(members: DataFrame, others: Column) -> DataFrame:
+    """Members of routing nodes dealt to pairs of blocks ``(bi, bj)``; ``others`` are the blocks that a block meets."""
+    return (
+        members.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int"))
         .withColumn("block", F.pmod(F.xxhash64("rep", F.lit(7)), "blocks").cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("other", F.explode(others))
         .withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
-        .select("key", "bi", "bj", "block", "rep", "component", "size", "every", "bitmap")
+        .select("key", "bi", "bj", "block", "rep", "component", "size", "keys", "bitmap")
     )
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        first = np.flatnonzero((rows["block"] == key[1]).to_numpy())
-        second = first if key[1] == key[2] else np.flatnonzero((rows["block"] == key[2]).to_numpy())
-        if not len(first) or not len(second):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        rep, every = rows["rep"].to_numpy(), [set(k.tolist()) for k in rows["every"]]
-        found = tree_candidates(rows["size"].to_numpy(), rows["bitmap"].tolist(), first, second, rows["component"].to_numpy(), num, den)
-        # sets that meet at several routing nodes are a candidate at the least of them only
-        found = [(i, j) for i, j in found if min(every[i] & every[j]) == key[0]]
-        a = np.array([rep[i] for i, _ in found], np.int64)
-        b = np.array([rep[j] for _, j in found], np.int64)
-        return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)})
 
-    return dealt.groupBy("key", "bi", "bj").applyInPandas(run, "a long, b long")
+def _tree_pairs(dealt: DataFrame, num: int, den: int, best: bool) -> DataFrame:
+    """Candidate pairs ``(a, b)``, a > b, of the trees of ``dealt``.
+
+    With ``best`` only the likeliest partner of each set among those before it, else
+    all in different components; sets that meet at several routing nodes are then a
+    candidate at the least of them only.
+    """
+
+    def candidates(key: int, bi: int, bj: int, rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        block, rep = rows["block"].to_numpy(), rows["rep"].to_numpy()
+        first = np.flatnonzero(block == bi)
+        second = first if bi == bj else np.flatnonzero(block == bj)
+        if not len(first) or not len(second) or len(rows) < 2:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        i, j, near = tree_candidates(rows["size"].to_numpy(), rows["bitmap"].tolist(), first, second, rows["component"].to_numpy(), num, den)
+        a, b = np.maximum(rep[i], rep[j]), np.minimum(rep[i], rep[j])
+        if best:
+            order = np.lexsort((b, -near, a))
+            a, b = a[order], b[order]
+            head = np.append(True, a[1:] != a[:-1])[: len(a)]
+            return a[head], b[head]
+        keys = [set(k.tolist()) for k in rows["keys"]]
+        least = [min(keys[x] & keys[y]) == key for x, y in zip(i.tolist(), j.tolist(), strict=True)]
+        return a[least], b[least]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            held = batch if held is None else pd.concat((held, batch), ignore_index=True)
+            names = held[["key", "bi", "bj"]].to_numpy()
+            heads = np.flatnonzero(np.append(True, (names[1:] != names[:-1]).any(1)))
+            yield _of_runs(candidates, held, names, heads, heads[1:])
+            held = held.iloc[heads[-1] :].reset_index(drop=True)  # the last tree may go on in the next batch
+        if held is not None:
+            names = held[["key", "bi", "bj"]].to_numpy()
+            yield _of_runs(candidates, held, names, np.zeros(1, np.int64), np.array([len(held)]))
+
+    ordered = dealt.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "rep")
+    return ordered.mapInPandas(run, "a long, b long").distinct()
+
+
+def _of_runs(candidates: Callable, rows: pd.DataFrame, names: np.ndarray, heads: np.ndarray, ends: np.ndarray) -> pd.DataFrame:
+    found = [candidates(*names[h].tolist(), rows.iloc[h:e]) for h, e in zip(heads, ends, strict=False)]
+    if not found:
+        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+    return pd.DataFrame({"a": np.concatenate([f[0] for f in found]), "b": np.concatenate([f[1] for f in found])}, dtype="int64")
 
 
 def near_copies(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, slices: int | None = SLICES) -> DataFrame:
@@ -243,6 +282,10 @@ def near_copies(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, slic
     than ``n`` words is one shingle; rows with a null ``doc_id`` are returned with a
     null component; rows that repeat a ``doc_id`` share its component. Other columns
     are ignored.
+
+    With the default ``slices`` texts of up to some 300 shingles (at 0.9) are joined
+    exactly; a pair of longer ones at the threshold is missed with a probability below
+    1e-8, at any size of the table. ``slices=None`` is exact at any length.
     """
     routes = Routes(num, den, slices)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -253,28 +296,28 @@ def near_copies(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, slic
         .agg(F.min("doc_id").alias("rep"), F.first("star").alias("star"), F.first("every").alias("every"), F.first("bitmap").alias("bitmap")),
         "sets",
     )
-    # Stars: each set against the least set of its first routing nodes.
-    star = sets.select("rep", F.explode("star").alias("key"))
-    hubs = star.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    pairs = cut(star.join(hubs, "key").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), "stars")
+    # First pass: each set and its likeliest partner in the trees of its first routing nodes.
+    first = sets.select("rep", F.explode("star").alias("key"))
+    several = bounded_broadcast(cut(first.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "keys"))
+    members = sets.select("rep", F.col("rep").alias("component"), "size", F.array().cast("array<long>").alias("keys"), "bitmap", F.explode("star").alias("key")).join(several, "key")
+    hub = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(0), F.col("block")))
+    pairs = cut(_tree_pairs(_dealt(members, hub), num, den, best=True), "pairs")
     links = cut(_verified(pairs, docs, n, routes), "links")
     joined = components(links).withColumnRenamed("node", "rep")
-    # Trees: routing nodes that still hold two components.
+    # Second pass: routing nodes that still hold two components.
     known = sets.join(joined, "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"), "every", "size", "bitmap")
     known = cut(known, "known")
     nodes = cut(
         known.select("rep", "component", F.explode("every").alias("key"))
-        .groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("rep").alias("r0"), F.max("rep").alias("r1"), F.count(F.lit(1)).alias("n"))
-        .where("c0 <> c1").drop("c0", "c1"),
+        .groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("n"))
+        .where("c0 <> c1").select("key", "n"),
         "nodes",
     )
-    twos = nodes.where("n = 2").select(F.col("r1").alias("a"), F.col("r0").alias("b"))
-    many = nodes.where("n > 2").select("key", "n")
-    narrow = F.broadcast(many) if many.count() <= BROADCAST_ROWS // 4 else many
+    narrow = bounded_broadcast(nodes, BROADCAST_ROWS // 4)
     rows = known.select("rep", F.explode("every").alias("key")).join(narrow, "key")
-    members = rows.join(known.select("rep", "component", "size", "every", "bitmap"), "rep")
-    tried = pairs.select("a", "b")
-    more = cut(twos.union(_groups_to_pairs(members, num, den)).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    members = rows.join(known.select("rep", "component", "size", F.col("every").alias("keys"), "bitmap"), "rep")
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    more = cut(_tree_pairs(_dealt(members, every), num, den, best=False).join(pairs, ["a", "b"], "left_anti"), "pairs")
     found = components(cut(links.union(_verified(more, docs, n, routes)), "links"))
     named = sets.select("rep", "d1", "d2", F.col("size").alias("n_shingles")).join(found.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component"))

@@ -18,7 +18,11 @@ def op1_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three-word shingles, links at 100 * intersection >= 90 * union."""
+    """Three-word shingles, links at 100 * intersection >= 90 * union.
+
+    Routed by 40 slices: exact to some 300 shingles, above it with a chance below 1e-8
+    of missing a pair (``near_copies`` has the exact way).
+    """
     return ngram_join.near_copies(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
 

@@ -96,11 +96,37 @@ def test_tree_candidates_hold_all_links():
     sets = [np.unique(rng.integers(0, 2**63, 100).astype(np.uint64)) for _ in range(20)]
     sets += [np.unique(np.concatenate((s[:95], rng.integers(0, 2**63, 5).astype(np.uint64)))) for s in sets]
     rows = np.arange(len(sets))
-    found = set(ngram_join.tree_candidates(np.array([len(s) for s in sets]), [routes.bitmap(s) for s in sets], rows, rows, rows, 80, 100))
+    i, j, near = ngram_join.tree_candidates(np.array([len(s) for s in sets]), [routes.bitmap(s) for s in sets], rows, rows, rows, 80, 100)
+    found = set(zip(i.tolist(), j.tolist(), strict=True))
+    assert all(x >= len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b])) - 1e-9 for a, b, x in zip(i, j, near, strict=True))
     links = {(i, j) for i in rows for j in rows if i < j and routes.linked(sets[i], sets[j])}
     assert links <= found and len(found) < len(sets) ** 2 / 4
 
 
+@pytest.mark.parametrize("size", [400, 1500, 8000])
+def test_slices_route_long_sets(size):
+    """Pairs right at the threshold and beyond 40 slices share a routing node; with the slices off nothing would."""
+    rng = np.random.default_rng(size)
+    routes = ngram_join.Routes(90, 100, ngram_join.SLICES)
+    for _ in range(40):
+        differ = (size // 19) if size % 19 else size // 19 - 1
+        pool = np.unique(rng.integers(0, 2**63, size + 2 * differ).astype(np.uint64))
+        rng.shuffle(pool)
+        a, b = np.sort(pool[:size]), np.sort(pool[differ : size + differ])
+        assert routes.linked(a, b) and set(routes.keys(a)[1]) & set(routes.keys(b)[1])
+
+
+def test_trees_carry_the_join(spark, monkeypatch):
+    """All candidates come from trees: without them no two different sets are joined."""
+    words = [f"t{i}" for i in range(200)]
+    rows = [(k, " ".join([*words[:k], f"u{k}", *words[k + 1 :]])) for k in range(600 // 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(ngram_join, "BLOCK", 32)
+    assert {r["component_id"] for r in ngram_join.near_copies(df, 3, 90, 100).collect()} == {0}
+    monkeypatch.setattr(ngram_join, "_tree_pairs", lambda dealt, *a, **k: dealt.selectExpr("rep a", "rep b").limit(0))
+    assert all(r["component_id"] == r["doc_id"] for r in ngram_join.near_copies(df, 3, 90, 100).collect())
+
+
 def test_ngram_join_hard(hard, none):
     got = sorted(ngram_join.near_copies(hard, 3, 90, 100).collect(), key=str)
     by = collections.defaultdict(list)
