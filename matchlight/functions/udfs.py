@@ -31,9 +31,15 @@ def statistic(f: Callable[[pd.Series], float]) -> Callable[[str], Column]:
     return run
 
 
-def classify(rows: DataFrame, fold: str, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """``f`` on each fold's rows, which hold their own training mark; folds are few and bounded by the caller."""
-    return rows.groupBy(fold).applyInPandas(f, schema)
+def classify(rows: DataFrame, f: Callable[[pd.DataFrame], pd.Series]) -> DataFrame:
+    """``rows`` with ``predicted`` from a classifier that maps a batch of rows to labels; what it was trained on comes as columns."""
+    names = rows.columns
+
+    @F.pandas_udf("long")
+    def run(row: pd.DataFrame) -> pd.Series:
+        return f(row)
+
+    return rows.withColumn("predicted", run(F.struct(*names)))
 
 
 def on_tiles(pixels: DataFrame, size: int, f: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:

@@ -56,38 +56,72 @@ def cells(pixels: DataFrame, size: int, step: int, last: int) -> DataFrame:
     return pixels.withColumn("cy", F.explode(covers("y"))).withColumn("cx", F.explode(covers("x")))
 
 
-def cell_correlation(pixels: DataFrame, pairs: DataFrame, size: int = 4, shift: int = 1) -> DataFrame:
-    """Per pair and cell, the best normalised cross-correlation over shifts, and that shift."""
-    c = pixels.select("image_id", F.expr(f"y DIV {size}").alias("cy"), F.expr(f"x DIV {size}").alias("cx"), "y", "x", "value")
-    a = pairs.join(c.withColumnRenamed("image_id", "id_a").withColumnRenamed("value", "va"), "id_a")
-    moves = F.sequence(F.lit(-shift), F.lit(shift))
-    a = a.withColumn("dy", F.explode(moves)).withColumn("dx", F.explode(moves)).withColumn("y", F.col("y") + F.col("dy")).withColumn("x", F.col("x") + F.col("dx"))
-    b = c.withColumnRenamed("image_id", "id_b").withColumnRenamed("value", "vb")
-    joined = a.join(b, ["id_b", "cy", "cx", "y", "x"])
-    ncc = joined.groupBy("id_a", "id_b", "cy", "cx", "dy", "dx").agg(F.sum(F.col("va") * F.col("vb")).alias("ab"), F.sum(F.col("va") * F.col("va")).alias("aa"), F.sum(F.col("vb") * F.col("vb")).alias("bb"))
-    ncc = ncc.withColumn("ccf", F.round(F.when(F.col("aa") * F.col("bb") > 0, F.col("ab") / F.sqrt(F.col("aa") * F.col("bb"))).otherwise(0.0), 9))
-    return ncc.groupBy("id_a", "id_b", "cy", "cx").agg(F.max("ccf").alias("ccf"), F.max_by("dy", F.struct("ccf", "dy", "dx")).alias("dy"), F.max_by("dx", F.struct("ccf", "dy", "dx")).alias("dx"))
-
-
-def cell_vote(cells_: DataFrame, least: float = 0.2, limit: float = 20.0) -> DataFrame:
-    """Cells with ``is_cmc``: correlated enough, and near the pair's median shift."""
-    med = cells_.where("ccf > 0").groupBy("id_a", "id_b").agg(F.percentile("dy", 0.5).alias("my"), F.percentile("dx", 0.5).alias("mx"))
-    near = (F.abs(F.col("dy") - F.col("my")) <= limit) & (F.abs(F.col("dx") - F.col("mx")) <= limit)
+#: Weights of the values along a cell's side whose sum is the mean gradient: central differences inside, one-sided ones at the ends.
+SLOPE = {4: (-0.375, 0.125, -0.125, 0.375)}
+
+
+def cell_angles(image: str, side: int = 8, size: int = 4) -> str:
+    """SQL of an array: for each cell of the image array, the direction of its mean gradient in degrees."""
+
+    def slope(cy: int, cx: int, down: bool) -> str:
+        at = [(y, x) for y in range(size) for x in range(size)]
+        return " + ".join(f"{SLOPE[size][y if down else x] / size}D * CAST({image}[{(cy * size + y) * side + cx * size + x}] AS DOUBLE)" for y, x in at)
+
+    cells_ = [(cy, cx) for cy in range(side // size) for cx in range(side // size)]
+    return f"array({', '.join(f'degrees(atan2({slope(cy, cx, False)}, {slope(cy, cx, True)}))' for cy, cx in cells_)})"
+
+
+def cell_moves(side: int = 8, size: int = 4, shift: int = 1) -> list[tuple]:
+    """``(cell, cy, cx, dy, dx, pa, pb)``: for each cell and shift, the places in one image and those they meet in the other."""
+    out, per = [], side // size
+    for cy, cx, dy, dx in ((a, b, c, d) for a in range(per) for b in range(per) for c in range(-shift, shift + 1) for d in range(-shift, shift + 1)):
+        at = [(y, x) for y in range(size) for x in range(size) if 0 <= y + dy < size and 0 <= x + dx < size]
+        place = lambda y, x: (cy * size + y) * side + cx * size + x  # noqa: B023, E731
+        out.append((cy * per + cx, cy, cx, dy, dx, [place(y, x) for y, x in at], [place(y + dy, x + dx) for y, x in at]))
+    return out
+
+
+def cell_correlation(pairs: DataFrame, side: int = 8, size: int = 4, shift: int = 1) -> DataFrame:
+    """Per pair ``(id_a, ea, ga, id_b, eb, gb)`` and cell, the best normalised cross-correlation over shifts, that shift and the turn of the gradient.
+
+    ``ea`` and ``eb`` are images as arrays, ``ga`` and ``gb`` their ``cell_angles``.
+    """
+    moves = pairs.sparkSession.createDataFrame(cell_moves(side, size, shift), "cell int, cy int, cx int, dy int, dx int, pa array<int>, pb array<int>")
+
+    def total(left: str, right: str, i: str, j: str) -> str:
+        return f"aggregate(zip_with(pa, pb, (i, j) -> CAST({left}[{i}] AS DOUBLE) * CAST({right}[{j}] AS DOUBLE)), 0D, (s, v) -> s + v)"
+
+    tried = pairs.crossJoin(F.broadcast(moves)).selectExpr(
+        "id_a", "id_b", "cy", "cx", "dy", "dx", "gb[cell] - ga[cell] AS turn",
+        f"{total('ea', 'eb', 'i', 'j')} AS ab", f"{total('ea', 'ea', 'i', 'i')} AS aa", f"{total('eb', 'eb', 'j', 'j')} AS bb",
+    )
+    ncc = tried.withColumn("ccf", F.expr("round(CASE WHEN aa * bb > 0 THEN ab / sqrt(aa * bb) ELSE 0D END, 9)"))
+    best = F.struct("ccf", "dy", "dx")
+    found = ncc.groupBy("id_a", "id_b", "cy", "cx").agg(F.max(best).alias("b"), F.max("turn").alias("turn"))
+    theta = F.expr("round(CASE WHEN turn > 180 THEN turn - 360 WHEN turn < -180 THEN turn + 360 ELSE turn END, 6)")
+    return found.select("id_a", "id_b", "cy", "cx", "b.ccf", "b.dy", "b.dx", theta.alias("theta"))
+
+
+def cell_vote(cells_: DataFrame, least: float = 0.2, limit: float = 20.0, turn: float = 15.0) -> DataFrame:
+    """Cells with ``is_cmc``: correlated enough, and near the pair's median shift and turn."""
+    middle = [F.percentile(c, 0.5).alias(f"m_{c}") for c in ("dy", "dx", "theta")]
+    med = cells_.where("ccf > 0").groupBy("id_a", "id_b").agg(*middle)
+    near = (F.abs(F.col("dy") - F.col("m_dy")) <= limit) & (F.abs(F.col("dx") - F.col("m_dx")) <= limit) & (F.abs(F.col("theta") - F.col("m_theta")) <= turn)
     return cells_.join(med, ["id_a", "id_b"], "left").withColumn("is_cmc", F.coalesce((F.col("ccf") >= least) & near, F.lit(False)))
 
 
 def cell_result(voted: DataFrame, least_cells: int = 6) -> DataFrame:
     on = lambda c: F.when(F.col("is_cmc"), F.col(c))
     n = F.count_if("is_cmc")
-    spread = F.stddev_pop(on("dx")) / 10 + F.stddev_pop(on("dy")) / 10
+    spread = F.stddev_pop(on("theta")) / 10 + F.stddev_pop(on("dx")) / 10 + F.stddev_pop(on("dy")) / 10
     out = voted.groupBy("id_a", "id_b").agg(n.alias("n"), (n / F.count("*")).alias("score"), (n >= least_cells).alias("is_match"), F.when(n >= 3, 1 / (1 + spread)).otherwise(0.0).alias("convergence"), F.coalesce(F.avg(on("ccf")), F.lit(0.0)).alias("mean"))
     return out.withColumn("confidence", F.least(F.lit(1.0), F.col("mean") * F.col("n") / least_cells * (1 + F.col("convergence"))))
 
 
-def pair_quality(a: DataFrame, b: DataFrame) -> DataFrame:
-    """MSE, PSNR, global SSIM and correlation of ``a(id_a, id_b, y, x, va)`` and ``b(id_b, y, x, vb)`` on their common area."""
+def pair_quality(pairs: DataFrame) -> DataFrame:
+    """MSE, PSNR, global SSIM and correlation of ``pairs(id_a, id_b, va, vb)``, the values of two images at the same places."""
     c1, c2 = 1e-4, 9e-4
-    s = a.join(b, ["id_b", "y", "x"]).groupBy("id_a", "id_b").agg(
+    s = pairs.groupBy("id_a", "id_b").agg(
         F.avg(F.pow(F.col("va") - F.col("vb"), F.lit(2))).alias("mse"), F.corr("va", "vb").alias("r"), F.avg("va").alias("ma"), F.avg("vb").alias("mb"), F.var_pop("va").alias("sa"), F.var_pop("vb").alias("sb"), F.covar_pop("va", "vb").alias("sab")
     )
     ssim = f"((2 * ma * mb + {c1}) * (2 * sab + {c2})) / ((ma * ma + mb * mb + {c1}) * (sa + sb + {c2}))"

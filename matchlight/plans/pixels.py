@@ -40,48 +40,12 @@ _CHANGES = " + ".join(f"CAST({_BITS[i]} <> {_BITS[(i + 1) % 8]} AS INT)" for i i
 register("lbp_histogram", lambda t: P.local_binary(t.pixels).groupBy("image_id", "code").agg(F.count("*").alias("n")), f"SELECT image_id, CASE WHEN {_CHANGES} <= 2 THEN {' + '.join(_BITS)} ELSE 9 END AS code, count(*) AS n FROM ({_N}) GROUP BY 1, 2")
 
 
-def pair_pixels(t):
-    """Each probe image beside the next image."""
-    a = t.pixels.where("image_id % 20 = 0").selectExpr("image_id AS id_a", "image_id + 1 AS id_b", "y", "x", "value AS va")
-    return a, t.pixels.selectExpr("image_id AS id_b", "y", "x", "value AS vb")
-
-
-def quality(t):
-    return P.pair_quality(*pair_pixels(t))
-
-
-_PAIRPIX = "SELECT a.image_id AS id_a, b.image_id AS id_b, a.y, a.x, a.value AS va, b.value AS vb FROM pixels a JOIN pixels b ON b.image_id = a.image_id + 1 AND a.y = b.y AND a.x = b.x WHERE a.image_id % 20 = 0"
-register("image_pair_quality", lambda t: quality(t).select("id_a", "id_b", *rr("mse", "psnr", "r", "ssim")), f"SELECT id_a, id_b, round(avg((va - vb) * (va - vb)), 5) AS mse, round(10 * log10(1 / avg((va - vb) * (va - vb))), 5) AS psnr, round(corr(va, vb), 5) AS r, round(((2 * avg(va) * avg(vb) + 1e-4) * (2 * covar_pop(va, vb) + 9e-4)) / ((avg(va) * avg(va) + avg(vb) * avg(vb) + 1e-4) * (var_pop(va) + var_pop(vb) + 9e-4)), 5) AS ssim FROM ({_PAIRPIX}) GROUP BY 1, 2")
-register("window_correlation_map", lambda t: (lambda a, b: a.join(b, ["id_b", "y", "x"]).groupBy("id_a", F.expr("y DIV 4 AS wy"), F.expr("x DIV 4 AS wx")).agg(F.round(F.corr("va", "vb"), 5).alias("r")))(*pair_pixels(t)), f"SELECT id_a, y // 4 AS wy, x // 4 AS wx, round(corr(va, vb), 5) AS r FROM ({_PAIRPIX}) GROUP BY ALL")
 register("tile_grid", lambda t: t.part.selectExpr("p_partkey", "p_size", "explode(sequence(0, p_size * 10, 64)) AS y0").selectExpr("p_partkey", "CAST(y0 AS BIGINT) AS y0", "CAST(least(y0 + 80, p_size * 10) AS BIGINT) AS y1"), "SELECT p_partkey, y0, least(y0 + 80, p_size * 10) AS y1 FROM (SELECT p_partkey, p_size, unnest(generate_series(0, p_size * 10, 64)) AS y0 FROM part)")
 register("tile_blend", lambda t: P.cells(t.pixels, 4, 2, 2).withColumn("w", F.expr("1 + least(y - cy * 2, 3 - (y - cy * 2)) + least(x - cx * 2, 3 - (x - cx * 2))")).groupBy("image_id", "y", "x").agg(F.round(F.sum(F.col("value") * F.col("w")) / F.sum("w"), 5).alias("v")), f"SELECT image_id, y, x, round(sum(value * w) / sum(w), 5) AS v FROM (SELECT *, 1 + least(y - cy * 2, 3 - (y - cy * 2)) + least(x - cx * 2, 3 - (x - cx * 2)) AS w FROM ({_CELLS})) GROUP BY 1, 2, 3")
 register("cell_grid", lambda t: P.cells(t.pixels, 4, 2, 2).groupBy("image_id", "cy", "cx").agg(F.count("*").alias("n"), F.round(F.sum("value"), 5).alias("total")), f"SELECT image_id, cy, cx, count(*) AS n, round(sum(value), 5) AS total FROM ({_CELLS}) GROUP BY 1, 2, 3")
 register("cell_valid_ratio", lambda t: P.cells(t.pixels, 4, 2, 2).groupBy("image_id", "cy", "cx").agg((F.count_if(F.col("value") > 0) / F.count("*")).alias("valid")).where("1 - valid <= 0.85"), f"SELECT image_id, cy, cx, valid FROM (SELECT image_id, cy, cx, count(*) FILTER (value > 0) / count(*) AS valid FROM ({_CELLS}) GROUP BY 1, 2, 3) WHERE 1 - valid <= 0.85")
 
 
-def some_pairs(t):
-    return t.embeddings.where("vec_id % 20 = 0").selectExpr("vec_id AS id_a", "vec_id + 1 AS id_b")
-
-
-_CCF = """SELECT id_a, id_b, cy, cx, max(ccf) AS ccf, first(dy ORDER BY ccf DESC, dy DESC, dx DESC) AS dy, first(dx ORDER BY ccf DESC, dy DESC, dx DESC) AS dx FROM
-    (SELECT a.image_id AS id_a, b.image_id AS id_b, a.y // 4 AS cy, a.x // 4 AS cx, dy, dx, round(sum(a.value * b.value) / sqrt(sum(a.value * a.value) * sum(b.value * b.value)), 9) AS ccf FROM pixels a, (SELECT unnest([-1, 0, 1]) AS dy) m, (SELECT unnest([-1, 0, 1]) AS dx) k, pixels b
-    WHERE a.image_id % 20 = 0 AND b.image_id = a.image_id + 1 AND b.y = a.y + dy AND b.x = a.x + dx AND b.y // 4 = a.y // 4 AND b.x // 4 = a.x // 4 GROUP BY ALL) GROUP BY 1, 2, 3, 4"""
-_VOTE = f"SELECT c.*, ccf >= 0.2 AND abs(dy - my) <= 1 AND abs(dx - mx) <= 1 AS is_cmc FROM ({_CCF}) c JOIN (SELECT id_a, median(dy) FILTER (ccf > 0) AS my, median(dx) FILTER (ccf > 0) AS mx FROM ({_CCF}) GROUP BY 1) USING (id_a)"
-_RES = f"SELECT id_a, id_b, n, n / total AS score, n >= 2 AS is_match, CASE WHEN n >= 3 THEN 1 / (1 + sx / 10 + sy / 10) ELSE 0 END AS convergence, coalesce(mean, 0) AS mean FROM (SELECT id_a, id_b, count(*) FILTER (is_cmc) AS n, count(*) AS total, stddev_pop(dx) FILTER (is_cmc) AS sx, stddev_pop(dy) FILTER (is_cmc) AS sy, avg(ccf) FILTER (is_cmc) AS mean FROM ({_VOTE}) GROUP BY 1, 2)"
-
-
-def voted(t):
-    return P.cell_vote(P.cell_correlation(t.pixels, some_pairs(t)), 0.2, 1.0)
-
-
-register("cell_cross_correlation", lambda t: P.cell_correlation(t.pixels, some_pairs(t)).select("id_a", "cy", "cx", *rr("ccf"), "dy", "dx"), f"SELECT id_a, cy, cx, round(ccf, 5) AS ccf, dy, dx FROM ({_CCF})")
-register("cell_vote", lambda t: voted(t).select("id_a", "cy", "cx", "is_cmc"), f"SELECT id_a, cy, cx, coalesce(is_cmc, false) AS is_cmc FROM ({_VOTE})")
-register("cell_convergence", lambda t: P.cell_result(voted(t), 2).select("id_a", *rr("convergence")), f"SELECT id_a, round(convergence, 5) AS convergence FROM ({_RES})")
-register("cell_match_result", lambda t: P.cell_result(voted(t), 2).select("id_a", "n", *rr("score", "confidence"), "is_match"), f"SELECT id_a, n, round(score, 5) AS score, round(least(1.0, mean * n / 2 * (1 + convergence)), 5) AS confidence, is_match FROM ({_RES})")
-_BACK = _RES.replace("a.image_id % 20 = 0 AND b.image_id = a.image_id + 1", "b.image_id % 20 = 0 AND a.image_id = b.image_id + 1")
-register("cell_bidirectional", lambda t: (lambda p: P.cell_result(P.cell_vote(P.cell_correlation(t.pixels, p), 0.2, 1.0), 2).select(F.least("id_a", "id_b").alias("low"), "n").groupBy("low").agg(F.max("n").alias("n")))(some_pairs(t).union(some_pairs(t).select("id_b", "id_a"))), f"SELECT least(id_a, id_b) AS low, max(n) AS n FROM (SELECT id_a, id_b, n FROM ({_RES}) UNION ALL SELECT id_a, id_b, n FROM ({_BACK})) GROUP BY 1")
-register("cell_rotation", lambda t: P.sobel(t.pixels).groupBy("image_id").agg(F.avg("gx").alias("gx"), F.avg("gy").alias("gy")).select("image_id", F.round(F.degrees(F.atan2("gy", "gx")), 4).alias("theta")), f"SELECT image_id, round(degrees(atan2(avg(gy), avg(gx))), 4) AS theta FROM ({_SOBEL}) GROUP BY 1")
-
 # quality records of an image, from its pixels
 _QUAL = "SELECT image_id, 10 + 300 * avg(abs(value)) AS snr, least(1.0, stddev_pop(value) * 4) AS contrast, 1 - abs(avg(value)) AS uniformity, least(1.0, (max(value) - min(value)) / 1.2) AS sharpness FROM pixels GROUP BY 1"
 

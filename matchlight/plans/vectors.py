@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import matching as M
 from ..operators import vectors as V
+from ..sources.tables import dot
 from .registry import register
 
 _D2 = "list_sum(list_transform(list_zip(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
@@ -31,7 +32,21 @@ register("similarity_matrix", lambda t: V.similarity_matrix(t.vectors, t.probes)
 register("batch_compare_report", lambda t: t.pairs.groupBy(F.expr("CASE WHEN score >= 0.8 THEN 'high' WHEN score >= 0.5 THEN 'medium' ELSE 'low' END").alias("class")).agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean"), F.round(F.stddev_pop("score"), 6).alias("std")),
     "SELECT CASE WHEN score >= 0.8 THEN 'high' WHEN score >= 0.5 THEN 'medium' ELSE 'low' END AS class, count(*) AS n, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS std FROM pairs GROUP BY 1")
 register("fuse_scores", lambda t: V.fuse_scores(t.pairs.withColumn("other", 1 - F.col("distance") / 8), "score", "other", "weighted", 0.3).select("id_a", "id_b", r("fused")), "SELECT id_a, id_b, round(0.7 * score + 0.3 * (1 - distance / 8), 6) AS fused FROM pairs")
-register("pair_confidence", lambda t: t.pairs.selectExpr("id_a", "id_b", "score >= 0.5 AS is_match", "round(abs(score - 0.5) * 2, 6) AS confidence", "round(0.7 * score + 0.3 / (1 + exp(-(1 - 10))), 6) AS quality"), "SELECT id_a, id_b, score >= 0.5 AS is_match, round(abs(score - 0.5) * 2, 6) AS confidence, round(0.7 * score + 0.3 / (1 + exp(-(1 - 10))), 6) AS quality FROM pairs")
+def pair_confidence(t):
+    """Match, confidence and quality of each pair; quality weighs the cosine and the mean of both norms, centred at 10."""
+    norms = lambda rows, i, m: rows.select(F.col("vec_id").alias(i), F.expr(f"sqrt({dot('embedding', 'embedding')})").alias(m))
+    pairs = t.pairs.join(norms(t.vectors, "id_b", "nb"), "id_b").join(norms(t.probes, "id_a", "na"), "id_a")
+    quality = "greatest(0D, least(1D, 0.7D * score + 0.3D / (1 + exp(10 - (na + nb) / 2))))"
+    return pairs.selectExpr("id_a", "id_b", "score >= 0.5 AS is_match", "round(abs(score - 0.5D) * 2, 6) AS confidence", f"round({quality}, 6) AS quality")
+
+
+register(
+    "pair_confidence",
+    pair_confidence,
+    """WITH n AS (SELECT vec_id, sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda v: v * v))) AS norm FROM vectors)
+    SELECT id_a, id_b, score >= 0.5 AS is_match, round(abs(score - 0.5) * 2, 6) AS confidence,
+    round(greatest(0.0, least(1.0, 0.7 * score + 0.3 / (1 + exp(10 - (a.norm + b.norm) / 2)))), 6) AS quality FROM pairs JOIN n a ON a.vec_id = id_a JOIN n b ON b.vec_id = id_b""",
+)
 register("exclude_cases", lambda t: V.knn_batch(t.vectors.where("label NOT IN (1, 2)"), t.probes, 3).select("id_a", "id_b", "rank"), "SELECT id_a, id_b, rank FROM (SELECT id_a, id_b, row_number() OVER (PARTITION BY id_a ORDER BY distance, id_b) AS rank FROM pairs WHERE label_b NOT IN (1, 2)) WHERE rank <= 3")
 
 # descriptors: a label is an image, a vector a descriptor
