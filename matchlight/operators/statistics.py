@@ -101,13 +101,6 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     return long.select(F.split("pair", "~")[0].alias("a"), F.split("pair", "~")[1].alias("b"), "r", (F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r")))).alias("t"))
 
 
-def drawn(data: DataFrame, replicates: int, value: str = "x") -> DataFrame:
-    """``(rep, value)`` of ``replicates`` resamples of the small, numbered ``data(i, value)``; draws are integer arithmetic."""
-    n = data.count()
-    draws = data.sparkSession.range(replicates * n).select((F.col("id") / n).cast("long").alias("rep"), (((F.lit(48271) * F.col("id") + 11) % 2147483647) % n).alias("i"))
-    return draws.join(data.select("i", value), "i").select("rep", value)
-
-
 def outlier_flags(df: DataFrame, value: str, z: float = 1.959963984540054) -> DataFrame:
     """``df`` with flags by quartiles, by z and by the median absolute deviation."""
     s = df.agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.avg(value).alias("m"), F.stddev_pop(value).alias("s"))

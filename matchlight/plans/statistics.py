@@ -76,43 +76,6 @@ for _n in ("iqr", "z", "mad"):
 register("outlier_consensus", lambda t: S.outlier_flags(t.samples, "y").where("CAST(by_iqr AS INT) + CAST(by_z AS INT) + CAST(by_mad AS INT) >= 2").select("id"), f"{_OUT} SELECT id FROM f WHERE CAST(by_iqr AS INT) + CAST(by_z AS INT) + CAST(by_mad AS INT) >= 2")
 
 
-def numbered(t):
-    """The errors' values of the busiest hour window, numbered: a sample that resampling can copy many times."""
-    day = t.metrics.groupBy(F.expr("sec DIV 86400").alias("i")).agg(F.round(F.avg("value"), 4).alias("x"))
-    return day.withColumn("i", F.row_number().over(Window.orderBy("i")) - 1)  # one row a day
-
-
-_DAYS = "SELECT row_number() OVER (ORDER BY day) - 1 AS i, x FROM (SELECT sec // 86400 AS day, round(avg(value), 4) AS x FROM metrics GROUP BY 1)"
-_BOOT = f"WITH s AS ({_DAYS}), n AS (SELECT count(*) AS n FROM s), k AS (SELECT unnest(range(500 * n)) AS k, n FROM n), b AS (SELECT k // n AS rep, avg(x) AS m FROM k JOIN s ON s.i = (48271 * k + 11) % 2147483647 % n GROUP BY 1)"
-register("bootstrap_ci", lambda t: S.drawn(numbered(t), 500).groupBy("rep").agg(F.avg("x").alias("m")).agg(F.round(F.percentile("m", 0.025), 5).alias("low"), F.round(F.percentile("m", 0.975), 5).alias("high"), F.round(F.stddev_samp("m"), 5).alias("se")), f"{_BOOT} SELECT round(quantile_cont(m, 0.025), 5) AS low, round(quantile_cont(m, 0.975), 5) AS high, round(stddev_samp(m), 5) AS se FROM b")
-
-
-def bca(t):
-    s = numbered(t)
-    total = s.agg(F.sum("x").alias("S"), F.count("*").alias("n"))
-    jack = s.crossJoin(F.broadcast(total)).select(((F.col("S") - F.col("x")) / (F.col("n") - 1)).alias("j"))
-    mean = jack.agg(F.avg("j").alias("mj"))
-    return jack.crossJoin(F.broadcast(mean)).agg(F.round(F.sum(F.pow(F.col("mj") - F.col("j"), F.lit(3))) / (6 * F.pow(F.sum(F.pow(F.col("mj") - F.col("j"), F.lit(2))), F.lit(1.5))), 5).alias("acceleration"))
-
-
-register("bca_jackknife", bca, f"WITH s AS ({_DAYS}), j AS (SELECT (sum(x) OVER () - x) / (count(*) OVER () - 1) AS j FROM s), m AS (SELECT j, avg(j) OVER () AS mj FROM j) SELECT round(sum(pow(mj - j, 3)) / (6 * pow(sum(pow(mj - j, 2)), 1.5)), 5) AS acceleration FROM m")
-register("bootstrap_stratified", lambda t: S.drawn(numbered(t).withColumn("g", F.col("x") <= F.percentile("x", 0.5).over(Window.partitionBy())).withColumn("i", F.row_number().over(Window.orderBy("g", "i")) - 1), 200).groupBy("rep").agg(F.avg("x").alias("m")).agg(F.round(F.avg("m"), 5).alias("mean"), F.count("*").alias("reps")))
-register("similarity_interval", lambda t: t.pairs.groupBy("label_a").agg(F.count("*").alias("n"), F.avg("score").alias("m"), F.stddev_samp("score").alias("s")).selectExpr("label_a", "n", "round(m - 1.96 * s / sqrt(n), 6) AS low", "round(m + 1.96 * s / sqrt(n), 6) AS high"), "SELECT label_a, count(*) AS n, round(avg(score) - 1.96 * stddev_samp(score) / sqrt(count(*)), 6) AS low, round(avg(score) + 1.96 * stddev_samp(score) / sqrt(count(*)), 6) AS high FROM pairs GROUP BY 1")
-
-
-def permutation(t):
-    base = numbered(t).withColumn("half", F.col("i") % 2)
-    reps = t.spark.range(300).withColumnRenamed("id", "rep")
-    mixed = base.crossJoin(F.broadcast(reps)).withColumn("h", (F.lit(48271) * (F.col("rep") * 1000 + F.col("i")) + 11) % 2147483647)
-    mixed = mixed.withColumn("side", F.row_number().over(Window.partitionBy("rep").orderBy("h")) % 2)
-    d = mixed.groupBy("rep").agg(F.abs(F.avg(F.when(F.col("side") == 0, F.col("x"))) - F.avg(F.when(F.col("side") == 1, F.col("x")))).alias("d"))
-    real = base.agg(F.abs(F.avg(F.when(F.col("half") == 0, F.col("x"))) - F.avg(F.when(F.col("half") == 1, F.col("x")))).alias("r"))
-    return d.crossJoin(F.broadcast(real)).agg(F.avg((F.col("d") >= F.col("r")).cast("double")).alias("p"))
-
-
-register("permutation_test", permutation)
-
-
 def measures(t):
     return VectorAssembler(inputCols=_COLS, outputCol="raw").transform(t.samples)
 
@@ -200,14 +163,34 @@ register("outlier_isolation_forest", isolation)
 _EPS = 1.0
 
 
-def dbscan(t):
-    """Core points by neighbours within a distance, joined by least-label propagation cut to files each round."""
-    from ..operators.graph import components
-
-    near = V.range_search(t.vectors, t.vectors, _EPS * _EPS).select("id_a", "id_b")
-    core = near.groupBy("id_a").agg(F.count("*").alias("n")).where("n >= 4").select("id_a")
-    edges = near.join(core, "id_a", "left_semi").join(core.withColumnRenamed("id_a", "id_b"), "id_b", "left_semi").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-    return t.vectors.select(F.col("vec_id").alias("node")).join(components(edges), "node", "left").select("node", F.coalesce("component", F.lit(-1)).alias("cluster"))
+#: Neighbours that make a vector a core point.
+_CORE = 4
 
 
-register("cluster_dbscan", dbscan)
+def dbscan(t):
+    """Clusters of core points within a distance of each other; other points near one join its cluster (the least, if several), the rest is noise, -1."""
+    near = V.range_search(t.vectors, t.vectors, _EPS * _EPS).select("id_a", "id_b")
+    return clustered(t.vectors.select(F.col("vec_id").alias("node")), near)
+
+
+def clustered(nodes, near):
+    """``(node, cluster)`` of ``nodes(node)`` and their symmetric neighbours ``near(id_a, id_b)``."""
+    from ..operators.graph import components, saved
+
+    near = saved(near, "near")
+    core = saved(near.groupBy(F.col("id_a").alias("node")).agg(F.count("*").alias("n")).where(F.col("n") >= _CORE).select("node"), "core")
+    from_core = near.join(core.withColumnRenamed("node", "id_b"), "id_b", "left_semi")
+    edges = from_core.join(core.withColumnRenamed("node", "id_a"), "id_a", "left_semi").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    inner = core.join(components(edges), "node", "left").select("node", F.coalesce("component", "node").alias("cluster"))
+    border = from_core.join(core.withColumnRenamed("node", "id_a"), "id_a", "left_anti").join(inner.withColumnRenamed("node", "id_b"), "id_b").groupBy(F.col("id_a").alias("node")).agg(F.min("cluster").alias("cluster"))
+    return nodes.join(inner.union(border), "node", "left").select("node", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+
+
+_DBSCAN = f"""WITH RECURSIVE near AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id
+        AND list_sum(list_transform(list_zip(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) <= {_EPS * _EPS}),
+    core AS (SELECT a AS node FROM near GROUP BY 1 HAVING count(*) >= {_CORE}),
+    reach AS (SELECT node, node AS c FROM core UNION SELECT near.b, reach.c FROM reach JOIN near ON near.a = reach.node JOIN core ON core.node = near.b),
+    inside AS (SELECT node, min(c) AS cluster FROM reach GROUP BY 1),
+    border AS (SELECT near.a AS node, min(cluster) AS cluster FROM near JOIN inside ON inside.node = near.b WHERE near.a NOT IN (SELECT node FROM core) GROUP BY 1)
+    SELECT vec_id AS node, coalesce(cluster, -1) AS cluster FROM embeddings LEFT JOIN (SELECT * FROM inside UNION ALL SELECT * FROM border) x ON x.node = vec_id"""
+register("cluster_dbscan", dbscan, _DBSCAN)

@@ -14,12 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.graph import shared_dir
+
 DELAY = "10 minutes"
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/matchlight-checkpoints"
-    return f"{base.rstrip('/')}/matchlight/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def source(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,8 +34,8 @@ def source(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Drain a stream into Parquet, exactly once by its checkpoint, and read the table.
 
-    In append mode groups stay open until the watermark passes them; ``flush`` sends
-    the rest.
+    In append mode groups stay open, and out of the table, until the watermark passes
+    them.
     """
     spark = stream.sparkSession
     out, marks = folder(spark, name), folder(spark, f"{name}-marks")

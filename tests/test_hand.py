@@ -75,3 +75,42 @@ def test_stream_late_rows_are_dropped(spark, tmp_path):
     stream = spark.readStream.schema("event_id long, at timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*")).withWatermark("at", "10 minutes")
     out = jobs.run(stream.groupBy(F.window("at", "1 hour").alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "n"), "late-test")
     assert sum(r["n"] for r in out.collect()) <= 4
+
+
+def test_border_points_join_a_cluster(spark):
+    from matchlight.plans.statistics import clustered
+
+    at = [0.0, 0.1, 0.2, 0.3, 0.4, 1.35, 9.0]
+    near = [(i, j) for i, x in enumerate(at) for j, y in enumerate(at) if i != j and abs(x - y) <= 1]
+    got = clustered(spark.range(7).withColumnRenamed("id", "node"), spark.createDataFrame(near, "id_a long, id_b long")).collect()
+    assert {r["node"]: r["cluster"] for r in got} == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: 0, 6: -1}
+
+
+def test_components_of_a_long_chain(spark):
+    from matchlight.operators.graph import components
+
+    got = components(spark.createDataFrame([(i, i + 1) for i in range(100)], "a long, b long"), 12).collect()
+    assert len(got) == 101 and {r["component"] for r in got} == {0}
+
+
+def test_resamples_are_spread(spark):
+    from pyspark.sql import functions as F
+
+    from matchlight.plans.resampling import resampled
+
+    rows = spark.createDataFrame([(20 * p, i, 10, float(i)) for p in range(20) for i in range(10)], "id_a long, i long, n long, x double")
+    got = resampled(rows, ["id_a"]).groupBy("x").count().collect()
+    assert len(got) == 10 and all(abs(r["count"] - 4000) < 400 for r in got)
+    spread = resampled(rows, ["id_a"]).groupBy("id_a", "rep").agg(F.avg("x").alias("m")).groupBy("id_a").agg(F.stddev_samp("m").alias("s")).collect()
+    assert all(0.7 < r["s"] < 1.2 for r in spread)
+
+
+def test_gradient_turn_of_a_cell(spark):
+    """A ramp turned by a quarter turns its gradient by a quarter, either way round."""
+    from matchlight.operators import pixels as P
+
+    right = [float(x) for y in range(8) for x in range(8)]
+    images = spark.createDataFrame([(1, right), (2, [float(y) for y in range(8) for x in range(8)])], "id long, e array<double>").selectExpr("id", "e", f"{P.cell_angles('e')} AS g")
+    pairs = images.selectExpr("id AS id_a", "e AS ea", "g AS ga", "3 - id AS id_b").join(images.selectExpr("id AS id_b", "e AS eb", "g AS gb"), "id_b")
+    got = {(r["id_a"], r["theta"]) for r in P.cell_correlation(pairs).collect()}
+    assert got == {(1, -90.0), (2, 90.0)}
