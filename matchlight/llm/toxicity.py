@@ -254,5 +254,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without those that the fitted model calls toxic; the columns stay as they are."""
-    return score(docs, fit(docs, labels)).where("predicted = 0").select(docs.columns)
+    """``docs`` without those that the fitted model calls toxic; all columns stay as they are, also those named like the model's."""
+    names = docs.columns
+    held = docs.select(F.struct(*names).alias("_in"), F.col("text").alias("text"))
+    return score(held, fit(docs, labels)).where("predicted = 0").select(*[F.col("_in")[c].alias(c) for c in names])

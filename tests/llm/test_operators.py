@@ -262,6 +262,28 @@ def test_toxicity_held_out(spark, hard, none):
     assert len(out) == len(HARD) and all(0 <= x["score"] <= 1 and x["predicted"] == 0 for x in out) and toxicity.score(none, model).count() == 0
 
 
+def test_clean_leaves_columns_of_the_same_name(spark, labels):
+    docs = table(spark, SF, "documents").select("doc_id", "text").withColumn("score", F.lit(77.0)).withColumn("predicted", F.lit(1))
+    out = toxicity.clean(docs, labels)
+    assert out.columns == docs.columns and {(r["score"], r["predicted"]) for r in out.collect()} == {(77.0, 1)}
+
+
+def test_all_maximal_segments():
+    """Against the definition: cut out the best segment (the shortest of equals), then the same to its left and right."""
+    rng = random.Random(1)
+
+    def split(s, a, b):
+        best = max(((sum(s[i:j]), -(j - i), -i, i, j) for i in range(a, b) for j in range(i + 1, b + 1)), default=None)
+        if best is None or best[0] <= 0:
+            return []
+        return [*split(s, a, best[3]), (best[3], best[4], best[0]), *split(s, best[4], b)]
+
+    for _ in range(300):  # powers of two: no two segments have the same sum
+        s = [rng.choice([-1, 1]) * 2.0 ** rng.choice([-9, -7, -4, -2, 0, 1, 3]) + rng.random() / 64 for _ in range(rng.randint(1, 14))]
+        got = toxicity.maximal_segments(s)
+        assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in split(s, 0, len(s))]
+
+
 def test_article_text_of_pages(spark):
     import html as h
 
@@ -557,6 +579,51 @@ def test_quality_rules_learned(spark):
     assert rules and r["good"] > 0.98 and r["bad"] < 0.1
 
 
+def test_pipeline_stages_are_brute_force(spark, hard):
+    """Each stage against plain Python on its own input, and on rows with nulls, empty and long texts and repeats."""
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    docs = table(spark, SF, "documents")
+    labels = table(spark, SF, "labels")
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+
+    model = toxicity.fit(docs, labels)
+    scorer = toxicity.Scorer(model.lexicon)
+
+    def toxic(text):
+        z = model.weights[0] + sum(w * f for w, f in zip(model.weights[1:], toxicity.evidence(toxicity.passages(scorer.words(text or ""), model.rate)), strict=True))
+        return z >= 0
+
+    assert {r["doc_id"] for r in stages["toxicity"](spark, docs, SF).collect()} == {i for i, t in rows.items() if not toxic(t)}
+
+    rules = quality.learn(docs, labels)
+    judged = {r["doc_id"]: r for r in quality.statistics(docs).collect()}
+
+    def holds(c, r):
+        top, bottom = quality.FEATURES[c.feature].split(" / ")
+        return bool(r[bottom]) and (r[top] / r[bottom] > c.threshold if c.above else r[top] / r[bottom] <= c.threshold)
+
+    good = {i for i, r in judged.items() if not r["base_failed"] and not any(all(holds(c, r) for c in rule) for rule in rules)}
+    assert {r["doc_id"] for r in stages["quality_rules"](spark, docs, SF).collect()} == good
+
+    component = jaccard_components(list(rows.items()), 5, 80, 100)
+    assert {r["doc_id"] for r in stages["ngram_jaccard_join"](spark, docs, SF).collect()} == {i for i, (_, c) in component.items() if i == c}
+
+    field = pii.fit(docs)
+    for r in stages["pii"](spark, docs, SF).collect():
+        text, out, at = rows[r["doc_id"]], "", 0
+        for a, b, k in sorted((a, b, k) for k, a, b in pii.rule_spans(text) + field.label(text, pii.rule_spans(text))):
+            if a >= at:
+                out += text[at:a] + f"[{pii.KINDS[k].upper()}]"
+            at = max(at, b)
+        assert r["text"] == out + text[at:] and r["n_chars"] == len(r["text"])
+    for name in ("toxicity", "quality_rules", "ngram_jaccard_join", "pii"):
+        assert stages[name](spark, hard, SF).columns == hard.columns
+        assert {r["doc_id"] for r in stages[name](spark, hard, SF).collect()} <= {i for i, _ in HARD}
+    assert {r["doc_id"] for r in stages["packing"](spark, hard, SF).collect()} == {i for i, _ in HARD}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
