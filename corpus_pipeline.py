@@ -45,7 +45,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack_sequences),
 ]
 
-#: The stages fit models and tokenise, which SQL cannot express; tests compare them with brute force.
+#: The stages fit models and tokenise, which SQL cannot express; tests/llm compare each stage with plain Python on its own input.
 ORACLE_SQL: str | None = None
 
 
