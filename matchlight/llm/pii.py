@@ -8,7 +8,7 @@ the rules' spans as labels; tokens in a rule's span are clamped to it. Skip edge
 each token to the last earlier token of its document with the same key (its lower-case
 letters and digits, or its last digits), so that a repeated or similar token shares the
 label. The weights of the token, chain and skip potentials are fitted by
-pseudo-likelihood on at most ``FIT_DOCS`` documents; a token outside the rules' spans
+pseudo-likelihood on some ``FIT_DOCS`` documents with such tokens; a token outside the rules' spans
 that a skip edge ties to one within is not a negative example there. Loopy belief
 propagation runs over both kinds of edges. Runs of tokens outside the rules' spans
 whose marginal for one kind reaches ``MARGINAL`` become further spans.
@@ -39,7 +39,7 @@ _HINT = re.compile(r"[0-9@]\S*")
 _RUN = re.compile(r"[0-9]+|[^\W\d_]+|.", re.S)
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
-#: Documents whose tokens the weights are fitted on at most: those of the least hash.
+#: Documents with tokens that the weights are fitted on, as the expected size of a random part; all of them where there are fewer.
 FIT_DOCS = 20_000
 #: Runs of characters from which a token's shape is only the set of their kinds; with it the number of shapes is finite.
 MANY_RUNS = 12
@@ -253,6 +253,8 @@ def fit(docs: DataFrame) -> Field:
         for batch in batches:
             for text in batch["text"]:
                 nodes = tokens(text, rule_spans(text)) if text else []
+                if nodes:
+                    tally["d", 0] += 1
                 for a, b, label in nodes:
                     tally["s" + shape(text[a:b]), label] += 1
                 for i, j in chains(text, nodes) if nodes else ():
@@ -264,7 +266,7 @@ def fit(docs: DataFrame) -> Field:
 
     counts = docs.select("text").mapInPandas(run, "shape string, label int, n long").groupBy("shape").pivot("label", [0, 1, 2, 3, 4]).agg(F.sum("n"))
     counts = cut(counts.select("shape", *[F.coalesce(F.col(str(k)), F.lit(0)).alias(f"n{k}") for k in range(5)]), "counts")
-    chained, entity = F.col("shape").startswith("c"), F.expr("n1 + n2 + n3 + n4 > 0")
+    chained, entity = ~F.col("shape").startswith("s"), F.expr("n1 + n2 + n3 + n4 > 0")
     rows = counts.where(chained | entity).collect()  # the shapes of MANY_RUNS runs are finitely many; those without an entity stay behind
     rest = counts.where(~chained & ~entity).agg(F.sum("n0")).first()[0] or 0
     table = {r["shape"]: [r[f"n{k}"] for k in range(5)] for r in rows}
@@ -273,12 +275,12 @@ def fit(docs: DataFrame) -> Field:
 
     def examples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(label, np.round(f, 1).ravel().tolist()) for text in batch["text"] for label, f in field.examples(text)]
+            rows = [(label, np.round(f, 1).ravel().tolist()) for text in batch["text"] if text for label, f in field.examples(text)]
             yield pd.DataFrame(rows, columns=["label", "f"])
 
-    hinted = docs.select("text").where(F.col("text").rlike("[0-9@]"))
-    sample = hinted.orderBy(F.xxhash64("text")).limit(FIT_DOCS)
-    got = sample.mapInPandas(examples, "label int, f array<double>").groupBy("label", "f").count().collect()
+    # a random part of a fixed expected size: no shuffle, and no row limit to meet in one task
+    hinted = docs.select("text").sample(min(1.0, FIT_DOCS / max(1, table.get("d", [0])[0])), seed=7)
+    got = hinted.mapInPandas(examples, "label int, f array<double>").groupBy("label", "f").count().collect()
     if got:
         field.weights = fit_weights(np.array([r["f"] for r in got]).reshape(-1, 5, 5), np.array([r["label"] for r in got]), np.array([r["count"] for r in got], float))
     return field

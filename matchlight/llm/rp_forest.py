@@ -38,7 +38,7 @@ BIG = 4 * NODE
 #: A split that leaves more than this share on one side divides nothing.
 UNDIVIDED = 0.85
 LEAF = 96
-#: Vectors that the top splits are fitted on at most.
+#: Vectors that the top splits are fitted on, as the expected size of a random part.
 FIT_ROWS = 50_000
 SEED = 7919
 
@@ -185,7 +185,7 @@ def links(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     dim = vectors.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").first()["dim"]
     splits: list[dict] = [{} for _ in range(TREES)]
     if depth:
-        got = vectors.where(F.size("embedding") == dim).orderBy(F.xxhash64("own"), "own").limit(FIT_ROWS).select("embedding").toArrow()
+        got = vectors.where(F.size("embedding") == dim).sample(min(1.0, FIT_ROWS / total), seed=SEED).select("embedding").toArrow()
         sample = got.column("embedding").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(-1, dim)
         splits = fit_splits(sample / np.linalg.norm(sample, axis=1, keepdims=True), depth, spill_width(dim, least))
 
