@@ -23,19 +23,6 @@ def sr(*columns: str, n: int = 5) -> str:
     return ", ".join(f"round({c}, {n}) AS {c}" for c in columns)
 
 
-_G = "SELECT count(x) FILTER (grp = 'A') AS n1, avg(x) FILTER (grp = 'A') AS m1, var_samp(x) FILTER (grp = 'A') AS v1, count(x) FILTER (grp = 'R') AS n2, avg(x) FILTER (grp = 'R') AS m2, var_samp(x) FILTER (grp = 'R') AS v2 FROM samples"
-_G2 = f"SELECT *, ((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) AS pooled FROM ({_G})"
-register("t_test", lambda t: S.t_test(t.samples, "A", "R").select(*rr("t", "df", "d")), f"SELECT round((m1 - m2) / sqrt(pooled * (1 / n1 + 1 / n2)), 5) AS t, CAST(n1 + n2 - 2 AS DOUBLE) AS df, round((m1 - m2) / sqrt(pooled), 5) AS d FROM ({_G2})")
-register("t_test_welch", lambda t: S.t_test(t.samples, "A", "R", equal_var=False).select(*rr("t", "df", "d", n=4)), f"SELECT round((m1 - m2) / sqrt(v1 / n1 + v2 / n2), 4) AS t, round(pow(v1 / n1 + v2 / n2, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1)), 4) AS df, round((m1 - m2) / sqrt(pooled), 4) AS d FROM ({_G2})")
-_MW = "WITH p AS (SELECT x, count(*) AS c, count(*) FILTER (grp = 'A') AS ca FROM samples WHERE grp IN ('A', 'R') GROUP BY 1), r AS (SELECT *, sum(c) OVER (ORDER BY x) - (c - 1) / 2 AS rk FROM p), s AS (SELECT sum(rk * ca) AS r, sum(ca) AS n1, sum(c) AS n, sum(CAST(c AS DOUBLE) * c * c - c) AS ties FROM r), u AS (SELECT *, n - n1 AS n2, r - n1 * (n1 + 1) / 2 AS u FROM s), z AS (SELECT *, (u - n1 * n2 / 2) / sqrt(CAST(n1 AS DOUBLE) * n2 / 12 * (n + 1 - ties / (CAST(n AS DOUBLE) * (n - 1)))) AS z FROM u)"
-register("mann_whitney", lambda t: S.mann_whitney(t.samples, "A", "R").select(*rr("u", "z", "effect")), f"{_MW} SELECT round(u, 5) AS u, round(z, 5) AS z, round(abs(z) / sqrt(n), 5) AS effect FROM z")
-register("wilcoxon", lambda t: S.wilcoxon(t.samples, F.round(F.col("d") * 100 - F.col("t") * 100, 0)).select(*rr("plus", "minus"), "n"), "WITH d AS (SELECT round(d * 100 - t * 100, 0) AS d FROM samples), p AS (SELECT abs(d) AS m, count(*) AS c, count(*) FILTER (d > 0) AS pos FROM d WHERE d <> 0 GROUP BY 1), r AS (SELECT *, sum(c) OVER (ORDER BY m) - (c - 1) / 2 AS rk FROM p) SELECT round(sum(rk * pos), 5) AS plus, round(sum(rk * (c - pos)), 5) AS minus, CAST(sum(c) AS BIGINT) AS n FROM r")
-register("ks_two_sample", lambda t: S.ks_two_sample(t.samples, "A", "R", "y").select(*rr("d")), "WITH p AS (SELECT y, count(*) FILTER (grp = 'A') AS a, count(*) FILTER (grp = 'R') AS b FROM samples WHERE grp IN ('A', 'R') GROUP BY 1) SELECT round(max(abs(ra / ta - rb / tb)), 5) AS d FROM (SELECT sum(a) OVER (ORDER BY y) AS ra, sum(b) OVER (ORDER BY y) AS rb, sum(a) OVER () AS ta, sum(b) OVER () AS tb FROM p)")
-_CHI = "WITH q AS (SELECT l_returnflag AS a, l_linestatus AS b FROM lineitem), o AS (SELECT a, b, count(*) AS o FROM q GROUP BY 1, 2), e AS (SELECT a, b, na * nb / (SELECT count(*) FROM q) AS e FROM (SELECT a, count(*) AS na FROM q GROUP BY 1), (SELECT b, count(*) AS nb FROM q GROUP BY 1)), j AS (SELECT e.a, e.b, coalesce(o, 0) AS o, e FROM e LEFT JOIN o ON e.a = o.a AND e.b = o.b)"
-register("chi_square", lambda t: S.contingency(t.lineitem.selectExpr("l_returnflag AS a", "l_linestatus AS b"), "a", "b").agg(F.round(F.sum(F.expr("(o - e) * (o - e) / e")), 5).alias("chi2"), ((F.count_distinct("a") - 1) * (F.count_distinct("b") - 1)).alias("df")), f"{_CHI} SELECT round(sum((o - e) * (o - e) / e), 5) AS chi2, (count(DISTINCT a) - 1) * (count(DISTINCT b) - 1) AS df FROM j")
-register("fisher_exact", lambda t: t.labels.agg(F.expr("count_if(quality = 1 AND toxic = 1) * count_if(quality = 0 AND toxic = 0) / (count_if(quality = 1 AND toxic = 0) * count_if(quality = 0 AND toxic = 1))").alias("o")).select(F.round("o", 6).alias("odds")), "SELECT round(count(*) FILTER (quality = 1 AND toxic = 1) * count(*) FILTER (quality = 0 AND toxic = 0) / (count(*) FILTER (quality = 1 AND toxic = 0) * count(*) FILTER (quality = 0 AND toxic = 1)), 6) AS odds FROM labels")
-register("test_battery", lambda t: S.t_test(t.samples, "A", "R").select(F.lit("t").alias("test"), F.round("t", 5).alias("value")).union(S.ks_two_sample(t.samples, "A", "R").select(F.lit("ks"), F.round("d", 5))).union(S.mann_whitney(t.samples, "A", "R").select(F.lit("mw"), F.round("z", 5))),
-    f"{_MW} SELECT 'mw' AS test, round(z, 5) AS value FROM z UNION ALL SELECT 't', round((m1 - m2) / sqrt(pooled * (1 / n1 + 1 / n2)), 5) FROM ({_G2}) UNION ALL SELECT 'ks', round(max(abs(ra / ta - rb / tb)), 5) FROM (SELECT sum(a) OVER (ORDER BY x) AS ra, sum(b) OVER (ORDER BY x) AS rb, sum(a) OVER () AS ta, sum(b) OVER () AS tb FROM (SELECT x, count(*) FILTER (grp = 'A') AS a, count(*) FILTER (grp = 'R') AS b FROM samples WHERE grp IN ('A', 'R') GROUP BY 1))")
 # p-values of a family: one per user, rational in the data so that both engines agree
 _P = "SELECT user_id AS id, (count(*) FILTER (event_type = 'error') + 1) / (count(*) * 8.0 + 40) AS p FROM events GROUP BY 1"
 
@@ -53,10 +40,6 @@ register("p_benjamini_yekutieli", lambda t: S.adjust(p_values(t), "yekutieli").s
 register("p_sidak", lambda t: S.adjust(p_values(t), "sidak").select("id", *rr("adjusted"), "rejected"), f"{_W} SELECT id, round(1 - pow(1 - p, m), 5) AS adjusted, p <= 1 - pow(0.95, 1 / m) AS rejected FROM r")
 _COLS = ["x", "y", "d", "t"]
 _PAIRS = [(a, b) for a in _COLS for b in _COLS if a < b]
-_CORR = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r, count(*) AS n FROM samples" for a, b in _PAIRS)
-register("correlation_pearson", lambda t: S.correlations(t.samples, _COLS).select("a", "b", *rr("r"), F.round("t", 3).alias("t")), f"SELECT a, b, round(r, 5) AS r, round(r * sqrt((n - 2) / (1 - r * r)), 3) AS t FROM ({_CORR})")
-register("correlation_strong_pairs", lambda t: S.correlations(t.samples, _COLS).where("abs(r) >= 0.7").select("a", "b", *rr("r")), f"SELECT a, b, round(r, 5) AS r FROM ({_CORR}) WHERE abs(r) >= 0.7")
-register("correlation_spearman", lambda t: S.average_rank(S.average_rank(t.samples, "x").withColumnRenamed("rank", "rx"), "d").agg(F.round(F.corr("rx", "rank"), 5).alias("r")), "SELECT round(corr(rx, rd), 5) AS r FROM (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS rx, rank() OVER (ORDER BY d) + (count(*) OVER (PARTITION BY d) - 1) / 2 AS rd FROM samples)")
 
 
 def kendall(t):

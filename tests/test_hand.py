@@ -13,9 +13,37 @@ def test_t_and_u(spark):
     df = spark.createDataFrame([("a", float(x)) for x in range(1, 6)] + [("b", float(x)) for x in range(2, 7)], "grp string, x double")
     t = statistics.t_test(df, "a", "b").first()
     assert (round(t["t"], 6), t["df"], round(t["d"], 4)) == (-1.0, 8.0, -0.6325)
+    assert round(t["p"], 5) == 0.34659
     assert statistics.mann_whitney(df, "a", "b").first()["u"] == 8.0
 
 
+def test_tails_against_tables(spark):
+    """Points of published tables, and tables of counts with known p."""
+    for df, t in ((1, 12.7062047), (2, 4.30265273), (8, 2.30600414), (30, 2.04227246), (40, 2.02107539), (1e7, 1.95996422)):
+        assert abs(spark.sql(f"SELECT {statistics.student_p(f'{t}D', f'{df}D')} AS p").first()["p"] - 0.05) < 1e-7
+    for df, x in ((1, 3.84145882), (2, 5.99146455), (3, 7.8147279), (4, 9.48772904), (7, 14.0671404)):
+        assert abs(spark.sql(f"SELECT {statistics.chi_square_p(f'{x}D', str(df))} AS p").first()["p"] - 0.05) < 1e-7
+    assert abs(spark.sql(f"SELECT {statistics.kolmogorov_p('1.3580986D', '2D', '2D')} AS p").first()["p"] - 0.05) < 1e-6
+    assert spark.sql(f"SELECT {statistics.normal_p('CAST(NULL AS DOUBLE)')} AS p").first()["p"] is None
+    cells = spark.createDataFrame([(True, True)] * 8 + [(True, False)] * 2 + [(False, True)] + [(False, False)] * 5, "a boolean, b boolean")
+    got = statistics.fisher_exact(cells, F.col("a"), F.col("b")).first()
+    assert (got["odds"], round(got["p"], 5)) == (20.0, 0.03497)
+    empty = statistics.fisher_exact(cells.limit(0), F.col("a"), F.col("b")).first()
+    assert empty["odds"] is None
+    alone = spark.createDataFrame([("a", 1.0), ("a", 1.0)], "grp string, x double")
+    for rows in (alone, alone.limit(0), alone.union(spark.createDataFrame([("b", 1.0), ("b", 1.0)], "grp string, x double"))):
+        assert statistics.t_test(rows, "a", "b").first()["p"] is None
+        assert statistics.t_test(rows, "a", "b", equal_var=False).first()["p"] is None
+        assert statistics.mann_whitney(rows, "a", "b").first()["p"] is None
+    assert statistics.ks_two_sample(alone, "a", "b").first()["p"] is None
+
+
+def test_chi_square_takes_a_half_off_where_df_is_one(spark):
+    cells = spark.createDataFrame([("a", "x")] * 10 + [("a", "y")] * 20 + [("b", "x")] * 20 + [("b", "y")] * 20, "a string, b string")
+    got = statistics.chi_square(statistics.contingency(cells, "a", "b"), "a", "b").first()
+    assert (round(got["chi2"], 6), got["df"], round(got["p"], 6)) == (1.323438, 1, 0.249976)
+
+
 def test_adjusted_p(spark):
     p = spark.createDataFrame([(i, i / 100) for i in range(1, 6)], "id int, p double")
     got = lambda m: [round(r["adjusted"], 6) for r in statistics.adjust(p, m).orderBy("id").collect()]
