@@ -28,8 +28,9 @@ SQUARED = "aggregate(zip_with(ea, eb, (x, y) -> (CAST(x AS DOUBLE) - CAST(y AS D
 
 
 def _pairs(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    q = queries.selectExpr("vec_id AS id_a", "embedding AS ea", "label AS label_a")
-    return against(vectors.selectExpr("vec_id AS id_b", "embedding AS eb", "label AS label_b"), q)
+    """Each vector beside each query, with embeddings, labels and norms (taken once a row, where they are used)."""
+    q = queries.selectExpr("vec_id AS id_a", "embedding AS ea", "label AS label_a", f"sqrt({dot('embedding', 'embedding')}) AS na")
+    return against(vectors.selectExpr("vec_id AS id_b", "embedding AS eb", "label AS label_b", f"sqrt({dot('embedding', 'embedding')}) AS nb"), q)
 
 
 def knn_l2(vectors: DataFrame, query: DataFrame, k: int = 10, threshold: float | None = None) -> DataFrame:
@@ -50,7 +51,7 @@ def range_search(vectors: DataFrame, queries: DataFrame, threshold: float) -> Da
     return _pairs(vectors, queries).where("id_a <> id_b").select("id_a", "id_b", F.expr(SQUARED).alias("dist")).where(F.col("dist") <= threshold)
 
 
-COSINE = f"CASE WHEN {dot('ea', 'ea')} = 0 OR {dot('eb', 'eb')} = 0 THEN 0 ELSE {dot('ea', 'eb')} / (sqrt({dot('ea', 'ea')}) * sqrt({dot('eb', 'eb')})) END"
+COSINE = f"CASE WHEN na = 0 OR nb = 0 THEN 0 ELSE {dot('ea', 'eb')} / (na * nb) END"
 EUCLIDEAN = f"1 - sqrt({SQUARED}) / sqrt(size(ea))"
 
 
@@ -60,7 +61,7 @@ def _mean(c: str) -> str:
 
 CORRELATION = (
     f"coalesce(abs(({dot('ea', 'eb')} - size(ea) * {_mean('ea')} * {_mean('eb')}) / "
-    f"(sqrt({dot('ea', 'ea')} - size(ea) * {_mean('ea')} * {_mean('ea')}) * sqrt({dot('eb', 'eb')} - size(eb) * {_mean('eb')} * {_mean('eb')}))), 0)"
+    f"(sqrt(na * na - size(ea) * {_mean('ea')} * {_mean('ea')}) * sqrt(nb * nb - size(eb) * {_mean('eb')} * {_mean('eb')}))), 0)"
 )
 
 
@@ -71,9 +72,18 @@ def similarity(vectors: DataFrame, queries: DataFrame, method: str = "cosine", t
 
 
 def similarity_matrix(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """The queries' rows of the cosine matrix in long form, mirrored, with the diagonal."""
-    half = _pairs(vectors, queries).select("id_a", "id_b", F.expr(COSINE).alias("sim"))
-    return half.union(half.where("id_a <> id_b").select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b"), "sim")).distinct()
+    """The queries' rows of the cosine matrix in long form, mirrored, with the diagonal.
+
+    Norms are taken once a row. A pair of two queries comes from both sides already,
+    so only pairs with another row are mirrored, and nothing is shuffled; ids are
+    taken to be unique.
+    """
+    asked = queries.select("vec_id", F.lit(True).alias("asked"))
+    marked = vectors.join(asked, "vec_id", "left").selectExpr("vec_id AS id_b", "embedding AS eb", f"sqrt({dot('embedding', 'embedding')}) AS nb", "asked IS NULL AS other")
+    got = against(marked, queries.selectExpr("vec_id AS id_a", "embedding AS ea", f"sqrt({dot('embedding', 'embedding')}) AS na"))
+    sim = got.selectExpr("id_a", "id_b", "other", f"CASE WHEN na = 0 OR nb = 0 THEN 0 ELSE {dot('ea', 'eb')} / (na * nb) END AS sim")
+    ways = "array(struct(id_a, id_b), struct(id_b AS id_a, id_a AS id_b))"
+    return sim.select("sim", F.expr(f"explode(slice({ways}, 1, CASE WHEN other THEN 2 ELSE 1 END)) AS w")).select("w.id_a", "w.id_b", "sim")
 
 
 def fuse_scores(pairs: DataFrame, a: str, b: str, strategy: str = "weighted", weight: float = 0.5) -> DataFrame:

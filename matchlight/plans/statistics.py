@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans, PowerIterationClustering
+from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Window
@@ -80,9 +81,56 @@ def points(t):
     return t.vectors.select("vec_id", "label", array_to_vector(F.transform("embedding", lambda v: v.cast("double"))).alias("features"))
 
 
-register("cluster_kmeans", lambda t: (lambda p: KMeans(k=10, seed=7).fit(p).transform(p).groupBy("prediction").count())(points(t)))
-register("cluster_hierarchical", lambda t: (lambda p: BisectingKMeans(k=5, seed=7).fit(p).transform(p).groupBy("prediction").count())(points(t)))
-register("cluster_gmm", lambda t: (lambda p: GaussianMixture(k=3, seed=7).fit(p).transform(p).groupBy("prediction").count())(points(t).select("vec_id", array_to_vector(F.slice(vector_to_array("features"), 1, 4)).alias("features"))))
+def standardised(rows):
+    """Unit variances; means stay, since a bisection starts from a share of the centre's length and cannot split about the origin."""
+    return StandardScaler(inputCol="features", outputCol="z", withMean=False).fit(rows).transform(rows)
+
+
+def elbow(inertias: dict[int, float]) -> int:
+    """The k where the inertia bends most: the largest second difference; the least k of fewer than three."""
+    ks = sorted(inertias)
+    bends = {k: inertias[ks[i]] - 2 * inertias[k] + inertias[ks[i + 2]] for i, k in enumerate(ks[1:-1])}
+    return max(bends, key=lambda k: (bends[k], -k)) if bends else ks[0]
+
+
+def described(labelled, k: int):
+    """Per cluster: size, mean squared distance from its centre; beside them k and the silhouette (squared distances, one pass over sums)."""
+    silhouette = ClusteringEvaluator(featuresCol="z", predictionCol="prediction").evaluate(labelled) if labelled.select("prediction").distinct().count() > 1 else 0.0
+    values = labelled.select("prediction", F.posexplode(vector_to_array("z")).alias("i", "v")).groupBy("prediction", "i").agg(F.var_pop("v").alias("var"), F.count("*").alias("n"))
+    got = values.groupBy("prediction").agg(F.max("n").alias("n"), F.sum("var").alias("spread"))
+    return got.select(F.col("prediction").alias("cluster"), "n", "spread", F.lit(k).alias("k"), F.lit(float(silhouette)).alias("silhouette"))
+
+
+def partitioned(rows, make, ks=range(2, 11)):
+    """Clusters of ``rows(features)``, standardised, with k by the elbow; ``make(k)`` is a k-means estimator on ``z``."""
+    z = standardised(rows).persist()
+    models = {k: make(k).fit(z) for k in ks}
+    k = elbow({k: m.summary.trainingCost for k, m in models.items()})
+    return described(models[k].transform(z), k)
+
+
+#: Principal components that a mixture is fitted on.
+MIXTURE_DIMENSIONS = 8
+
+
+def mixture(rows, ks=range(2, 11)):
+    """Gaussian mixtures of full covariance on the first eight principal components, with k from 2 on by the least Bayes information criterion.
+
+    In all 64 dimensions a component of few rows has a singular covariance, at which the fit fails.
+    """
+    scaled = standardised(rows)
+    size = min(MIXTURE_DIMENSIONS, scaled.first()["z"].size)
+    z = PCA(k=size, inputCol="z", outputCol="c").fit(scaled).transform(scaled).select("*", F.col("c").alias("z0")).drop("z", "c").withColumnRenamed("z0", "z").persist()
+    n, d = z.count(), z.first()["z"].size
+    models = {k: GaussianMixture(featuresCol="z", k=k, seed=7, maxIter=10).fit(z) for k in ks}
+    free = lambda k: k * (d + d * (d + 1) / 2) + k - 1
+    k = min(models, key=lambda k: (free(k) * np.log(n) - 2 * models[k].summary.logLikelihood, k))
+    return described(models[k].transform(z), k)
+
+
+register("cluster_kmeans", lambda t: partitioned(points(t), lambda k: KMeans(featuresCol="z", k=k, seed=7, initSteps=5)))
+register("cluster_hierarchical", lambda t: partitioned(points(t), lambda k: BisectingKMeans(featuresCol="z", k=k, seed=7, maxIter=10)))
+register("cluster_gmm", lambda t: mixture(points(t)))
 
 
 def spectral(t):
@@ -117,25 +165,36 @@ def scores(t):
 register("cluster_scores", scores, "WITH l AS (SELECT vec_id, label, unnest(CAST(embedding AS DOUBLE[])) AS v, generate_subscripts(embedding, 1) AS k FROM embeddings), c AS (SELECT label, k, avg(v) AS c, count(*) AS n FROM l GROUP BY 1, 2), g AS (SELECT k, avg(v) AS g FROM l GROUP BY 1) SELECT round((SELECT sum(n * pow(c - g, 2)) FROM c JOIN g USING (k)) / (count(DISTINCT label) - 1) / ((SELECT sum(pow(v - c, 2)) FROM l JOIN c USING (label, k)) / (count(*) - count(DISTINCT label))), 4) AS calinski FROM embeddings")
 
 
+#: Trees of the isolation forest, and rows of each tree's own sample.
+TREES, TREE_ROWS = 50, 256
+
+
 def isolation(t):
-    """Path lengths in 50 random one-dimensional trees on samples of 256, averaged per value."""
-    sample = np.sort(np.array([r["y"] for r in t.samples.orderBy((F.lit(48271) * F.col("id") + 11) % 2147483647).limit(2560).select("y").collect()]))
+    """Rows whose mean path over random one-dimensional trees is among the shortest hundredth.
+
+    Each tree has its own sample of 256 rows (all samples are the least ids after
+    mixing, so the driver gets 12,800 values at most); a path that ends among several
+    rows is lengthened by the mean depth of a tree of so many.
+    """
+    drawn = [r["y"] for r in t.samples.where("y IS NOT NULL").orderBy((F.lit(48271) * F.col("id") + 11) % 2147483647).limit(TREES * TREE_ROWS).select("y").collect()]
+    samples = [np.sort(np.array(drawn[i::TREES])) for i in range(TREES) if drawn[i::TREES]]
 
     @F.pandas_udf("double")
     def depth(x: pd.Series) -> pd.Series:
-        total = np.zeros(len(x))
-        for tree in range(50):
+        v, total = x.to_numpy(), np.zeros(len(x))
+        for tree, sample in enumerate(samples):
             rng = np.random.default_rng(tree)
-            lo, hi = np.full(len(x), sample[0]), np.full(len(x), sample[-1])
-            alive, path = np.ones(len(x), bool), np.zeros(len(x))
-            for level in range(8):
+            lo, hi = np.full(len(v), sample[0]), np.full(len(v), sample[-1])
+            inside = np.full(len(v), len(sample))
+            for _ in range(8):
                 cut = lo + (hi - lo) * rng.random()
-                left = x.to_numpy() <= cut
-                lo, hi = np.where(left, lo, cut), np.where(left, cut, hi)
-                path += alive
-                alive &= np.searchsorted(sample, hi, "right") - np.searchsorted(sample, lo, "left") > 10
-            total += path
-        return pd.Series(total / 50)
+                left, alive = v <= cut, inside > 1
+                lo, hi = np.where(left, lo, np.where(alive, cut, lo)), np.where(left & alive, cut, hi)
+                total += alive
+                inside = np.where(alive, np.searchsorted(sample, hi, "right") - np.searchsorted(sample, lo, "left"), inside)
+            more = np.maximum(inside, 2)
+            total += np.where(inside > 1, 2 * (np.log(more - 1) + np.euler_gamma) - 2 * (more - 1) / more, 0)
+        return pd.Series(total / max(1, len(samples)))
 
     scored = t.samples.select("id", "y", depth("y").alias("depth"))
     limit = scored.agg(F.percentile_approx("depth", 0.01).alias("cut"))

@@ -24,6 +24,17 @@ register("stream_login_lockout", lambda t: J.run(J.stateful(events(t).where("eve
 register("stream_rate_limit", lambda t: J.run(J.stateful(events(t), "user_id", "state string", "user_id long, event_id long, allowed boolean", J.rate_step({3600: 2, 86400: 5}), lambda: {"at": []}), "rate"))
 register("stream_trend", lambda t: J.run(J.stateful(events(t), "event_type", "state string", "name string, event_id long, slope double", J.trend_step(), lambda: {"v": []}), "trend").select("event_id", F.round("slope", 5).alias("slope")))
 register("stream_dedup", lambda t: J.run(events(t).unionByName(events(t)).dropDuplicatesWithinWatermark(["event_id"]).select("event_id", "event_type"), "dedup"), "SELECT event_id, event_type FROM events")
-register("stream_late_data", lambda t: J.collected(events(t).groupBy(F.date_format("at", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n")), "late"), "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1")
+
+
+def late_data(t):
+    """Events by day when every tenth id arrives after the rest: those older than a day by then are dropped, and counted in each row."""
+    rows = t.events.select("event_id", F.col("ts").cast("timestamp").alias("at"))
+    kept, late = J.retained(t.spark, [rows.where("event_id % 10 <> 0"), rows.where("event_id % 10 = 0")])
+    return kept.groupBy(F.date_format("at", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n")).withColumn("late", F.lit(late).cast("long"))
+
+
+register("stream_late_data", late_data, """WITH m AS (SELECT (max(epoch_us(ts)) // 1000 - 86400000) * 1000 AS mark FROM events WHERE event_id % 10 <> 0),
+    e AS (SELECT ts, event_id % 10 <> 0 OR epoch_us(ts) > mark AS kept FROM events, m WHERE ts IS NOT NULL)
+    SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, (SELECT count(*) FROM e WHERE NOT kept) AS late FROM e WHERE kept GROUP BY 1""")
 register("stream_daily_sink", lambda t: J.run(events(t).select("event_id", F.date_format("at", "yyyyMMdd").alias("event_date")), "daily").groupBy("event_date").agg(F.count("*").alias("n")), "SELECT strftime(ts, '%Y%m%d') AS event_date, count(*) AS n FROM events GROUP BY 1")
 register("stream_notify_sink", lambda t: J.run(events(t).where("value > 90").select("event_id", F.expr("explode(slice(array('log', 'mail', 'page'), 1, CASE WHEN value > 95 THEN 3 ELSE 2 END)) AS channel")), "notify").groupBy("channel").agg(F.count("*").alias("n")), "SELECT channel, count(*) AS n FROM (SELECT unnest(CASE WHEN value > 95 THEN ['log', 'mail', 'page'] ELSE ['log', 'mail'] END) AS channel FROM events WHERE value > 90) GROUP BY 1")

@@ -28,7 +28,7 @@ register("sim_cosine", lambda t: V.similarity(t.vectors, t.probes, "cosine").sel
 register("sim_euclidean", lambda t: V.similarity(t.vectors, t.probes, "euclidean").select("id_a", "id_b", r("sim")), f"SELECT a.vec_id AS id_a, b.vec_id AS id_b, round(1 - sqrt({_D2}) / sqrt(len(a.embedding)), 6) AS sim {_AGAINST}")
 register("sim_correlation", lambda t: V.similarity(t.vectors, t.probes, "correlation").select("id_a", "id_b", r("sim")), "SELECT id_a, id_b, round(abs(corr(x, y)), 6) AS sim FROM (SELECT id_a, id_b, unnest(CAST(a.embedding AS DOUBLE[])) AS x, unnest(CAST(b.embedding AS DOUBLE[])) AS y FROM pairs JOIN embeddings a ON a.vec_id = id_a JOIN embeddings b ON b.vec_id = id_b) GROUP BY 1, 2")
 register("sim_exponential", lambda t: V.similarity(t.vectors, t.probes, "exponential", 2.0).select("id_a", "id_b", r("sim")), "SELECT id_a, id_b, round(exp(-distance / 2.0), 6) AS sim FROM pairs")
-register("similarity_matrix", lambda t: V.similarity_matrix(t.vectors, t.probes).select("id_a", "id_b", F.round("sim", 5).alias("sim")).distinct(), "WITH h AS (SELECT a.vec_id AS id_a, b.vec_id AS id_b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS sim FROM probes a, embeddings b) SELECT * FROM h UNION SELECT id_b, id_a, sim FROM h")
+register("similarity_matrix", lambda t: V.similarity_matrix(t.vectors, t.probes).select("id_a", "id_b", F.round("sim", 5).alias("sim")), "WITH h AS (SELECT a.vec_id AS id_a, b.vec_id AS id_b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS sim FROM probes a, embeddings b) SELECT * FROM h UNION SELECT id_b, id_a, sim FROM h")
 register("batch_compare_report", lambda t: t.pairs.groupBy(F.expr("CASE WHEN score >= 0.8 THEN 'high' WHEN score >= 0.5 THEN 'medium' ELSE 'low' END").alias("class")).agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean"), F.round(F.stddev_pop("score"), 6).alias("std")),
     "SELECT CASE WHEN score >= 0.8 THEN 'high' WHEN score >= 0.5 THEN 'medium' ELSE 'low' END AS class, count(*) AS n, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS std FROM pairs GROUP BY 1")
 register("fuse_scores", lambda t: V.fuse_scores(t.pairs.withColumn("other", 1 - F.col("distance") / 8), "score", "other", "weighted", 0.3).select("id_a", "id_b", r("fused")), "SELECT id_a, id_b, round(0.7 * score + 0.3 * (1 - distance / 8), 6) AS fused FROM pairs")

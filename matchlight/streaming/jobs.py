@@ -57,6 +57,24 @@ def collected(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def retained(spark: SparkSession, parts: list[DataFrame], horizon: str = "24 hours") -> tuple[DataFrame, int]:
+    """Events ``(event_id, at)`` that arrive in ``parts``, one after the other, kept unless older than the horizon; and the number dropped.
+
+    Each part is drained by a restart of the same query, so that the watermark comes
+    from its checkpoint. Repeats of an id within the horizon are kept once and don't
+    count as dropped; an event without a time is dropped.
+    """
+    inbox, out, marks = folder(spark, "late-in"), folder(spark, "late"), folder(spark, "late-marks")
+    dropped = 0
+    for part in parts:
+        part.where("at IS NOT NULL").write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(part.schema).parquet(inbox).withWatermark("at", horizon).dropDuplicatesWithinWatermark(["event_id"])
+        query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start()
+        query.awaitTermination()
+        dropped += sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
+    return spark.read.schema(parts[0].schema).parquet(out), dropped
+
+
 def tumbling(events: DataFrame, width: str = "1 hour", slide: str | None = None) -> DataFrame:
     window = F.window("at", width, slide) if slide else F.window("at", width)
     return events.groupBy(F.col("event_type").alias("name"), window.alias("w")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 5).alias("mean")).select("name", F.unix_timestamp("w.start").alias("start"), "n", "mean")

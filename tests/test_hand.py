@@ -94,15 +94,46 @@ def test_stream_is_batch(spark, sf_dir, stream, batch):
     assert sorted(map(tuple, a.select(b.columns).collect())) == sorted(map(tuple, b.collect()))
 
 
-def test_stream_late_rows_are_dropped(spark, tmp_path):
+def test_stream_late_rows_are_dropped(spark):
     from matchlight.streaming import jobs
 
-    for i, rows in enumerate([[(1, "2024-01-01 10:00:00"), (2, "2024-01-01 12:00:00")], [(3, "2024-01-01 10:05:00"), (4, "2024-01-01 12:30:00")], [(5, "2024-01-01 15:00:00")]]):
-        df = spark.createDataFrame(rows, "event_id long, t string").select("event_id", F.to_timestamp("t").alias("at"))
-        df.coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
-    stream = spark.readStream.schema("event_id long, at timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*")).withWatermark("at", "10 minutes")
-    out = jobs.run(stream.groupBy(F.window("at", "1 hour").alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "n"), "late-test")
-    assert sum(r["n"] for r in out.collect()) <= 4
+    def part(*rows):
+        return spark.createDataFrame(list(rows), "event_id long, t string").select("event_id", F.to_timestamp("t").alias("at"))
+
+    parts = [
+        part((1, "2024-01-01 10:00:00"), (2, "2024-01-03 12:00:00")),
+        part((3, "2024-01-01 10:05:00"), (4, "2024-01-02 12:00:00"), (5, "2024-01-02 12:00:01"), (2, "2024-01-03 12:00:00")),
+        part((6, "2024-01-02 13:00:00"), (7, "2024-01-05 00:00:00"), (8, None)),
+    ]
+    kept, dropped = jobs.retained(spark, parts)
+    assert sorted(r["event_id"] for r in kept.collect()) == [1, 2, 5, 6, 7]  # the mark is 2 January, 12:00
+    assert dropped == 2
+
+
+def test_clusters_of_separate_blobs(spark):
+    """Three far blobs in a row: k-means takes three, every cluster is one blob, the silhouette is near one."""
+    from pyspark.ml.clustering import BisectingKMeans, KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    from matchlight.plans import statistics as P
+
+    rows = spark.range(90).select(array_to_vector(F.array((F.col("id") % 3 * 10 + F.col("id") / 900).cast("double"), (F.col("id") % 3 * 7).cast("double"))).alias("features"))
+    got = P.partitioned(rows, lambda k: KMeans(featuresCol="z", k=k, seed=7, initSteps=5), range(2, 6)).collect()
+    assert [r["n"] for r in got] == [30, 30, 30] and got[0]["k"] == 3 and got[0]["silhouette"] > 0.95
+    # bisection halves the middle blob first and so needs four
+    got = P.partitioned(rows, lambda k: BisectingKMeans(featuresCol="z", k=k, seed=7), range(2, 6)).collect()
+    assert sorted(r["n"] for r in got) == [15, 15, 30, 30] and got[0]["k"] == 4
+    assert sum(r["n"] for r in P.mixture(rows, range(2, 4)).collect()) == 90
+    assert P.elbow({2: 5.0}) == 2
+
+
+def test_isolation_finds_a_far_value(spark):
+    from types import SimpleNamespace
+
+    from matchlight.plans import statistics as P
+
+    rows = spark.range(400).select("id", F.when(F.col("id") == 7, 1e6).otherwise(F.col("id") % 50).cast("double").alias("y"))
+    assert 7 in {r["id"] for r in P.isolation(SimpleNamespace(samples=rows)).collect()}
 
 
 def test_border_points_join_a_cluster(spark):
