@@ -225,8 +225,10 @@ def find(docs: DataFrame) -> DataFrame:
     that overlap a random token. A null text is an empty one. An empty table gives
     none. Columns of these names are replaced.
     """
-    docs = docs.drop("rules", "spans", "confirmed")
-    return _judged(scan(docs), limits(cut(scan(docs.select("text")).select("_found", "_chars"), "secrets")))
+    held = [F.col(c) for c in docs.columns if c not in ("rules", "spans", "confirmed")]
+    packed = docs.select(F.struct(*held).alias("row"), "text")
+    found = _judged(scan(packed), limits(cut(scan(docs.select("text")).select("_found", "_chars"), "secrets")))
+    return found.select("row.*", "rules", "spans", "confirmed")
 
 
 def joined(spans: Column) -> Column:
@@ -235,8 +237,13 @@ def joined(spans: Column) -> Column:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs(doc_id, text)``: counts of the rules' spans, their digest, all spans and the confirmed ones as text."""
+    """Per row of ``docs(doc_id, text)``: counts of the rules' spans, their digest, all spans and the confirmed ones as text.
+
+    A null text is an empty one; a repeated row is reported again; an empty table gives
+    none. Other columns are ignored, whatever their names.
+    """
     scanned = cut(scan(docs.select("doc_id", "text")).drop("text"), "secrets")
     found = _judged(scanned, limits(scanned))
-    counts = [F.size(F.filter("rules", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    of_kind = lambda k: F.size(F.filter("rules", lambda x: x["kind"] == F.lit(k))).cast("long")
+    counts = [of_kind(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return found.select("doc_id", *counts, F.sha2(joined(F.col("rules")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), joined(F.col("confirmed")).alias("confirmed"))
