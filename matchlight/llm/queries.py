@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html, licenses, ngram_join, packing, pii, quality, rp_forest, secrets, toxicity
+from . import bpe, html, licenses, ngram_join, packing, phrases, pii, quality, repair, rp_forest, secrets, suffixes, toxicity
 from .common import table
 
 
@@ -78,6 +78,21 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes covered by strings of 200 bytes that occur twice, removed."""
+    return suffixes.report(table(spark, sf_dir, "documents"), stored=True)
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 phrases of each language."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of damaged conversations and their cheapest repair."""
+    return repair.report(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rp_forest": op1_rp_forest,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -90,6 +105,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_digests": op9_license_digests,
     "op9_license_notices": op9_license_notices,
     "op10_quality_rules": op10_quality_rules,
+    "op11_suffix_dedup": op11_suffix_dedup,
+    "op12_phrase_collocations": op12_phrase_collocations,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLES: dict[str, str] = {"op9_license_digests": licenses.oracle_sql(), "op9_license_notices": licenses.notices_sql()}
