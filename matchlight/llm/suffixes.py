@@ -9,7 +9,8 @@ made by Larsson-Sadakane refinement (groups of equal prefixes, doubled in length
 any are left), with common prefixes of neighbours by Kasai's walk: strings in a run of
 neighbours with ``WIDTH`` bytes in common occur again. The stretches of an anchor
 with many different ones lie in several shards, which are merged by the strings that
-their arrays tell apart.
+their arrays tell apart: digests of strings that share their middle, ``CORE`` bytes in
+steps of ``STEP`` about the anchor, are compared where the middle occurs twice.
 """
 
 from __future__ import annotations
@@ -31,6 +32,9 @@ WIDTH, GRAM = 200, 32
 PIECE, PLACE = 1 << 20, 21
 #: Different stretches of an anchor in one shard, and bytes of a shard's text.
 STRETCHES, SHARD = 1024, 1 << 21
+#: Places of strings about their anchor that are compared together, and the bytes that all of those have.
+STEP = 16
+CORE = WIDTH - STEP + 1
 
 
 def window_minimum(x: np.ndarray, width: int) -> np.ndarray:
@@ -43,10 +47,10 @@ def window_minimum(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """Of concatenated texts: ``(text, start, strings, anchor, digest)`` of the stretches, a piece of text at a time.
+    """Of concatenated texts: ``(text, start, strings, lead, anchor, digest)`` of the stretches, a piece of text at a time.
 
     A stretch has ``strings`` strings, at ``start`` and the next places, so it is
-    ``strings + WIDTH - 1`` bytes long.
+    ``strings + WIDTH - 1`` bytes long; its anchor lies ``lead`` bytes on.
     """
     sizes = np.diff(offsets)
     pieces, held = [], 0  # (text, from, to): strings start from..to-1
@@ -79,7 +83,7 @@ def _anchored(data: np.ndarray, offsets: np.ndarray, pieces: list[tuple[int, int
     shape = ((p - start) * (2 * WIDTH) + n).astype(np.uint64)
     digest = mixed(stretch(sums, start, start + n + WIDTH - 1) ^ mixed(shape))
     piece = np.searchsorted(begins, start, "right") - 1
-    return text[piece], start - begins[piece] + first[piece], n, prints[p], digest
+    return text[piece], start - begins[piece] + first[piece], n, p - start, prints[p], digest
 
 
 def words(text: np.ndarray) -> np.ndarray:
@@ -179,33 +183,41 @@ def _runs(text: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return text[new], start[new], start[last]
 
 
-FOUND = "file long, row long, first long, last long, shards long, anchor long, print long"
+FOUND = "file long, row long, first long, last long, anchor long, core long, starts array<long>, prints array<long>"
 
 
-def _shard(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
-    """Strings that occur again: runs of them where that is seen here, and one row for each different string of an anchor in several shards."""
+def _shard(rows: list[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Runs of strings that are seen here to occur again; then, of anchors in several shards, the strings told apart, by core.
+
+    ``starts`` are -1 for strings that need no finding, being copied or seen to occur again.
+    """
     owner, start, kind = shard_classes([r["stretch"] for r in rows])
-    single = np.array([r["copies"] == 1 for r in rows])
-    many = np.array([r["shards"] > 1 for r in rows])
+    file, row, at, lead, anchor, copies, shards = (np.array([r[c] for r in rows], np.int64) for c in ("file", "row", "at", "lead", "anchor", "copies", "shards"))
     size = np.bincount(kind)
-    again = single[owner] & (size[kind] > 1)
+    again = (copies == 1)[owner] & (size[kind] > 1)
     text, first, last = _runs(owner[again], start[again])
-    shards = np.zeros(len(text), np.int64)
-    prints = np.zeros(len(text), np.uint64)
-    spread = np.flatnonzero(many[owner])
-    if len(spread):
-        _, one = np.unique(kind[spread], return_index=True)
-        one = spread[one]
-        sizes = np.array([len(r["stretch"]) for r in rows], np.int64)
-        at = (np.cumsum(sizes) - sizes)[owner[one]] + start[one]
-        sums = prefixes(byte_values()[np.frombuffer(b"".join(r["stretch"] for r in rows), np.uint8)])
-        alone = (size[kind[one]] == 1) & single[owner[one]]
-        text, first, last = np.append(text, owner[one]), np.append(first, start[one]), np.append(last, start[one])
-        shards, prints = np.append(shards, np.where(alone, 1, 2)), np.append(prints, mixed(stretch(sums, at, at + WIDTH)))
-    at = np.array([r["at"] for r in rows], np.int64)
-    columns = [np.array([r[c] for r in rows], np.int64)[text] for c in ("file", "row")] + [at[text] + first, at[text] + last]
-    columns += [shards, np.array([r["anchor"] for r in rows], np.int64)[text], prints.view(np.int64)]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
+    none = pa.nulls(len(text), pa.list_(pa.int64()))
+    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (file[text], row[text], at[text] + first, at[text] + last, anchor[text])] + [pa.nulls(len(text), pa.int64()), none, none], schema=schema)
+
+    spread = np.flatnonzero((shards > 1)[owner])
+    if not len(spread):
+        return
+    _, one = np.unique(kind[spread], return_index=True)
+    one = np.sort(spread[one])
+    sizes = np.array([len(r["stretch"]) for r in rows], np.int64)
+    begins = np.cumsum(sizes) - sizes
+    sums = prefixes(byte_values()[np.frombuffer(b"".join(r["stretch"] for r in rows), np.uint8)])
+    text, place = owner[one], begins[owner[one]] + start[one]
+    prints = mixed(stretch(sums, place, place + WIDTH)).view(np.int64)
+    starts = np.where((size[kind[one]] == 1) & (copies == 1)[text], at[text] + start[one], -1)
+    step = (lead[text] - start[one]) // STEP
+    new = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (step[1:] != step[:-1]))))
+    middle = (begins + lead)[text[new]] - step[new] * STEP
+    core = mixed(stretch(sums, middle, middle + CORE) + step[new].astype(np.uint64)).view(np.int64)
+    ends = np.append(new, len(one)).astype(np.int32)
+    lists = [pa.ListArray.from_arrays(ends, c) for c in (starts, prints)]
+    unused = pa.nulls(len(new), pa.int64())
+    yield pa.RecordBatch.from_arrays([pa.array(file[text[new]]), pa.array(row[text[new]]), unused, unused, pa.array(anchor[text[new]]), pa.array(core), *lists], schema=schema)
 
 
 def _sharded(batches: Iterable[pa.RecordBatch], schema: pa.Schema, shard: int) -> Iterator[pa.RecordBatch]:
@@ -214,29 +226,29 @@ def _sharded(batches: Iterable[pa.RecordBatch], schema: pa.Schema, shard: int) -
     for batch in batches:
         for row in batch.to_pylist():
             if size >= shard and (row["anchor"], row["salt"]) != key:
-                yield _shard(rows, schema)
+                yield from _shard(rows, schema)
                 rows, size = [], 0
             key = row["anchor"], row["salt"]
             rows.append(row)
             size += len(row["stretch"])
     if rows:
-        yield _shard(rows, schema)
+        yield from _shard(rows, schema)
 
 
-SEGMENT = "file long, row long, at long, strings int, anchor long, digest long"
+SEGMENT = "file long, row long, at long, strings int, lead int, anchor long, digest long"
 
 
 def _segmented(batches: Iterable[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = utf8(batch.column("text"))
         file, row = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("file", "row"))
-        for text, start, n, anchor, digest in segments(data, offsets):
-            columns = file[text], row[text], start, n.astype(np.int32), anchor.view(np.int64), digest.view(np.int64)
+        for text, start, n, lead, anchor, digest in segments(data, offsets):
+            columns = file[text], row[text], start, n.astype(np.int32), lead.astype(np.int32), anchor.view(np.int64), digest.view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
 
 
 def _schema(fields: str) -> pa.Schema:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
     return pa.schema([(n, kinds[k]) for n, k in (f.split() for f in fields.split(", "))])
 
 
@@ -249,17 +261,17 @@ def repeated(docs: DataFrame, stretches: int = STRETCHES, shard: int = SHARD) ->
     """``(file, row, spans)`` of ``placed`` documents: runs ``(first, last)`` of places at which a string that occurs again starts."""
     schema, found_schema = _schema(SEGMENT), _schema(FOUND)
     every = cut(docs.select("file", "row", "text").mapInArrow(lambda b: _segmented(b, schema), SEGMENT), "segments")
-    again = every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    again = cut(every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors-again")
     some = cut(every.join(again, "anchor"), "segments-again")
-    place = F.struct("file", "row", "at", "strings")
+    place = F.struct("file", "row", "at", "strings", "lead")
     kinds = cut(some.groupBy("anchor", "digest").agg(F.count("*").alias("copies"), F.min(place).alias("one")), "stretches")
 
     copied = kinds.where("copies > 1").select("anchor", "digest")
     sure = some.join(copied, ["anchor", "digest"]).select("file", "row", F.col("at").alias("first"), (F.col("at") + F.col("strings") - 1).alias("last"))
 
     open_ = kinds.groupBy("anchor").agg(F.count("*").alias("n"), F.min("copies").alias("least")).where("n > 1 AND least = 1")
-    open_ = kinds.join(open_.select("anchor", F.ceil(F.col("n") / stretches).alias("shards")), "anchor")
-    dealt = F.struct("anchor", F.pmod("digest", "shards").alias("salt"), "shards", "copies", F.col("one.at").alias("at"), F.col("one.strings").alias("strings"))
+    open_ = kinds.join(cut(open_.select("anchor", F.ceil(F.col("n") / stretches).alias("shards")), "anchors-open"), "anchor")
+    dealt = F.struct("anchor", F.pmod("digest", "shards").alias("salt"), "shards", "copies", F.col("one.at").alias("at"), F.col("one.strings").alias("strings"), F.col("one.lead").alias("lead"))
     wanted = cut(open_.groupBy("one.file", "one.row").agg(F.collect_list(dealt).alias("wanted")), "wanted")
     holders = docs.select("file", "row", "text").join(bounded_broadcast(wanted.select("file", "row")), ["file", "row"], "left_semi")
     inside = F.transform("wanted", lambda w: w.withField("stretch", F.substring(F.encode("text", "UTF-8"), w["at"].cast("int") + 1, w["strings"] + WIDTH - 1)))
@@ -268,10 +280,13 @@ def repeated(docs: DataFrame, stretches: int = STRETCHES, shard: int = SHARD) ->
     found = cut(texts.mapInArrow(lambda b: _sharded(b, found_schema, shard), FOUND), "found")
 
     # one anchor's shards: a string that two of them tell apart occurs again
-    across = found.where("shards > 0")
-    both = across.groupBy("anchor", "print").agg(F.count("*").alias("n"), F.min(F.when(F.col("shards") == 1, F.struct("file", "row", "first"))).alias("one"), F.collect_list(F.when(F.col("shards") == 1, F.struct("file", "row", "first"))).alias("alone")).where("n > 1")
-    merged = both.select(F.explode("alone").alias("a")).select("a.file", "a.row", "a.first", F.col("a.first").alias("last"))
-    runs = sure.unionByName(found.where("shards = 0").select("file", "row", "first", "last")).unionByName(merged)
+    told = found.where("core IS NOT NULL").select("file", "row", "anchor", "core", F.arrays_zip(F.col("starts").alias("start"), F.col("prints").alias("print")).alias("told"))
+    twice = cut(told.groupBy("anchor", "core").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "core"), "cores")
+    strings = told.join(twice, ["anchor", "core"]).select("file", "row", "anchor", F.explode("told").alias("t"))
+    alone = F.when(F.col("t.start") >= 0, F.struct("file", "row", F.col("t.start").alias("start")))
+    met = strings.groupBy("anchor", "t.print").agg(F.count("*").alias("n"), F.collect_list(alone).alias("alone")).where("n > 1")
+    merged = met.select(F.explode("alone").alias("a")).select("a.file", "a.row", F.col("a.start").alias("first"), F.col("a.start").alias("last"))
+    runs = sure.unionByName(found.where("core IS NULL").select("file", "row", "first", "last")).unionByName(merged)
     return runs.groupBy("file", "row").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("spans"))
 
 
