@@ -12,6 +12,7 @@ and phrases that share a fingerprint are told apart.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -81,8 +82,17 @@ class Words:
         at = at[self.piece[at] == self.piece[at + n - 1]]
         return at, mixed(stretch(self.sums, at, at + n) + self.seeds[at] + np.uint64(n))
 
-    def phrase(self, at: int, n: int) -> str:
-        return b" ".join(self.data[a:b].tobytes() for a, b in zip(self.start[at : at + n], self.end[at : at + n], strict=True)).decode()
+    def phrases(self, at: np.ndarray, n: int) -> pa.Array:
+        """Text of the n-grams whose first words are ``at``: the words with one space between them."""
+        sizes = self.end - self.start + 1
+        begins = np.cumsum(sizes) - sizes
+        places = np.repeat(self.start - begins, sizes) + np.arange(int(sizes.sum()))
+        spaced = self.data[np.minimum(places, len(self.data) - 1)]
+        spaced[begins + sizes - 1] = 32
+        first, long = begins[at], (begins + sizes)[at + n - 1] - 1 - begins[at]
+        offsets = np.concatenate(([0], np.cumsum(long)))
+        taken = spaced[np.repeat(first - offsets[:-1], long) + np.arange(int(offsets[-1]))]
+        return pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(taken)).cast(pa.string())
 
 
 def _readings(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[tuple[Words, list[str]]]:
@@ -163,35 +173,62 @@ def _grams_of(n: int, parts: Callable[[], Bitmap] | None, size: int, held: int)
 TEXTS = pa.schema([("lang", pa.string()), ("words", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
 
 
-def _texts_of(bitmaps: list[Callable[[], Bitmap]], size: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Text and count, in a task, of n-grams in the bitmaps, and the number of words by language (0 words, no phrase).
-
-    Fingerprints are counted with a pointer to an occurrence; a second fingerprint of
-    other weights is beside each, so that phrases which share one stay apart here.
-    """
+class Found:
+    """Phrases that a task has met, by fingerprint: text at the first occurrence, and how many there were."""
+
+    def __init__(self) -> None:
+        self.prints = self.checks = np.zeros(0, np.uint64)
+        self.place, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.columns: list[tuple[pa.Array, pa.Array, pa.Array]] = []
+
+    def add(self, words: Words, langs: pa.Array, at: np.ndarray, size: int, prints: np.ndarray) -> None:
+        """``at`` and ``prints`` are of n-grams of ``size`` words. Beside each fingerprint is one of other weights; phrases of one fingerprint that differ in it stay apart."""
+        check = np.zeros(len(at), np.uint64)
+        for k in range(size):
+            check = check * np.uint64(6364136223846793005) + words.prints[at + k]
+        order = np.lexsort((check, prints))
+        p, c = prints[order], check[order]
+        first = np.flatnonzero(np.concatenate(([True], (p[1:] != p[:-1]) | (c[1:] != c[:-1])))) if len(p) else np.zeros(0, np.int64)
+        n = np.diff(np.append(first, len(p)))
+        at, p, c = at[order[first]], p[first], c[first]
+        near = np.minimum(np.searchsorted(self.prints, p), max(0, len(self.prints) - 1))
+        known = (self.prints[near] == p) & (self.checks[near] == c) if len(self.prints) else np.zeros(len(p), bool)
+        self.n[self.place[near[known]]] += n[known]
+        new = ~known
+        if new.any():
+            texts = pa.array(words.text[at[new]])
+            self.columns.append((langs.take(texts), pa.array(np.full(len(texts), size, np.int32)), words.phrases(at[new], size)))
+            self.place = np.append(self.place, len(self.n) + np.arange(len(texts)))
+            self.n = np.append(self.n, n[new])
+            self.prints, self.checks = np.append(self.prints, p[new]), np.append(self.checks, c[new])
+            order = np.argsort(self.prints)
+            self.prints, self.checks, self.place = self.prints[order], self.checks[order], self.place[order]
+
+    def flush(self) -> pa.RecordBatch:
+        columns = [pa.concat_arrays(c) for c in zip(*self.columns, strict=True)] if self.columns else [pa.array([], f.type) for f in TEXTS][:3]
+        out = pa.RecordBatch.from_arrays([*columns, pa.array(self.n)], schema=TEXTS)
+        self.__init__()
+        return out
+
+
+def _texts_of(bitmaps: list[Callable[[], Bitmap]], size: int, held: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Text and count, in a task, of n-grams in the bitmaps, and the number of words by language (0 words, no phrase)."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, totals = Found(), Counter()
         for words, langs in _readings(batches, size):
-            out: list[list] = [[], [], [], []]
-            names, which = np.unique(np.array([langs[t] for t in words.text], object).astype(str), return_counts=True) if len(words.text) else ((), ())
-            for lang, n in zip(names, which, strict=True):
-                for column, v in zip(out, (str(lang), 0, None, int(n)), strict=True):
-                    column.append(v)
+            for text, n in enumerate(np.bincount(words.text).tolist()):
+                totals[langs[text]] += n
+            names = pa.array(langs, pa.string())
             for n, bitmap in enumerate(bitmaps, 1):
                 at, prints = words.grams(n)
                 keep = is_set(bitmap(), prints)
-                at, prints = at[keep], prints[keep]
-                check = np.zeros(len(at), np.uint64)
-                for k in range(n):
-                    check = check * np.uint64(6364136223846793005) + words.prints[at + k]
-                order = np.lexsort((check, prints))
-                p, c = prints[order], check[order]
-                first = np.flatnonzero(np.concatenate(([True], (p[1:] != p[:-1]) | (c[1:] != c[:-1])))) if len(p) else np.zeros(0, np.int64)
-                sizes = np.diff(np.append(first, len(p)))
-                for i, many in zip(at[order[first]].tolist(), sizes.tolist(), strict=True):
-                    for column, v in zip(out, (langs[words.text[i]], n, words.phrase(i, n), many), strict=True):
-                        column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, TEXTS, strict=True)], schema=TEXTS)
+                found.add(words, names, at[keep], n, prints[keep])
+            if len(found.n) * LONGEST_PHRASE >= held:
+                yield found.flush()
+        yield found.flush()
+        langs = list(totals)
+        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array([0] * len(langs), pa.int32()), pa.nulls(len(langs), pa.string()), pa.array(list(totals.values()), pa.int64())], schema=TEXTS)
 
     return count
 
@@ -206,7 +243,7 @@ def frequent(docs: DataFrame, least: int = 30, size: int = PIECE, held: int = HE
         often = counts.groupBy("print").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
         sent = sc.broadcast(bitmap_of(often))
         bitmaps.append(lambda sent=sent: sent.value)
-    found = texts.mapInArrow(_texts_of(bitmaps, size), "lang string, words int, phrase string, n long")
+    found = texts.mapInArrow(_texts_of(bitmaps, size, held), "lang string, words int, phrase string, n long")
     summed = cut(found.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("f")).where((F.col("words") == 0) | (F.col("f") >= least)), "phrases")
     return summed.where("words > 0"), summed.where("words = 0").select("lang", F.col("f").alias("n"))
 
