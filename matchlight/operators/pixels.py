@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,62 +62,92 @@ def cells(pixels: DataFrame, size: int, step: int, last: int) -> DataFrame:
 SLOPE = {4: (-0.375, 0.125, -0.125, 0.375)}
 
 
-def cell_angles(image: str, side: int = 8, size: int = 4) -> str:
-    """SQL of an array: for each cell of the image array, the direction of its mean gradient in degrees."""
-
-    def slope(cy: int, cx: int, down: bool) -> str:
-        at = [(y, x) for y in range(size) for x in range(size)]
-        return " + ".join(f"{SLOPE[size][y if down else x] / size}D * CAST({image}[{(cy * size + y) * side + cx * size + x}] AS DOUBLE)" for y, x in at)
-
-    cells_ = [(cy, cx) for cy in range(side // size) for cx in range(side // size)]
-    return f"array({', '.join(f'degrees(atan2({slope(cy, cx, False)}, {slope(cy, cx, True)}))' for cy, cx in cells_)})"
-
-
-def cell_moves(side: int = 8, size: int = 4, shift: int = 1) -> list[tuple]:
-    """``(cell, cy, cx, dy, dx, pa, pb)``: for each cell and shift, the places in one image and those they meet in the other."""
+def cell_moves(side: int = 8, size: int = 4, shift: int = 1) -> list[tuple[int, int, int, list[int], list[int]]]:
+    """``(cell, dy, dx, pa, pb)``: for each cell and shift, the places in one image and those they meet in the other."""
     out, per = [], side // size
-    for cy, cx, dy, dx in ((a, b, c, d) for a in range(per) for b in range(per) for c in range(-shift, shift + 1) for d in range(-shift, shift + 1)):
+    for cell, dy, dx in ((k, c, d) for k in range(per * per) for c in range(-shift, shift + 1) for d in range(-shift, shift + 1)):
         at = [(y, x) for y in range(size) for x in range(size) if 0 <= y + dy < size and 0 <= x + dx < size]
-        place = lambda y, x: (cy * size + y) * side + cx * size + x  # noqa: B023, E731
-        out.append((cy * per + cx, cy, cx, dy, dx, [place(y, x) for y, x in at], [place(y + dy, x + dx) for y, x in at]))
+        place = lambda y, x: (cell // per * size + y) * side + cell % per * size + x  # noqa: B023, E731
+        out.append((cell, dy, dx, [place(y, x) for y, x in at], [place(y + dy, x + dx) for y, x in at]))
     return out
 
 
-def cell_correlation(pairs: DataFrame, side: int = 8, size: int = 4, shift: int = 1) -> DataFrame:
-    """Per pair ``(id_a, ea, ga, id_b, eb, gb)`` and cell, the best normalised cross-correlation over shifts, that shift and the turn of the gradient.
+def cell_slopes(side: int = 8, size: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of an image's values, a column a cell, that give the mean gradient to the right and downwards."""
+    per = side // size
+    right, down = np.zeros((side * side, per * per)), np.zeros((side * side, per * per))
+    for cell in range(per * per):
+        for y in range(size):
+            for x in range(size):
+                place = (cell // per * size + y) * side + cell % per * size + x
+                right[place, cell], down[place, cell] = SLOPE[size][x] / size, SLOPE[size][y] / size
+    return right, down
 
-    ``ea`` and ``eb`` are images as arrays, ``ga`` and ``gb`` their ``cell_angles``.
-    """
-    moves = pairs.sparkSession.createDataFrame(cell_moves(side, size, shift), "cell int, cy int, cx int, dy int, dx int, pa array<int>, pb array<int>")
 
-    def total(left: str, right: str, i: str, j: str) -> str:
-        return f"aggregate(zip_with(pa, pb, (i, j) -> CAST({left}[{i}] AS DOUBLE) * CAST({right}[{j}] AS DOUBLE)), 0D, (s, v) -> s + v)"
+#: What ``cell_matcher`` returns for a pair: an entry a cell, then the vote's count, mean correlation and convergence.
+MATCHED = "ccf array<double>, dy array<int>, dx array<int>, theta array<double>, is_cmc array<boolean>, n long, mean double, convergence double"
 
-    tried = pairs.crossJoin(F.broadcast(moves)).selectExpr(
-        "id_a", "id_b", "cy", "cx", "dy", "dx", "gb[cell] - ga[cell] AS turn",
-        f"{total('ea', 'eb', 'i', 'j')} AS ab", f"{total('ea', 'ea', 'i', 'i')} AS aa", f"{total('eb', 'eb', 'j', 'j')} AS bb",
-    )
-    ncc = tried.withColumn("ccf", F.expr("round(CASE WHEN aa * bb > 0 THEN ab / sqrt(aa * bb) ELSE 0D END, 9)"))
-    best = F.struct("ccf", "dy", "dx")
-    found = ncc.groupBy("id_a", "id_b", "cy", "cx").agg(F.max(best).alias("b"), F.max("turn").alias("turn"))
-    theta = F.expr("round(CASE WHEN turn > 180 THEN turn - 360 WHEN turn < -180 THEN turn + 360 ELSE turn END, 6)")
-    return found.select("id_a", "id_b", "cy", "cx", "b.ccf", "b.dy", "b.dx", theta.alias("theta"))
-
-
-def cell_vote(cells_: DataFrame, least: float = 0.2, limit: float = 20.0, turn: float = 15.0) -> DataFrame:
-    """Cells with ``is_cmc``: correlated enough, and near the pair's median shift and turn."""
-    middle = [F.percentile(c, 0.5).alias(f"m_{c}") for c in ("dy", "dx", "theta")]
-    med = cells_.where("ccf > 0").groupBy("id_a", "id_b").agg(*middle)
-    near = (F.abs(F.col("dy") - F.col("m_dy")) <= limit) & (F.abs(F.col("dx") - F.col("m_dx")) <= limit) & (F.abs(F.col("theta") - F.col("m_theta")) <= turn)
-    return cells_.join(med, ["id_a", "id_b"], "left").withColumn("is_cmc", F.coalesce((F.col("ccf") >= least) & near, F.lit(False)))
-
-
-def cell_result(voted: DataFrame, least_cells: int = 6) -> DataFrame:
-    on = lambda c: F.when(F.col("is_cmc"), F.col(c))
-    n = F.count_if("is_cmc")
-    spread = F.stddev_pop(on("theta")) / 10 + F.stddev_pop(on("dx")) / 10 + F.stddev_pop(on("dy")) / 10
-    out = voted.groupBy("id_a", "id_b").agg(n.alias("n"), (n / F.count("*")).alias("score"), (n >= least_cells).alias("is_match"), F.when(n >= 3, 1 / (1 + spread)).otherwise(0.0).alias("convergence"), F.coalesce(F.avg(on("ccf")), F.lit(0.0)).alias("mean"))
-    return out.withColumn("confidence", F.least(F.lit(1.0), F.col("mean") * F.col("n") / least_cells * (1 + F.col("convergence"))))
+
+def cell_matcher(least: float = 0.2, limit: float = 20.0, turn: float = 15.0, side: int = 8, size: int = 4, shift: int = 1):
+    """A vectorised function of two image columns.
+
+    Per cell: the best normalised correlation over shifts, that shift, the turn of the
+    gradient, and whether the cell is congruent: correlated at ``least``, within
+    ``limit`` and ``turn`` of the median of cells with any correlation. A batch of pairs
+    is two matrices and each move a product of their columns, so a pair stays one row:
+    nothing is exploded, sorted or shuffled.
+    """
+    moves, cells_ = cell_moves(side, size, shift), (side // size) ** 2
+    right, down = cell_slopes(side, size)
+
+    def matched(ea: pd.Series, eb: pd.Series) -> pd.DataFrame:
+        a, b = (np.stack(s.to_list()).astype(np.float64) if len(s) else np.zeros((0, side * side)) for s in (ea, eb))
+        ccf = np.full((len(a), cells_), -np.inf)
+        dy, dx = np.zeros((2, len(a), cells_), np.int32)
+        for cell, down_by, right_by, pa, pb in moves:
+            u, v = a[:, pa], b[:, pb]
+            norm = (u * u).sum(1) * (v * v).sum(1)
+            now = np.round(np.where(norm > 0, (u * v).sum(1) / np.sqrt(np.where(norm > 0, norm, 1)), 0), 9)
+            best = now >= ccf[:, cell]  # moves ascend, so equal ones go to the last
+            for to, value in ((ccf, now), (dy, down_by), (dx, right_by)):
+                to[:, cell] = np.where(best, value, to[:, cell])
+        angle = lambda e: np.degrees(np.arctan2(e @ right, e @ down))
+        turned = angle(b) - angle(a)
+        theta = np.round(np.where(turned > 180, turned - 360, np.where(turned < -180, turned + 360, turned)), 6)
+
+        ordered = lambda x: np.sort(np.where(ccf > 0, x, np.inf), axis=1)
+        seen, row = (ccf > 0).sum(1), np.arange(len(a))
+        voted = ccf >= least
+        for x, most in ((dy, limit), (dx, limit), (theta, turn)):
+            o = ordered(x)
+            middle = (o[row, np.maximum(seen - 1, 0) // 2] + o[row, np.minimum(seen // 2, cells_ - 1)]) / 2
+            voted &= (np.abs(x - middle[:, None]) <= most) & (seen > 0)[:, None]
+        n = voted.sum(1)
+        mean = lambda x: np.where(voted, x, 0).sum(1) / np.maximum(n, 1)
+        spread = sum(np.sqrt(mean((x - mean(x)[:, None]) ** 2)) / 10 for x in (theta, dx, dy))
+        columns = {"ccf": ccf, "dy": dy, "dx": dx, "theta": theta, "is_cmc": voted}
+        return pd.DataFrame({k: list(v) for k, v in columns.items()} | {"n": n, "mean": mean(ccf), "convergence": np.where(n >= 3, 1 / (1 + spread), 0.0)})
+
+    return F.pandas_udf(matched, MATCHED)
+
+
+def cell_match(pairs: DataFrame, a: str = "ea", b: str = "eb", name: str = "met", **limits: float) -> DataFrame:
+    """``pairs`` with a struct ``name`` of ``MATCHED`` for the images ``a`` and ``b``, arrays of values."""
+    return pairs.withColumn(name, cell_matcher(**limits)(a, b))
+
+
+def cell_table(matched: DataFrame, name: str = "met", side: int = 8, size: int = 4) -> DataFrame:
+    """A row a cell of ``cell_match``: ``(id_a, id_b, cy, cx, ccf, dy, dx, theta, is_cmc)``."""
+    per = side // size
+    long = matched.select("id_a", "id_b", F.posexplode(F.arrays_zip(*[F.col(f"{name}.{k}").alias(k) for k in ("ccf", "dy", "dx", "theta", "is_cmc")])).alias("c", "x"))
+    return long.selectExpr("id_a", "id_b", f"CAST(c DIV {per} AS INT) AS cy", f"CAST(c % {per} AS INT) AS cx", "x.*")
+
+
+def cell_result(matched: DataFrame, least_cells: int = 6, name: str = "met", total: int = 4) -> DataFrame:
+    """``matched`` with the vote's score, verdict and confidence beside count and convergence in ``name``."""
+    m = F.col(name)
+    sure = F.least(F.lit(1.0), m["mean"] * m["n"] / least_cells * (1 + m["convergence"]))
+    return matched.withColumn(name, F.struct(m["n"].alias("n"), (m["n"] / total).alias("score"), (m["n"] >= least_cells).alias("is_match"), m["convergence"].alias("convergence"), sure.alias("confidence")))
 
 
 def pair_quality(pairs: DataFrame) -> DataFrame:

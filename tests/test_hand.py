@@ -169,7 +169,7 @@ def test_gradient_turn_of_a_cell(spark):
     from matchlight.operators import pixels as P
 
     right = [float(x) for y in range(8) for x in range(8)]
-    images = spark.createDataFrame([(1, right), (2, [float(y) for y in range(8) for x in range(8)])], "id long, e array<double>").selectExpr("id", "e", f"{P.cell_angles('e')} AS g")
-    pairs = images.selectExpr("id AS id_a", "e AS ea", "g AS ga", "3 - id AS id_b").join(images.selectExpr("id AS id_b", "e AS eb", "g AS gb"), "id_b")
-    got = {(r["id_a"], r["theta"]) for r in P.cell_correlation(pairs).collect()}
+    images = spark.createDataFrame([(1, right), (2, [float(y) for y in range(8) for x in range(8)])], "id long, e array<double>")
+    pairs = images.selectExpr("id AS id_a", "e AS ea", "3 - id AS id_b").join(images.selectExpr("id AS id_b", "e AS eb"), "id_b")
+    got = {(r["id_a"], r["theta"]) for r in P.cell_table(P.cell_match(pairs)).collect()}
     assert got == {(1, -90.0), (2, 90.0)}
