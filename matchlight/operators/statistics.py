@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import saved
+
 
 def normal_cdf(z: Column) -> Column:
     """The normal distribution function, to 7.5e-8 (five-term rational approximation)."""
@@ -195,15 +197,66 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     return long.select(F.split("pair", "~")[0].alias("a"), F.split("pair", "~")[1].alias("b"), "r", (F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r")))).alias("t"), "n").select("a", "b", "r", "t", F.expr(student_p("t", "(n - 2)")).alias("p"))
 
 
-def outlier_flags(df: DataFrame, value: str, z: float = 1.959963984540054) -> DataFrame:
-    """``df`` with flags by quartiles, by z and by the median absolute deviation."""
-    s = df.agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.avg(value).alias("m"), F.stddev_pop(value).alias("s"))
-    mad = df.crossJoin(F.broadcast(s)).agg(F.percentile(F.abs(F.col(value) - F.col("q")[1]), 0.5).alias("mad"))
-    x = F.col(value)
-    iqr = F.col("q")[2] - F.col("q")[0]
-    return df.crossJoin(F.broadcast(s)).crossJoin(F.broadcast(mad)).select(
-        *df.columns, ((x < F.col("q")[0] - 1.5 * iqr) | (x > F.col("q")[2] + 1.5 * iqr)).alias("by_iqr"), (F.abs((x - F.col("m")) / F.col("s")) > z).alias("by_z"), (F.abs(0.6745 * (x - F.col("q")[1]) / F.col("mad")) > 3.5).alias("by_mad")
-    )
+#: Ranges that values are counted in at a time, and distinct values that are looked at one by one.
+RANGES, LOOKED_AT = 4096, 20_000
+
+
+def order_statistics(df: DataFrame, value: Column, ranks: list[int]) -> list[float]:
+    """The values at zero-based ``ranks`` of the finite non-null ones, by counting in ranges that narrow about each rank.
+
+    A round counts equal ranges of what is left with partial sums in every task, so no
+    task gets all rows; ``RANGES`` counts, and at the end at most ``LOOKED_AT`` counted
+    values, come to the driver. Ranges that no longer divide hold one value.
+    """
+    x = saved(df.select(value.cast("double").alias("x")).where("x IS NOT NULL AND NOT isnan(x)"), "values")
+    ends = x.agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count("*").alias("n")).first()
+    found: dict[int, float] = {}
+    for rank in sorted(set(ranks)):
+        low, high, before, n = ends["low"], ends["high"], 0, ends["n"]
+        while n > LOOKED_AT and low < high:
+            width = (high - low) / RANGES
+            if low + width <= low or high - width >= high:
+                break
+            place = F.least(F.floor((F.col("x") - low) / width), F.lit(RANGES - 1))
+            counts = {r["k"]: (r["n"], r["low"], r["high"]) for r in x.where((F.col("x") >= low) & (F.col("x") <= high)).groupBy(place.alias("k")).agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).collect()}
+            for k in sorted(counts):
+                n, low, high = counts[k]
+                if before + n > rank:
+                    break
+                before += n
+        for r in x.where((F.col("x") >= low) & (F.col("x") <= high)).groupBy("x").agg(F.count("*").alias("n")).orderBy("x").toLocalIterator():
+            if before + r["n"] > rank:
+                found[rank] = r["x"]
+                break
+            before += r["n"]
+    return [found[r] for r in ranks]
+
+
+def quantiles(df: DataFrame, value: Column, shares: list[float]) -> list[float | None]:
+    """Quantiles between neighbouring ranks; null where there are no values."""
+    n = df.agg(F.count(F.when(~F.isnan(value.cast("double")), value))).first()[0]
+    if not n:
+        return [None] * len(shares)
+    at = [q * (n - 1) for q in shares]
+    low = [min(int(math.floor(a)), n - 1) for a in at]
+    got = order_statistics(df, value, [*low, *[min(k + 1, n - 1) for k in low]])
+    return [a + (b - a) * (p - k) for a, b, p, k in zip(got[: len(low)], got[len(low) :], at, low, strict=True)]
+
+
+def outlier_flags(df: DataFrame, value: str, z: float = 1.959963984540054, kinds: tuple[str, ...] = ("iqr", "z", "mad")) -> DataFrame:
+    """``df`` with the flags ``by_iqr`` (quartiles), ``by_z`` and ``by_mad`` (median absolute deviation) that are asked for."""
+    x, flags = F.col(value), {}
+    if "iqr" in kinds or "mad" in kinds:
+        low, middle, high = (F.lit(q).cast("double") for q in quantiles(df, x, [0.25, 0.5, 0.75]))
+    if "iqr" in kinds:
+        flags["by_iqr"] = (x < low - 1.5 * (high - low)) | (x > high + 1.5 * (high - low))
+    if "z" in kinds:
+        m = df.agg(F.avg(value).alias("m"), F.stddev_pop(value).alias("s")).first()
+        flags["by_z"] = F.abs((x - F.lit(m["m"]).cast("double")) / F.lit(m["s"]).cast("double")) > z
+    if "mad" in kinds:
+        (mad,) = quantiles(df, F.abs(x - middle), [0.5])
+        flags["by_mad"] = F.abs(0.6745 * (x - middle) / F.lit(mad).cast("double")) > 3.5
+    return df.select(*df.columns, *[c.alias(k) for k, c in flags.items()])
 
 
 def moments(df: DataFrame, *by: str) -> DataFrame:

@@ -11,8 +11,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import metric as N
 from ..operators import statistics as S
-from ..operators import vectors as V
 from .registry import register
 
 
@@ -56,7 +56,7 @@ def kendall(t):
 register("correlation_kendall", kendall, "WITH c AS (SELECT d, t, CAST(count(*) AS DOUBLE) AS n FROM samples GROUP BY 1, 2) SELECT round(sum(sign(p.d - q.d) * sign(p.t - q.t) * p.n * q.n) / sqrt(sum(CASE WHEN p.d <> q.d THEN p.n * q.n END) * sum(CASE WHEN p.t <> q.t THEN p.n * q.n END)), 5) AS tau FROM c p, c q")
 _OUT = "WITH s AS (SELECT quantile_cont(y, 0.25) AS q1, quantile_cont(y, 0.5) AS q2, quantile_cont(y, 0.75) AS q3, avg(y) AS m, stddev_pop(y) AS sd FROM samples), md AS (SELECT quantile_cont(abs(y - q2), 0.5) AS mad FROM samples, s), f AS (SELECT id, grp, y, y < q1 - 1.5 * (q3 - q1) OR y > q3 + 1.5 * (q3 - q1) AS by_iqr, abs((y - m) / sd) > 1.959963984540054 AS by_z, abs(0.6745 * (y - q2) / mad) > 3.5 AS by_mad FROM samples, s, md)"
 for _n in ("iqr", "z", "mad"):
-    register({"iqr": "outlier_iqr", "z": "outlier_zscore", "mad": "outlier_mad"}[_n], lambda t, n=_n: S.outlier_flags(t.samples, "y").where(f"by_{n}").select("id", "y"), f"{_OUT} SELECT id, y FROM f WHERE by_{_n}")
+    register({"iqr": "outlier_iqr", "z": "outlier_zscore", "mad": "outlier_mad"}[_n], lambda t, n=_n: S.outlier_flags(t.samples, "y", kinds=(n,)).where(f"by_{n}").select("id", "y"), f"{_OUT} SELECT id, y FROM f WHERE by_{_n}")
 register("outlier_consensus", lambda t: S.outlier_flags(t.samples, "y").where("CAST(by_iqr AS INT) + CAST(by_z AS INT) + CAST(by_mad AS INT) >= 2").select("id"), f"{_OUT} SELECT id FROM f WHERE CAST(by_iqr AS INT) + CAST(by_z AS INT) + CAST(by_mad AS INT) >= 2")
 
 
@@ -202,16 +202,19 @@ def isolation(t):
 
 
 register("outlier_isolation_forest", isolation)
-_EPS = 1.0
-
-
-#: Neighbours that make a vector a core point.
+#: Rows within reach, itself among them, that make a vector a core point; the distance to the last of them is its k-distance.
 _CORE = 4
 
 
-def dbscan(t):
-    """Clusters of core points within a distance of each other; other points near one join its cluster (the least, if several), the rest is noise, -1."""
-    near = V.range_search(t.vectors, t.vectors, _EPS * _EPS).select("id_a", "id_b")
+def dbscan(t, share: float = 0.9):
+    """Clusters of core points within eps of each other, eps being the 90th percentile of the k-distances.
+
+    Other points near a core point join its cluster (the least, if several); the rest is noise, -1.
+    """
+    index = N.build(t.vectors)
+    far = N.nearest(index, t.vectors, _CORE - 1).where(F.col("rank") == _CORE - 1)
+    (eps,) = S.quantiles(far, F.sqrt("dist"), [share])
+    near = N.within(index, t.vectors, eps or 0.0).select("id_a", "id_b")
     return clustered(t.vectors.select(F.col("vec_id").alias("node")), near)
 
 
@@ -220,7 +223,7 @@ def clustered(nodes, near):
     from ..operators.graph import components, saved
 
     near = saved(near, "near")
-    core = saved(near.groupBy(F.col("id_a").alias("node")).agg(F.count("*").alias("n")).where(F.col("n") >= _CORE).select("node"), "core")
+    core = saved(near.groupBy(F.col("id_a").alias("node")).agg(F.count("*").alias("n")).where(F.col("n") >= _CORE - 1).select("node"), "core")
     from_core = near.join(core.withColumnRenamed("node", "id_b"), "id_b", "left_semi")
     edges = from_core.join(core.withColumnRenamed("node", "id_a"), "id_a", "left_semi").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
     inner = core.join(components(edges), "node", "left").select("node", F.coalesce("component", "node").alias("cluster"))
@@ -228,9 +231,12 @@ def clustered(nodes, near):
     return nodes.join(inner.union(border), "node", "left").select("node", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
 
-_DBSCAN = f"""WITH RECURSIVE near AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id
-        AND list_sum(list_transform(list_zip(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) <= {_EPS * _EPS}),
-    core AS (SELECT a AS node FROM near GROUP BY 1 HAVING count(*) >= {_CORE}),
+_DBSCAN = f"""WITH RECURSIVE gap AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b,
+        sqrt(list_sum(list_transform(list_zip(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS d
+        FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id),
+    eps AS (SELECT quantile_cont(d, 0.9) AS e FROM (SELECT d, row_number() OVER (PARTITION BY a ORDER BY d, b) AS k FROM gap) WHERE k = {_CORE - 1}),
+    near AS MATERIALIZED (SELECT a, b FROM gap, eps WHERE d <= e),
+    core AS (SELECT a AS node FROM near GROUP BY 1 HAVING count(*) >= {_CORE - 1}),
     reach AS (SELECT node, node AS c FROM core UNION SELECT near.b, reach.c FROM reach JOIN near ON near.a = reach.node JOIN core ON core.node = near.b),
     inside AS (SELECT node, min(c) AS cluster FROM reach GROUP BY 1),
     border AS (SELECT near.a AS node, min(cluster) AS cluster FROM near JOIN inside ON inside.node = near.b WHERE near.a NOT IN (SELECT node FROM core) GROUP BY 1)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import matching as M
+from ..operators import metric as N
 from ..operators import vectors as V
 from ..sources.tables import dot
 from .registry import register
@@ -20,8 +23,8 @@ def r(c: str, n: int = 6):
 
 
 register("knn_l2", lambda t: V.knn_l2(t.vectors, t.vectors.where("vec_id = 20"), 10).select("id_b", r("dist")), f"SELECT b.vec_id AS id_b, round({_D2}, 6) AS dist FROM embeddings a, embeddings b WHERE a.vec_id = 20 ORDER BY {_D2}, b.vec_id LIMIT 10")
-register("knn_batch", lambda t: V.knn_batch(t.vectors, t.probes, 5).select("id_a", "id_b", "rank"), "SELECT id_a, id_b, rank FROM (SELECT id_a, id_b, row_number() OVER (PARTITION BY id_a ORDER BY distance, id_b) AS rank FROM pairs) WHERE rank <= 5")
-register("range_search", lambda t: V.range_search(t.vectors, t.probes, 1.3).select("id_a", "id_b"), f"SELECT a.vec_id AS id_a, b.vec_id AS id_b {_AGAINST} AND {_D2} <= 1.3")
+register("knn_batch", lambda t: N.nearest(N.build(t.vectors), t.probes, 5).select("id_a", "id_b", "rank"), "SELECT id_a, id_b, rank FROM (SELECT id_a, id_b, row_number() OVER (PARTITION BY id_a ORDER BY distance, id_b) AS rank FROM pairs) WHERE rank <= 5")
+register("range_search", lambda t: N.within(N.build(t.vectors), t.probes, math.sqrt(1.3)).select("id_a", "id_b"), f"SELECT a.vec_id AS id_a, b.vec_id AS id_b {_AGAINST} AND {_D2} <= 1.3")
 register("search_similar_cases", lambda t: V.knn_batch(t.vectors, t.probes, 10).withColumn("similarity", 1 - F.sqrt("dist") / 8).where("similarity >= 0.8").join(t.orders.selectExpr("o_orderkey AS id_b", "o_custkey AS case_id"), "id_b").select("id_a", "case_id", r("similarity")),
     "SELECT id_a, o_custkey AS case_id, round(1 - distance / 8, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY id_a ORDER BY distance, id_b) AS rank FROM pairs) JOIN orders ON o_orderkey = id_b WHERE rank <= 10 AND 1 - distance / 8 >= 0.8")
 register("sim_cosine", lambda t: V.similarity(t.vectors, t.probes, "cosine").select("id_a", "id_b", r("sim")), f"SELECT a.vec_id AS id_a, b.vec_id AS id_b, round({_COS}, 6) AS sim {_AGAINST}")
