@@ -28,6 +28,8 @@ from .rolling import byte_values, counted, mixed, prefixes, stretch, utf8
 BITS, ROW_BITS = 26, 16
 #: Fingerprints held by a task before it counts them, and bytes of text read at once.
 HELD, PIECE = 1 << 22, 1 << 21
+#: Tasks of the last reading for each core of the session.
+TASKS_A_CORE = 2
 #: Words of the longest phrase.
 LONGEST_PHRASE = 4
 
@@ -243,7 +245,8 @@ def frequent(docs: DataFrame, least: int = 30, size: int = PIECE, held: int = HE
         often = counts.groupBy("print").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
         sent = sc.broadcast(bitmap_of(often))
         bitmaps.append(lambda sent=sent: sent.value)
-    found = texts.mapInArrow(_texts_of(bitmaps, size, held), "lang string, words int, phrase string, n long")
+    # a task gives every frequent phrase that it meets once, so few long tasks give fewer rows than the scan's many
+    found = texts.coalesce(TASKS_A_CORE * sc.defaultParallelism).mapInArrow(_texts_of(bitmaps, size, held), "lang string, words int, phrase string, n long")
     summed = cut(found.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("f")).where((F.col("words") == 0) | (F.col("f") >= least)), "phrases")
     return summed.where("words > 0"), summed.where("words = 0").select("lang", F.col("f").alias("n"))
 
