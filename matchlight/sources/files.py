@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.graph import shared_dir
+
 # Limits of incoming files.
 EXTENSIONS = r"\.(jpg|jpeg|png|tif|tiff|bmp)$"
 MAX_BYTES = 50 * 1024 * 1024
@@ -19,8 +20,7 @@ RECORD = (
 
 
 def shared_folder(df: DataFrame) -> str:
-    base = df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{base}/matchlight-files" if base else tempfile.mkdtemp(prefix="matchlight-files-")
+    return f"{shared_dir(df.sparkSession)}/files"
 
 
 def write_sample_images(vectors: DataFrame) -> str:
