@@ -102,7 +102,7 @@ PAIRS = "id_a long, id_b long, dist double, computed long"
 
 
 def _met(index: Index, asked: DataFrame, k: int | None) -> DataFrame:
-    """Pairs within the questions' radii (the ``k`` nearest of a block, if given); ``computed`` on a block's first pair is its number of distances."""
+    """Pairs within the questions' radii (the ``k`` nearest of a block, if given); a row of distance -1 has the number of distances that a block ``computed``."""
     sizes = asked.groupBy("cell").agg(F.ceil(F.count("*") / F.first(_of(index.blocks, "cell")) / BLOCK).alias("parts"))
     parts = F.broadcast(sizes)  # a row a pivot
     left = asked.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("id"), "parts"))
@@ -120,7 +120,8 @@ def _met(index: Index, asked: DataFrame, k: int | None) -> DataFrame:
                 near = np.flatnonzero((np.sqrt(d) <= radius[i]) & (ids[low[i] : high[i]] != me))
                 if k is not None and len(near) > k:
                     near = near[np.lexsort((ids[low[i] : high[i]][near], d[near]))[:k]]
-                out.append((np.full(len(near), me), ids[low[i] : high[i]][near], d[near], np.eye(1, len(near), dtype=np.int64)[0] * (high[i] - low[i])))
+                out.append((np.full(len(near), me), ids[low[i] : high[i]][near], d[near], np.zeros(len(near), np.int64)))
+            out.append((np.array([-1]), np.array([-1]), np.array([-1.0]), np.array([int((high - low).sum())])))
         columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[], [], [], []]
         return pd.DataFrame(dict(zip(("id_a", "id_b", "dist", "computed"), columns, strict=True)))
 
@@ -132,7 +133,7 @@ def _met(index: Index, asked: DataFrame, k: int | None) -> DataFrame:
 def within(index: Index, queries: DataFrame, radius: float, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """``(id_a, id_b, dist)``: all other members within ``radius`` of each query, by squared distance."""
     asks = queries.where(F.col(column).isNotNull()).select(F.col(key).alias("id"), F.col(column).cast("array<double>").alias("v"), F.lit(float(radius)).alias("radius"))
-    return _met(index, _asked(index, asks, "all"), None).drop("computed")
+    return _met(index, _asked(index, asks, "all"), None).where("dist >= 0").drop("computed")
 
 
 def nearest(index: Index, queries: DataFrame, k: int, key: str = "vec_id", column: str = "embedding") -> DataFrame:
@@ -145,8 +146,8 @@ def nearest(index: Index, queries: DataFrame, k: int, key: str = "vec_id", colum
     order = Window.partitionBy("id_a").orderBy("dist", "id_b")
     best = lambda rows: rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     own = _met(index, _asked(index, asks.withColumn("radius", F.lit(float("inf"))), "only"), k)
-    first = saved(best(own.drop("computed")), "nearest")
+    first = saved(best(own.where("dist >= 0").drop("computed")), "nearest")
     bound = first.where(F.col("rank") == k).select(F.col("id_a").alias("id"), F.sqrt("dist").alias("radius"))
     wider = asks.join(bound, "id", "left").withColumn("radius", F.coalesce("radius", F.lit(float("inf"))))
     others = _met(index, _asked(index, wider, "not"), k)
-    return best(first.drop("rank").unionByName(others.drop("computed")))
+    return best(first.drop("rank").unionByName(others.where("dist >= 0").drop("computed")))
