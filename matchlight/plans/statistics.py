@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans, PowerIterationClustering
+from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import clusters as C
 from ..operators import metric as N
 from ..operators import statistics as S
 from .registry import register
@@ -82,7 +83,7 @@ def points(t):
 
 
 def standardised(rows):
-    """Unit variances; means stay, since a bisection starts from a share of the centre's length and cannot split about the origin."""
+    """Unit variances; means stay."""
     return StandardScaler(inputCol="features", outputCol="z", withMean=False).fit(rows).transform(rows)
 
 
@@ -129,16 +130,10 @@ def mixture(rows, ks=range(2, 11)):
 
 
 register("cluster_kmeans", lambda t: partitioned(points(t), lambda k: KMeans(featuresCol="z", k=k, seed=7, initSteps=5)))
-register("cluster_hierarchical", lambda t: partitioned(points(t), lambda k: BisectingKMeans(featuresCol="z", k=k, seed=7, maxIter=10)))
+register("cluster_hierarchical", lambda t: C.hierarchical(t.vectors))
 register("cluster_gmm", lambda t: mixture(points(t)))
 
-
-def spectral(t):
-    edges = t.pairs.selectExpr("id_a AS src", "id_b AS dst", "exp(-distance * distance) AS weight").where("src <> dst")
-    return PowerIterationClustering(k=3, maxIter=10, weightCol="weight").assignClusters(edges).groupBy("cluster").count()
-
-
-register("cluster_spectral", spectral)
+register("cluster_spectral", lambda t: C.spectral(t.vectors))
 register("cluster_profile", lambda t: t.vectors.selectExpr("label", "CAST(embedding[0] AS DOUBLE) AS e0", "CAST(embedding[1] AS DOUBLE) AS e1").groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("e0"), 5).alias("m0"), F.round(F.stddev_pop("e1"), 5).alias("s1")), "SELECT label, count(*) AS n, round(avg(CAST(embedding[1] AS DOUBLE)), 5) AS m0, round(stddev_pop(CAST(embedding[2] AS DOUBLE)), 5) AS s1 FROM embeddings GROUP BY 1")
 
 
