@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import saved
+from .ranges import ranged, running
 
 
 def normal_cdf(z: Column) -> Column:
@@ -92,9 +93,13 @@ def quantile(df: str) -> str:
 def average_rank(df: DataFrame, value: str, *by: str) -> DataFrame:
     """Average ranks of tied values without ranking rows in one task.
 
-    Values are counted first; the running count goes over the distinct values.
+    Values are counted first; the running count goes over the distinct values, by
+    ranges where there is no key.
     """
     per = df.groupBy(*by, value).agg(F.count("*").alias("_n"))
+    if not by:
+        ranks = running(ranged(per, value), [value], "sum", _upto=F.col("_n")).select(value, (F.col("_upto") - (F.col("_n") - 1) / 2).alias("rank"))
+        return df.join(ranks, value)
     w = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     ranks = per.withColumn("rank", F.sum("_n").over(w) - (F.col("_n") - 1) / 2)
     return df.join(ranks.drop("_n"), [*by, value])
@@ -104,8 +109,7 @@ def mann_whitney(df: DataFrame, a: str, b: str, value: str = "x") -> DataFrame:
     """U, z, and the two-sided p and effect of z with the continuity correction; null where all values are equal."""
     g = df.where(F.col("grp").isin(a, b)).select("grp", value)
     per = g.groupBy(value).agg(F.count("*").alias("c"), F.count_if(F.col("grp") == a).alias("ca"))
-    w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = per.withColumn("rank", F.sum("c").over(w) - (F.col("c") - 1) / 2)
+    ranked = running(ranged(per, value), [value], "sum", upto=F.col("c")).withColumn("rank", F.col("upto") - (F.col("c") - 1) / 2)
     s = ranked.agg(F.sum(F.col("rank") * F.col("ca")).alias("r"), F.sum("ca").cast("double").alias("n1"), F.sum("c").cast("double").alias("n"), F.sum(F.expr("CAST(c AS DOUBLE) * c * c - c")).alias("ties"))
     s = s.withColumn("n2", F.col("n") - F.col("n1")).withColumn("u", F.expr("r - n1 * (n1 + 1) / 2"))
     s = s.withColumn("sd", F.expr("sqrt(n1 * n2 / 12 * (n + 1 - ties / (n * (n - 1))))")).withColumn("z", F.expr("(u - n1 * n2 / 2) / nullif(sd, 0)"))
@@ -117,8 +121,7 @@ def wilcoxon(df: DataFrame, difference: Column) -> DataFrame:
     """Rank sums by sign without zeros, z with the correction for ties, two-sided p."""
     d = df.select(difference.alias("d")).where("d <> 0").withColumn("m", F.abs("d"))
     per = d.groupBy("m").agg(F.count("*").alias("c"), F.count_if(F.col("d") > 0).alias("pos"))
-    w = Window.orderBy("m").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = per.withColumn("rank", F.sum("c").over(w) - (F.col("c") - 1) / 2)
+    ranked = running(ranged(per, "m"), ["m"], "sum", upto=F.col("c")).withColumn("rank", F.col("upto") - (F.col("c") - 1) / 2)
     s = ranked.agg(
         F.sum(F.col("rank") * F.col("pos")).alias("plus"), F.sum(F.col("rank") * (F.col("c") - F.col("pos"))).alias("minus"), F.sum("c").alias("n"),
         F.sum(F.expr("CAST(c AS DOUBLE) * c * c - c")).alias("ties"),
@@ -130,8 +133,7 @@ def wilcoxon(df: DataFrame, difference: Column) -> DataFrame:
 def ks_two_sample(df: DataFrame, a: str, b: str, value: str = "x") -> DataFrame:
     """The largest gap of two distribution functions and its p in the limit of large groups; null where one is empty."""
     per = df.where(F.col("grp").isin(a, b)).groupBy(value).agg(F.count_if(F.col("grp") == a).alias("a"), F.count_if(F.col("grp") == b).alias("b"))
-    w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    run = per.select(F.sum("a").over(w).alias("ra"), F.sum("b").over(w).alias("rb"))
+    run = running(ranged(per, value), [value], "sum", ra=F.col("a"), rb=F.col("b"))
     total = per.agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))
     got = run.crossJoin(F.broadcast(total)).agg(F.max(F.abs(F.expr("ra / nullif(ta, 0) - rb / nullif(tb, 0)"))).alias("d"), F.max(F.col("ta").cast("double")).alias("n1"), F.max(F.col("tb").cast("double")).alias("n2"))
     return got.select("d", F.expr(kolmogorov_p("d", "n1", "n2")).alias("p"))
@@ -172,22 +174,27 @@ def fisher_exact(df: DataFrame, a: Column, b: Column) -> DataFrame:
     return tables.agg(F.expr("any_value(CAST(p AS DOUBLE) * s / nullif(CAST(q AS DOUBLE) * r, 0))").alias("odds"), (F.sum(F.expr("CASE WHEN w <= 1e-7 THEN exp(w) END")) / F.sum(F.expr("exp(w)"))).alias("pv")).select("odds", F.col("pv").alias("p"))
 
 
-def adjust(p: DataFrame, method: str, family: str | None = None, alpha: float = 0.05) -> DataFrame:
-    """``adjusted`` and ``rejected`` of ``p(id, p)``; the step-up method keeps a running maximum of ascending values."""
-    by = [family] if family else []
-    w, up = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("p", "id")
-    m, i = F.count("*").over(w), F.row_number().over(up)
-    rows = p.withColumn("m", m).withColumn("i", i)
-    run = Window.partitionBy(*by).orderBy("p", "id").rowsBetween(Window.unboundedPreceding, 0)
+def adjust(p: DataFrame, method: str, alpha: float = 0.05) -> DataFrame:
+    """``adjusted`` and ``rejected`` of ``p(id, p)``; the step-up method keeps a running maximum of ascending values.
+
+    Ranks and running maxima go by ranges of (p, id), so no task sees the whole family.
+    """
+    size = p.agg(F.count("*").alias("m"))
+    rows = p.crossJoin(F.broadcast(size))  # one row
     if method == "bonferroni":
         return rows.withColumn("adjusted", F.least(F.col("p") * F.col("m"), F.lit(1.0))).withColumn("rejected", F.col("adjusted") < alpha)
     if method == "sidak":
         return rows.withColumn("adjusted", 1 - F.pow(1 - F.col("p"), F.col("m"))).withColumn("rejected", F.col("p") <= 1 - F.pow(F.lit(1 - alpha), 1 / F.col("m")))
+    order = ["p", "id"]
+    rows = running(ranged(rows, *order), order, "sum", i=F.lit(1).cast("long"))
     if method == "holm":
-        return rows.withColumn("adjusted", F.least(F.max(F.col("p") * (F.col("m") - F.col("i") + 1)).over(run), F.lit(1.0))).withColumn("rejected", F.col("adjusted") <= alpha)
+        top = running(rows, order, "max", top=F.col("p") * (F.col("m") - F.col("i") + 1))
+        return top.withColumn("adjusted", F.least("top", F.lit(1.0))).withColumn("rejected", F.col("adjusted") <= alpha)
     harmonic = F.aggregate(F.sequence(F.lit(1), F.col("m").cast("int")), F.lit(0.0), lambda s, k: s + 1 / k) if method == "yekutieli" else F.lit(1.0)
-    rows = rows.withColumn("ok", F.col("p") <= F.col("i") * alpha / F.col("m") / harmonic).withColumn("last", F.max(F.when(F.col("ok"), F.col("i"))).over(w))
-    return rows.withColumn("adjusted", F.least(F.max(F.col("p") * F.col("m") / F.col("i")).over(run), F.lit(1.0))).withColumn("rejected", F.coalesce(F.col("i") <= F.col("last"), F.lit(False)))
+    rows = rows.crossJoin(F.broadcast(size.select(harmonic.alias("h"))))
+    last = rows.where(F.col("p") <= F.col("i") * alpha / F.col("m") / F.col("h")).agg(F.max("i").alias("last"))
+    top = running(rows, order, "max", top=F.col("p") * F.col("m") / F.col("i")).crossJoin(F.broadcast(last))
+    return top.withColumn("adjusted", F.least("top", F.lit(1.0))).withColumn("rejected", F.coalesce(F.col("i") <= F.col("last"), F.lit(False)))
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from ..operators import clusters as C
 from ..operators import metric as N
+from ..operators import ranges as R
 from ..operators import statistics as S
+from .hypothesis import normal_sql
 from .registry import register
 
 
@@ -44,17 +46,27 @@ _COLS = ["x", "y", "d", "t"]
 _PAIRS = [(a, b) for a in _COLS for b in _COLS if a < b]
 
 
+#: Two rows: discount and tax, both of few values, and quantity with a price that hardly ever repeats.
+_TAU = [("d", "t"), ("x", "y")]
+
+
 def kendall(t):
-    """Tau-b of two columns with few values: pairs of value cells, not of rows."""
-    cells = t.samples.groupBy("d", "t").agg(F.count("*").cast("double").alias("n"))
-    p = cells.alias("p").crossJoin(F.broadcast(cells.alias("q")))  # at most 11 x 9 cells
-    s = F.signum(F.col("p.d") - F.col("q.d")) * F.signum(F.col("p.t") - F.col("q.t"))
-    w = F.col("p.n") * F.col("q.n")
-    got = p.agg(F.sum(s * w).alias("s"), F.sum(F.when(F.col("p.d") != F.col("q.d"), w)).alias("a"), F.sum(F.when(F.col("p.t") != F.col("q.t"), w)).alias("b"))
-    return got.select(F.round(F.col("s") / F.sqrt(F.col("a") * F.col("b")), 5).alias("tau"))
+    got = [R.kendall(t.samples, a, b).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "n", *rr("tau", "p"), F.round("z", 3).alias("z")) for a, b in _TAU]
+    return got[0].union(got[1])
+
+
+def kendall_sql(a: str, b: str) -> str:
+    """Contrary pairs by the rows of each value of ``a`` that lie below in ``b``; z and p corrected for ties."""
+    ties = lambda c: f"(SELECT sum(n * (n - 1)) AS p, sum(n * (n - 1) * (n - 2)) AS q, sum(n * (n - 1) * (2 * n + 5)) AS r FROM (SELECT CAST(count(*) AS DOUBLE) AS n FROM samples GROUP BY {c}))"
+    return f"""(WITH kinds AS (SELECT DISTINCT {a} AS v FROM samples),
+        below AS (SELECT v, {a} AS own, count(*) FILTER ({a} = v) OVER (PARTITION BY v ORDER BY {b} RANGE UNBOUNDED PRECEDING) - count(*) FILTER ({a} = v) OVER (PARTITION BY v, {b}) AS n FROM samples, kinds),
+        s AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM samples),
+        one AS (SELECT n, n * (n - 1) AS m, (n * (n - 1) - tx.p - ty.p + tb.p) / 2 - 2 * (SELECT sum(n) FROM below WHERE own < v) AS s, tx.p AS px, ty.p AS py, tx.q AS qx, ty.q AS qy, tx.r AS rx, ty.r AS ry FROM s, {ties(a)} tx, {ties(b)} ty, {ties(f"{a}, {b}")} tb),
+        z AS (SELECT *, s / sqrt((m * (2 * n + 5) - rx - ry) / 18 + px * py / (2 * m) + qx * qy / (9 * m * (n - 2))) AS z FROM one)
+        SELECT '{a}' AS a, '{b}' AS b, CAST(n AS BIGINT) AS n, round(2 * s / (sqrt(m - px) * sqrt(m - py)), 5) AS tau, round({normal_sql("z")}, 5) AS p, round(z, 3) AS z FROM z)"""
 
 
-register("correlation_kendall", kendall, "WITH c AS (SELECT d, t, CAST(count(*) AS DOUBLE) AS n FROM samples GROUP BY 1, 2) SELECT round(sum(sign(p.d - q.d) * sign(p.t - q.t) * p.n * q.n) / sqrt(sum(CASE WHEN p.d <> q.d THEN p.n * q.n END) * sum(CASE WHEN p.t <> q.t THEN p.n * q.n END)), 5) AS tau FROM c p, c q")
+register("correlation_kendall", kendall, " UNION ALL ".join(kendall_sql(a, b) for a, b in _TAU))
 _OUT = "WITH s AS (SELECT quantile_cont(y, 0.25) AS q1, quantile_cont(y, 0.5) AS q2, quantile_cont(y, 0.75) AS q3, avg(y) AS m, stddev_pop(y) AS sd FROM samples), md AS (SELECT quantile_cont(abs(y - q2), 0.5) AS mad FROM samples, s), f AS (SELECT id, grp, y, y < q1 - 1.5 * (q3 - q1) OR y > q3 + 1.5 * (q3 - q1) AS by_iqr, abs((y - m) / sd) > 1.959963984540054 AS by_z, abs(0.6745 * (y - q2) / mad) > 3.5 AS by_mad FROM samples, s, md)"
 for _n in ("iqr", "z", "mad"):
     register({"iqr": "outlier_iqr", "z": "outlier_zscore", "mad": "outlier_mad"}[_n], lambda t, n=_n: S.outlier_flags(t.samples, "y", kinds=(n,)).where(f"by_{n}").select("id", "y"), f"{_OUT} SELECT id, y FROM f WHERE by_{_n}")
