@@ -36,22 +36,6 @@ def anomaly(metrics: DataFrame, n: int = 100) -> DataFrame:
     return med.withColumn("mad", middle(F.transform("before", lambda v: F.abs(v - F.col("med"))))).select("name", "event_id", F.try_divide(0.6745 * (F.col("value") - F.col("med")), F.col("mad")).alias("z"))
 
 
-def cooldown(events: DataFrame, key: str, seconds: int) -> DataFrame:
-    """Events of which none follows a kept one of its key within ``seconds``.
-
-    Keys are dealt by key; within one, time is cut where a gap of ``seconds`` or more
-    ends every earlier influence, so a busy key is many small groups.
-    """
-    w = Window.partitionBy(key).orderBy("sec", "event_id")
-    gap = (F.col("sec") - F.lag("sec").over(w)) >= seconds
-    runs = events.withColumn("_new", F.when(F.coalesce(gap, F.lit(True)), 1).otherwise(0)).withColumn("_run", F.sum("_new").over(w))
-
-    rows = runs.groupBy(key, "_run").agg(F.sort_array(F.collect_list(F.struct(F.col("sec").cast("long").alias("sec"), "event_id"))).alias("r"))
-    last = lambda k: F.element_at(k, -1)["sec"]
-    kept = F.aggregate("r", F.filter("r", lambda x: F.lit(False)), lambda k, e: F.when((F.size(k) == 0) | (e["sec"] - F.when(F.size(k) > 0, last(k)) >= seconds), F.array_append(k, e)).otherwise(k))
-    return rows.select(key, F.explode(kept).alias("k")).select(key, "k.event_id", "k.sec")
-
-
 def lockouts(attempts: DataFrame, limit: int = 5, seconds: int = 900) -> DataFrame:
     """Failures that are the ``limit``-th within ``seconds``, and the end of the lock."""
     w = Window.partitionBy("user_id").orderBy("sec").rangeBetween(-seconds, 0)

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import telemetry as T
+from ..operators.cooling import cooldown
 from .registry import register
 
 ALERT_COOLDOWN = "WITH RECURSIVE c AS (SELECT name, event_id, sec, row_number() OVER (PARTITION BY name ORDER BY sec, event_id) AS rn FROM metrics WHERE value > 90), k AS (SELECT name, event_id, sec, rn, true AS kept, sec AS last FROM c WHERE rn = 1 UNION ALL SELECT c.name, c.event_id, c.sec, c.rn, c.sec - k.last >= 3600, CASE WHEN c.sec - k.last >= 3600 THEN c.sec ELSE k.last END FROM k JOIN c ON c.name = k.name AND c.rn = k.rn + 1) SELECT name, event_id FROM k WHERE kept"
@@ -44,7 +45,7 @@ _Z = "SELECT name, event_id, 0.6745 * (value - med) / list_median(list_transform
 register("metric_anomaly", lambda t: T.anomaly(t.metrics).select("event_id", F.round("z", 4).alias("z")), f"SELECT event_id, round(z, 4) AS z FROM ({_Z})")
 register("alert_rules", lambda t: T.trend(t.metrics).join(t.metrics.select("event_id", "value"), "event_id").select("event_id", F.coalesce(F.when(F.col("value") > 95, "critical"), F.when(F.col("value") > 70, "warning"), F.when((F.col("n") >= 10) & (F.col("slope") > 1.0), "medium")).alias("severity")).where("severity IS NOT NULL"),
     f"SELECT event_id, CASE WHEN value > 95 THEN 'critical' WHEN value > 70 THEN 'warning' ELSE 'medium' END AS severity FROM ({_TREND}) JOIN (SELECT event_id, value FROM metrics) USING (event_id) WHERE value > 70 OR (n >= 10 AND slope > 1.0)")
-register("alert_cooldown", lambda t: T.cooldown(t.metrics.where("value > 90"), "name", 3600).select("name", "event_id"),
+register("alert_cooldown", lambda t: cooldown(t.metrics.where("value > 90"), "name", 3600).select("name", "event_id"),
     ALERT_COOLDOWN)
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from matchlight import plans
-from matchlight.operators import catalog, evaluation, graph, rules, statistics, telemetry
+from matchlight.operators import catalog, cooling, evaluation, graph, rules, statistics, telemetry
 
 
 def test_t_and_u(spark):
@@ -62,7 +62,7 @@ def test_confusion_and_roc(spark):
 
 def test_cooldown_and_lockout(spark):
     at = lambda minutes: [("k", i, m * 60) for i, m in enumerate(minutes)]
-    kept = telemetry.cooldown(spark.createDataFrame(at([0, 2, 6, 7, 12]), "name string, event_id long, sec long"), "name", 300)
+    kept = cooling.cooldown(spark.createDataFrame(at([0, 2, 6, 7, 12]), "name string, event_id long, sec long"), "name", 300)
     assert sorted(r["sec"] // 60 for r in kept.collect()) == [0, 6, 12]
     fails = spark.createDataFrame([(1, i, m * 60) for i, m in enumerate([0, 3, 6, 9, 12])], "user_id long, event_id long, sec long")
     assert [(r["sec"] // 60, r["locked_until"] // 60) for r in telemetry.lockouts(fails).collect()] == [(12, 27)]
