@@ -11,6 +11,8 @@ from .graph import saved
 
 #: Value cells of one task when inversions are counted.
 CELLS = 1_000_000
+#: Rows of a frame's chunk, apart from those that it sees of the chunk before.
+FRAME = 50_000
 
 
 def ranged(df: DataFrame, *order: str) -> DataFrame:
@@ -34,6 +36,22 @@ def running(rows: DataFrame, order: list[str], kind: str, **values: Column) -> D
     return met.drop(*[f"{x}{k}" for x in ("_v_", "_o_", "_b_") for k in values])
 
 
+def framed(df: DataFrame, order: list[str], back: int) -> DataFrame:
+    """Chunks of rows that follow each other in ``order``, each beginning with the ``back`` rows before it.
+
+    A window of at most ``back`` rows before the current one, partitioned by ``_chunk`` and
+    any leading columns of ``order`` and ordered by ``_n``, then gives at rows that are not
+    ``_halo`` what it would give over the whole table, and no chunk grows with a key.
+    ``_n`` numbers the rows of a chunk, below 1 in the halo.
+    """
+    size = max(FRAME, back)
+    rows = running(ranged(df, *order), order, "sum", _at=F.lit(1).cast("long"))
+    chunk, place = F.floor((F.col("_at") - 1) / size), F.pmod(F.col("_at") - 1, F.lit(size))
+    seen = F.when(place >= size - back, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))
+    dealt = rows.withColumn("_own", chunk).withColumn("_chunk", F.explode(seen))
+    return dealt.withColumn("_halo", F.col("_own") < F.col("_chunk")).withColumn("_n", F.col("_at") - F.col("_chunk") * size).drop("_own", "_at")
+
+
 def inversions(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> int:
     """The number of pairs, weighted by both ``n``, that ``x`` and ``y`` order strictly contrary to each other; exact at any size.
 

@@ -48,15 +48,7 @@ register("alert_rules", lambda t: T.trend(t.metrics).join(t.metrics.select("even
 register("alert_cooldown", lambda t: cooldown(t.metrics.where("value > 90"), "name", 3600).select("name", "event_id"),
     ALERT_COOLDOWN)
 
-
-def lifecycle(t):
-    w = Window.partitionBy("name").orderBy("sec", "event_id")
-    flagged = t.metrics.withColumn("bad", F.col("value") > 60).withColumn("new", F.coalesce((F.col("bad") != F.lag("bad").over(w)).cast("int"), F.lit(1)))
-    runs = flagged.withColumn("run", F.sum("new").over(w)).groupBy("name", "run", "bad").agg(F.min("sec").alias("opened"), F.count("*").alias("n"))
-    return runs.withColumn("resolved", F.lead("opened").over(Window.partitionBy("name").orderBy("run"))).where("bad").select("name", "opened", "resolved", "n")
-
-
-register("alert_lifecycle", lifecycle, "WITH f AS (SELECT name, sec, event_id, value > 60 AS bad FROM metrics), g AS (SELECT *, sum(n) OVER (PARTITION BY name ORDER BY sec, event_id) AS run FROM (SELECT *, CASE WHEN bad IS NOT DISTINCT FROM lag(bad) OVER (PARTITION BY name ORDER BY sec, event_id) THEN 0 ELSE 1 END AS n FROM f)), r AS (SELECT name, run, bad, min(sec) AS opened, count(*) AS n FROM g GROUP BY 1, 2, 3) SELECT name, opened, resolved, n FROM (SELECT *, lead(opened) OVER (PARTITION BY name ORDER BY run) AS resolved FROM r) WHERE bad")
+register("alert_lifecycle", lambda t: T.lifecycle(t.metrics, 60), "WITH f AS (SELECT name, sec, event_id, value > 60 AS bad FROM metrics), g AS (SELECT *, sum(n) OVER (PARTITION BY name ORDER BY sec, event_id) AS run FROM (SELECT *, CASE WHEN bad IS NOT DISTINCT FROM lag(bad) OVER (PARTITION BY name ORDER BY sec, event_id) THEN 0 ELSE 1 END AS n FROM f)), r AS (SELECT name, run, bad, min(sec) AS opened, count(*) AS n FROM g GROUP BY 1, 2, 3) SELECT name, opened, resolved, n FROM (SELECT *, lead(opened) OVER (PARTITION BY name ORDER BY run) AS resolved FROM r) WHERE bad")
 register("alert_statistics", lambda t: now(t.metrics.where("value > 70")).groupBy("name").agg(F.count("*").alias("total"), F.count_if(F.col("value") > 95).alias("critical"), F.count_if(F.col("sec") >= F.col("now") - 86400).alias("last_day")), "SELECT name, count(*) AS total, count(*) FILTER (value > 95) AS critical, count(*) FILTER (sec >= (SELECT max(sec) FROM metrics WHERE value > 70) - 86400) AS last_day FROM metrics WHERE value > 70 GROUP BY 1")
 register("system_status", lambda t: now(t.metrics).where("sec >= now - 3600").agg(F.max(F.expr("CASE WHEN value > 95 THEN 3 WHEN value > 70 THEN 2 WHEN value > 50 THEN 1 ELSE 0 END")).alias("m")).selectExpr("CASE m WHEN 3 THEN 'critical' WHEN 2 THEN 'warning' WHEN 1 THEN 'caution' ELSE 'healthy' END AS status"), f"SELECT CASE max(CASE WHEN value > 95 THEN 3 WHEN value > 70 THEN 2 WHEN value > 50 THEN 1 ELSE 0 END) WHEN 3 THEN 'critical' WHEN 2 THEN 'warning' WHEN 1 THEN 'caution' ELSE 'healthy' END AS status FROM metrics WHERE sec >= {_NOW} - 3600")
 
