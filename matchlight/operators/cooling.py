@@ -2,8 +2,8 @@
 
 All that a chunk hears from before is the second from which an event may be kept again.
 What it passes on is a step function of that: each event that can be its first kept one
-leads to a last kept one. Functions of 64 neighbouring chunks compose into one, and so on
-up to one per key; on the way down each chunk learns its own beginning.
+leads to a last kept one. Functions of ``FAN`` neighbouring chunks compose into one, and so
+on up to one per key; on the way down each chunk learns its own beginning.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .graph import saved
 
 #: Least seconds of a chunk (at least the cool-down itself), and chunks that one task composes.
-SPAN, FAN = 8192, 64
+SPAN, FAN = 65536, 256
 #: Before any time.
 _NEVER = -(2**62)
 
