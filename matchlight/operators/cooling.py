@@ -129,5 +129,7 @@ def cooldown(events: DataFrame, key: str, seconds: int) -> DataFrame:
         down = held.join(up, _same(held, up, "key", "p")).withColumn("b", begins("g.first", "g.then", "free"))
         free = saved(down.select("key", F.explode(F.arrays_zip(F.col("g.c").alias("c"), F.col("b").alias("free"))).alias("x")).select("key", "x.c", "x.free"), "begins")
     up = free.select(F.col("key").alias("_key"), F.col("c").alias("_c"), "free")
-    own = chunks.join(up, _same(chunks, up, "key", "c")).withColumn("i", F.explode(kept("secs", "free")))
-    return own.select(F.col("key").alias(key), F.get("ids", "i").alias("event_id"), F.get("secs", "i").alias("sec"))
+    own = chunks.join(up, _same(chunks, up, "key", "c")).withColumn("at", kept("secs", "free"))
+    # entries are paired before the explode: an index exploded beside its arrays fails to plan where only one of them is read
+    rows = own.select("key", F.explode(F.transform("at", lambda i: F.struct(F.get("ids", i).alias("event_id"), F.get("secs", i).alias("sec")))).alias("x"))
+    return rows.select(F.col("key").alias(key), "x.event_id", "x.sec")

@@ -43,3 +43,9 @@ def test_hard_tables(spark):
     assert of([("a", 1, None)], 5) == 0
     assert of([("a", 1, 3), ("a", 1, 3), ("a", 2, 3)], 5) == 1
     assert of([("a", 1, 3), ("a", 2, 3)], 0) == 2
+
+
+@pytest.mark.parametrize("columns", [["name", "event_id"], ["name", "sec"], ["event_id"]])
+def test_any_columns_may_be_read(spark, columns):
+    got = C.cooldown(spark.range(100).selectExpr("'k' AS name", "id AS event_id", "id AS sec"), "name", 60)
+    assert [r[0] if len(columns) == 1 else r[1] for r in sorted(got.select(*columns).collect())] == [0, 60]
