@@ -25,12 +25,12 @@ def _before(last: int, first: int = 0):
     return Window.partitionBy("_chunk", "name").orderBy("_n").rowsBetween(-last, -first)
 
 
-def trend(metrics: DataFrame, n: int = 50, least: int = 10) -> DataFrame:
-    """Slope, fit and direction over the last ``n`` samples at each sample of a metric; chunks of samples, not metrics, are tasks."""
+def trend(metrics: DataFrame, n: int = 50, least: int = 10, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Slope, fit and direction over the last ``n`` samples at each sample of a metric; chunks of samples, not metrics, are tasks. Columns named in ``keep`` stay."""
     w = _before(n - 1)
     x = framed(metrics, _ORDER, n - 1).withColumn("rn", F.col("_n").cast("double"))
     out = x.select(
-        "name", "event_id", "_halo", F.count("*").over(w).alias("n"), F.try_divide(F.covar_pop("rn", "value").over(w), F.var_pop("rn").over(w)).alias("slope"),
+        "name", "event_id", "_halo", *keep, F.count("*").over(w).alias("n"), F.try_divide(F.covar_pop("rn", "value").over(w), F.var_pop("rn").over(w)).alias("slope"),
         F.pow(F.corr("rn", "value").over(w), F.lit(2)).alias("r2"), F.try_divide(F.stddev_pop("value").over(w), F.avg("value").over(w)).alias("volatility"),
     )
     kind = F.when(F.col("n") < least, "insufficient").when(F.col("volatility") > 0.2, "volatile").when(F.abs("slope") < 0.01, "stable").when(F.col("slope") > 0, "increasing").otherwise("decreasing")

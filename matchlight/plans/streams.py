@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..streaming import carried as C
 from ..streaming import jobs as J
 from .registry import register
-from .telemetry import _SESS, ALERT_COOLDOWN, LOGIN_LOCKOUT
+from .telemetry import _SESS, _TREND, ALERT_COOLDOWN, LOGIN_LOCKOUT
 
 _HOUR = "SELECT event_type AS name, (epoch_us(ts) // 1000000) // 3600 * 3600 AS start, count(*) AS n, round(avg(value), 5) AS mean FROM events GROUP BY 1, 2"
 
@@ -15,14 +16,49 @@ def events(t):
     return J.source(t.spark, t.sf_dir)
 
 
-register("stream_metric_tumbling", lambda t: J.collected(J.tumbling(events(t)), "tumbling"), _HOUR)
-register("stream_metric_sliding", lambda t: J.collected(J.tumbling(events(t), "15 minutes", "5 minutes"), "sliding"), "SELECT event_type AS name, start, count(*) AS n, round(avg(value), 5) AS mean FROM (SELECT *, unnest([(epoch_us(ts) // 1000000) // 300 * 300, (epoch_us(ts) // 1000000) // 300 * 300 - 300, (epoch_us(ts) // 1000000) // 300 * 300 - 600]) AS start FROM events) GROUP BY 1, 2")
-register("stream_sessions", lambda t: J.collected(J.sessions(events(t), "12 hours"), "sessions"), _SESS.format(us=12 * 3600 * 1000000))
+register("stream_metric_tumbling", lambda t: J.updated(J.tumbling(events(t)), "tumbling", ["name", "start"]), _HOUR)
+register(
+    "stream_metric_sliding",
+    lambda t: J.updated(J.tumbling(events(t), "15 minutes", "5 minutes"), "sliding", ["name", "start"]),
+    """SELECT event_type AS name, start, count(*) AS n, round(avg(value), 5) AS mean
+    FROM (SELECT *, unnest([(epoch_us(ts) // 1000000) // 300 * 300, (epoch_us(ts) // 1000000) // 300 * 300 - 300, (epoch_us(ts) // 1000000) // 300 * 300 - 600]) AS start FROM events) GROUP BY 1, 2""",
+)
+
+
+def sessions(t):
+    """Closed sessions and those still open."""
+    schema = "user_id long, first timestamp, last timestamp, n long"
+    closed, still = C.drain(events(t), J.folder(t.spark, "sessions"), schema, schema, C.session_step("user_id", 12 * 3600))
+    return closed.unionByName(still).select("user_id", F.unix_seconds("first").alias("start"), "n", (F.unix_seconds("last") - F.unix_seconds("first")).alias("seconds"))
+
+
+def alert_cooldown(t):
+    above = events(t).where("value > 90").withColumnRenamed("event_type", "name")
+    return C.drain(above, J.folder(t.spark, "cooldown"), "name string, event_id long", "name string, free long", C.cooldown_step("name", 3600))[0]
+
+
+def trend(t):
+    samples = events(t).withColumnRenamed("event_type", "name")
+    rows, _ = C.drain(samples, J.folder(t.spark, "trend"), "name string, event_id long, slope double", "name string, event_id long, sec long, value double", C.trend_step())
+    return rows.select("event_id", F.round("slope", 5).alias("slope"))
+
+
+def lockout(t):
+    failures = events(t).where("event_type = 'error'")
+    return J.run(J.stateful(failures, "locked_until long", J.lockout_step(2, 900), 900), "lockout").where("locked_until IS NOT NULL").select("event_id", "locked_until")
+
+
+def rate_limit(t):
+    limits = {3600: 2, 86400: 5}
+    return J.run(J.stateful(events(t), "allowed boolean", J.rate_step(limits), max(limits)), "rate")
+
+
+register("stream_sessions", sessions, _SESS.format(us=12 * 3600 * 1000000))
+register("stream_alert_cooldown", alert_cooldown, ALERT_COOLDOWN)
+register("stream_trend", trend, f"SELECT event_id, CASE WHEN n > 1 THEN round(slope, 5) ELSE 0 END AS slope FROM ({_TREND})")
+register("stream_login_lockout", lockout, LOGIN_LOCKOUT)
+register("stream_rate_limit", rate_limit)
 register("stream_threshold_alerts", lambda t: J.run(J.threshold_alerts(events(t), t.spark.createDataFrame([("error", 60.0, 90.0), ("view", 80.0, 95.0)], "event_type string, warn double, crit double")), "alerts"), "SELECT event_id, CASE WHEN value >= CASE event_type WHEN 'error' THEN 90 ELSE 95 END THEN 'critical' ELSE 'warning' END AS severity FROM events WHERE (event_type = 'error' AND value >= 60) OR (event_type = 'view' AND value >= 80)")
-register("stream_alert_cooldown", lambda t: J.run(J.stateful(events(t).where("value > 90"), "event_type", "state string", "name string, event_id long", J.cooldown_step(3600), lambda: {"last": None}), "cooldown"), ALERT_COOLDOWN)
-register("stream_login_lockout", lambda t: J.run(J.stateful(events(t).where("event_type = 'error'"), "user_id", "state string", "user_id long, event_id long, locked_until long", J.lockout_step(2, 900), lambda: {"at": []}), "lockout").select("event_id", "locked_until"), LOGIN_LOCKOUT)
-register("stream_rate_limit", lambda t: J.run(J.stateful(events(t), "user_id", "state string", "user_id long, event_id long, allowed boolean", J.rate_step({3600: 2, 86400: 5}), lambda: {"at": []}), "rate"))
-register("stream_trend", lambda t: J.run(J.stateful(events(t), "event_type", "state string", "name string, event_id long, slope double", J.trend_step(), lambda: {"v": []}), "trend").select("event_id", F.round("slope", 5).alias("slope")))
 register("stream_dedup", lambda t: J.run(events(t).unionByName(events(t)).dropDuplicatesWithinWatermark(["event_id"]).select("event_id", "event_type"), "dedup"), "SELECT event_id, event_type FROM events")
 
 

@@ -1,18 +1,21 @@
 """Streams over event files: windows, sessions, alerts, state per key, sinks.
 
 Rows later than the watermark are dropped. ``run`` drains a query with
-``availableNow`` into a table of files; its batch form is in ``operators.telemetry``.
+``availableNow`` into a table of files, ``updated`` one of groups; batch forms are in
+``operators.telemetry``. Streams with hot keys are in ``carried``.
 """
 
 from __future__ import annotations
 
 import uuid
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.graph import shared_dir
 
@@ -44,17 +47,24 @@ def run(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def collected(stream: DataFrame, name: str) -> DataFrame:
-    """Drain an aggregated stream in complete mode: the final table of every group."""
+def updated(stream: DataFrame, name: str, keys: list[str], root: str | None = None) -> DataFrame:
+    """Drain an aggregated stream in update mode: each batch writes the groups it has changed, and a group's row is that of its last batch.
+
+    A batch overwrites the folder of its own number, so one that runs again changes
+    nothing. Groups that the watermark has passed leave the state. A later call with the
+    same ``root`` goes on where this one ended.
+    """
     spark = stream.sparkSession
-    out, marks = folder(spark, name), folder(spark, f"{name}-marks")
+    root = root or folder(spark, name)
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/rows/batch={n}")
 
-    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", marks).outputMode("complete").trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/marks").outputMode("update").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    values = [c for c in stream.columns if c not in keys]
+    rows = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(f"{root}/rows")
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_v")).select(*keys, *[F.col(f"_v.{v}").alias(v) for v in values]).select(*stream.columns)
 
 
 def retained(spark: SparkSession, parts: list[DataFrame], horizon: str = "24 hours") -> tuple[DataFrame, int]:
@@ -80,75 +90,57 @@ def tumbling(events: DataFrame, width: str = "1 hour", slide: str | None = None)
     return events.groupBy(F.col("event_type").alias("name"), window.alias("w")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 5).alias("mean")).select("name", F.unix_timestamp("w.start").alias("start"), "n", "mean")
 
 
-def sessions(events: DataFrame, gap: str) -> DataFrame:
-    return events.groupBy("user_id", F.session_window("at", gap).alias("s")).agg(F.count("*").alias("n"), F.min("at").alias("first"), F.max("at").alias("last")).select("user_id", F.unix_timestamp("first").alias("start"), "n", (F.unix_timestamp("last") - F.unix_timestamp("first")).alias("seconds"))
-
-
 def threshold_alerts(events: DataFrame, limits: DataFrame) -> DataFrame:
     """Stateless limits ``(event_type, warn, crit)`` on each arriving sample."""
     return events.join(F.broadcast(limits), "event_type").where("value >= warn").select("event_id", F.expr("CASE WHEN value >= crit THEN 'critical' ELSE 'warning' END AS severity"))
 
 
-def stateful(events: DataFrame, key: str, state_schema: str, output: str, step: Callable[[dict, int, int, float], list[tuple]], initial: Callable[[], dict]) -> DataFrame:
-    """Per key, ``step(state, event_id, second, value)`` on its events in time order; the state is a JSON-like dict of lists.
+def stateful(events: DataFrame, output: str, step: Callable[[list[int], list[int], list[int]], tuple[list[int], list]], horizon: int, delay: int = 600) -> DataFrame:
+    """Per ``user_id``, ``step(held, ids, seconds)`` on a batch's events in time order, giving the seconds to hold and a value for each event.
 
-    The state store keeps it between micro-batches; rows of a batch are ordered first.
+    ``output`` is the value's name and type. The state is an array of seconds: those that an
+    event after the watermark can reach back to, ``horizon`` seconds. A timer at the
+    horizon after a user's last event takes the user out of the state store. Late events
+    are dropped. A user's events of one batch are one task's, as the steps are sequential.
     """
-    import json
-
-    names = [c.split()[0] for c in output.split(", ")]
+    name = output.split()[0]
 
     def run_key(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else initial()
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(batches)).sort_values(["sec", "event_id"])
-        out: list[tuple] = []
-        for event_id, sec, value in zip(rows["event_id"], rows["sec"], rows["value"], strict=True):
-            out += [(k[0], *r) for r in step(held, int(event_id), int(sec), float(value))]
-        state.update((json.dumps(held),))
-        yield pd.DataFrame(out, columns=names)
+        held = [int(s) for s in state.get[0]] if state.exists else []
+        newest = max([int(rows["sec"].iloc[-1]), *held])
+        held, values = step(held, rows["event_id"].tolist(), rows["sec"].tolist())
+        state.update(([s for s in held if s >= newest - horizon - delay],))
+        state.setTimeoutTimestamp(max((newest + horizon + 1) * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"user_id": k[0], "event_id": rows["event_id"], name: values})
 
-    timed = events.withColumn("sec", F.unix_timestamp("at")).select(key, "event_id", "sec", "value")
-    return timed.groupBy(key).applyInPandasWithState(run_key, output, state_schema, "append", GroupStateTimeout.NoTimeout)
-
-
-def cooldown_step(seconds: int) -> Callable:
-    def step(held: dict, event_id: int, sec: int, value: float) -> list[tuple]:
-        if held["last"] is not None and sec - held["last"] < seconds:
-            return []
-        held["last"] = sec
-        return [(event_id,)]
-
-    return step
+    timed = events.select("user_id", "event_id", F.unix_seconds("at").alias("sec"), "at")
+    return timed.groupBy("user_id").applyInPandasWithState(run_key, f"user_id long, event_id long, {output}", "held array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def lockout_step(limit: int, seconds: int) -> Callable:
-    def step(held: dict, event_id: int, sec: int, value: float) -> list[tuple]:
-        held["at"] = [s for s in held["at"] if s >= sec - seconds] + [sec]
-        return [(event_id, sec + seconds)] if len(held["at"]) >= limit else []
-
-    return step
+    """The end of the lock at the ``limit``-th failure within ``seconds``, those of the same second included; else null."""
 
-
-def rate_step(limits: dict[int, int]) -> Callable:
-    longest = max(limits)
-
-    def step(held: dict, event_id: int, sec: int, value: float) -> list[tuple]:
-        held["at"] = [s for s in held["at"] if s > sec - longest]
-        ok = all(sum(1 for x in held["at"] if x > sec - s) < n for s, n in limits.items())
-        if ok:
-            held["at"].append(sec)
-        return [(event_id, ok)]
+    def step(held: list[int], ids: list[int], secs: list[int]) -> tuple[list[int], list]:
+        held = sorted(held + secs)
+        return held, [s + seconds if bisect_right(held, s) - bisect_left(held, s - seconds) >= limit else None for s in secs]
 
     return step
 
 
-def trend_step(n: int = 50) -> Callable:
-    def step(held: dict, event_id: int, sec: int, value: float) -> list[tuple]:
-        held["v"] = (held["v"] + [value])[-n:]
-        m = len(held["v"])
-        x = (m - 1) / 2
-        mean = sum(held["v"]) / m
-        spread = sum((i - x) ** 2 for i in range(m))
-        return [(event_id, sum((i - x) * (v - mean) for i, v in enumerate(held["v"])) / spread if m > 1 else 0.0)]
+def rate_step(limits: dict[int, int]) -> Callable:
+    """Whether a request is allowed: fewer than ``n`` allowed ones in the ``seconds`` up to it, for each of ``limits``."""
+
+    def step(held: list[int], ids: list[int], secs: list[int]) -> tuple[list[int], list]:
+        held, out = sorted(held), []
+        for s in secs:
+            to = bisect_right(held, s)
+            out.append(all(to - bisect_right(held, s - w) < n for w, n in limits.items()))
+            if out[-1]:
+                held.insert(to, s)
+        return held, out
 
     return step
