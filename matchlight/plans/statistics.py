@@ -8,12 +8,14 @@ from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import clusters as C
 from ..operators import metric as N
 from ..operators import ranges as R
 from ..operators import statistics as S
+from ..operators import validity as V
 from .hypothesis import normal_sql
 from .registry import register
 
@@ -145,7 +147,13 @@ register("cluster_hierarchical", lambda t: C.hierarchical(t.vectors))
 register("cluster_gmm", lambda t: mixture(points(t)))
 
 register("cluster_spectral", lambda t: C.spectral(t.vectors))
-register("cluster_profile", lambda t: t.vectors.selectExpr("label", "CAST(embedding[0] AS DOUBLE) AS e0", "CAST(embedding[1] AS DOUBLE) AS e1").groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("e0"), 5).alias("m0"), F.round(F.stddev_pop("e1"), 5).alias("s1")), "SELECT label, count(*) AS n, round(avg(CAST(embedding[1] AS DOUBLE)), 5) AS m0, round(stddev_pop(CAST(embedding[2] AS DOUBLE)), 5) AS s1 FROM embeddings GROUP BY 1")
+register(
+    "cluster_profile",
+    lambda t: t.vectors.select("label", F.posexplode(F.col("embedding").cast("array<double>")).alias("feature", "x"))
+    .groupBy("label", "feature").agg(F.count("*").alias("n"), F.round(F.avg("x"), 5).alias("mean"), F.round(F.stddev_pop("x"), 5).alias("std")),
+    """SELECT label, feature, count(*) AS n, round(avg(x), 5) AS mean, round(stddev_pop(x), 5) AS std
+    FROM (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) - 1 AS feature FROM embeddings) GROUP BY 1, 2""",
+)
 
 
 def agreement(t):
@@ -159,16 +167,38 @@ register("cluster_agreement", agreement, "WITH n AS (SELECT label AS a, vec_id %
 
 
 def scores(t):
-    long = t.vectors.selectExpr("vec_id", "label", "posexplode(embedding) AS (k, v)").withColumn("v", F.col("v").cast("double"))
-    centre = long.groupBy("label", "k").agg(F.avg("v").alias("c"), F.count("*").alias("n"))
-    all_ = long.groupBy("k").agg(F.avg("v").alias("g"))
-    within = long.join(F.broadcast(centre), ["label", "k"]).agg(F.sum(F.pow(F.col("v") - F.col("c"), F.lit(2))).alias("w"))  # clusters x dimensions
-    between = centre.join(F.broadcast(all_), "k").agg(F.sum(F.col("n") * F.pow(F.col("c") - F.col("g"), F.lit(2))).alias("b"))
-    size = t.vectors.agg(F.count("*").alias("n"), F.count_distinct("label").alias("k"))
-    return within.crossJoin(between).crossJoin(size).selectExpr("round(b / (k - 1) / (w / (n - k)), 4) AS calinski")
-
-
-register("cluster_scores", scores, "WITH l AS (SELECT vec_id, label, unnest(CAST(embedding AS DOUBLE[])) AS v, generate_subscripts(embedding, 1) AS k FROM embeddings), c AS (SELECT label, k, avg(v) AS c, count(*) AS n FROM l GROUP BY 1, 2), g AS (SELECT k, avg(v) AS g FROM l GROUP BY 1) SELECT round((SELECT sum(n * pow(c - g, 2)) FROM c JOIN g USING (k)) / (count(DISTINCT label) - 1) / ((SELECT sum(pow(v - c, 2)) FROM l JOIN c USING (label, k)) / (count(*) - count(DISTINCT label))), 4) AS calinski FROM embeddings")
+    """Scores of the given labels, and of the label whose mean is nearest, ranked by the composite."""
+    rows = V.usable_rows(t.vectors, "label", "embedding")
+    labels, _, means, _ = V.features(rows)
+    both = {"label": rows, "nearest_mean": rows.withColumn("label", V.nearest(F.col("v"), labels, means, "long"))}
+    got = [V.scores(r, "label", "v").withColumn("method", F.lit(name)) for name, r in both.items()]
+    ranked = got[0].unionByName(got[1]).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("composite"), "method")))  # a row a labelling
+    return ranked.select("method", "rank", *rr("silhouette", "calinski", "davies_bouldin", "composite"))
+
+
+register(
+    "cluster_scores",
+    scores,
+    """WITH l AS (SELECT vec_id, label, unnest(CAST(embedding AS DOUBLE[])) AS v, generate_subscripts(embedding, 1) AS k FROM embeddings WHERE label IS NOT NULL AND label <> -1),
+    m AS (SELECT label, k, avg(v) AS c FROM l GROUP BY 1, 2),
+    near AS (SELECT vec_id, first(c ORDER BY d, c) AS c FROM (SELECT vec_id, m.label AS c, round(sum(pow(v - m.c, 2)), 9) AS d FROM l JOIN m USING (k) GROUP BY 1, 2) GROUP BY 1),
+    labelled AS (SELECT 'label' AS method, vec_id, label AS c FROM l GROUP BY ALL UNION ALL SELECT 'nearest_mean', vec_id, c FROM near),
+    p AS (SELECT method, c, l.vec_id, k, v FROM l JOIN labelled USING (vec_id)),
+    means AS (SELECT method, c, k, avg(v) AS mean, var_pop(v) AS s, count(*) AS n FROM p GROUP BY 1, 2, 3),
+    per AS (SELECT method, c, sum(s) AS s, any_value(n) AS n FROM means GROUP BY 1, 2),
+    d AS (SELECT p.method, p.vec_id, p.c AS own, means.c AS other, sum(pow(v - mean, 2)) AS d2 FROM p JOIN means ON means.method = p.method AND means.k = p.k GROUP BY 1, 2, 3, 4),
+    sides AS (SELECT d.method, vec_id, own, sum(d2) FILTER (own = other) AS mine, max((d2 + s) * n / greatest(n - 1, 1)) FILTER (own = other) AS inner_, max(n) FILTER (own = other) AS n, min(d2 + s) FILTER (own <> other) AS outer_
+        FROM d JOIN per ON per.method = d.method AND per.c = d.other GROUP BY 1, 2, 3),
+    sil AS (SELECT method, avg(CASE WHEN n > 1 THEN (outer_ - inner_) / greatest(outer_, inner_) ELSE 0 END) AS silhouette FROM sides GROUP BY 1),
+    width AS (SELECT method, own AS c, avg(sqrt(mine)) AS w FROM sides GROUP BY 1, 2),
+    gaps AS (SELECT a.method, a.c AS c, b.c AS o, sqrt(sum(pow(a.mean - b.mean, 2))) AS gap FROM means a JOIN means b ON a.method = b.method AND a.k = b.k AND a.c <> b.c GROUP BY 1, 2, 3),
+    db AS (SELECT method, avg(worst) AS davies_bouldin FROM (SELECT gaps.method, gaps.c, max((x.w + y.w) / gap) AS worst FROM gaps JOIN width x ON x.method = gaps.method AND x.c = gaps.c JOIN width y ON y.method = gaps.method AND y.c = o GROUP BY 1, 2) GROUP BY 1),
+    g AS (SELECT method, k, avg(v) AS g FROM p GROUP BY 1, 2),
+    b AS (SELECT method, sum(n * pow(mean - g, 2)) AS b FROM means JOIN g USING (method, k) GROUP BY 1),
+    ch AS (SELECT per.method, any_value(b.b) / (count(*) - 1) / (sum(n * s) / (sum(n) - count(*))) AS calinski FROM per JOIN b USING (method) GROUP BY 1),
+    scored AS (SELECT *, (silhouette + least(1.0, calinski / 1000) + greatest(0.0, 1 - davies_bouldin / 10)) / 3 AS composite FROM sil JOIN db USING (method) JOIN ch USING (method))
+    SELECT method, row_number() OVER (ORDER BY composite DESC, method) AS rank, round(silhouette, 5) AS silhouette, round(calinski, 5) AS calinski, round(davies_bouldin, 5) AS davies_bouldin, round(composite, 5) AS composite FROM scored""",
+)
 
 
 #: Trees of the isolation forest, and rows of each tree's own sample.
