@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -158,3 +158,88 @@ def pair_quality(pairs: DataFrame) -> DataFrame:
     )
     ssim = f"((2 * ma * mb + {c1}) * (2 * sab + {c2})) / ((ma * ma + mb * mb + {c1}) * (sa + sb + {c2}))"
     return s.withColumn("ssim", F.expr(ssim)).withColumn("psnr", F.when(F.col("mse") > 0, 10 * F.log10(1 / F.col("mse"))))
+
+
+def window_places(side: int, window: int, step: int, reach: int) -> dict[tuple[int, int], list[int]]:
+    """For each shift, the windows that may be met there, by number: a place beyond the border is moved to it."""
+    starts, last, found = range(0, side - window + 1, step), side - window, {}
+    for i, y in enumerate(starts):
+        for j, x in enumerate(starts):
+            for to_y in {min(max(y + d, 0), last) for d in range(-reach, reach + 1)}:
+                for to_x in {min(max(x + d, 0), last) for d in range(-reach, reach + 1)}:
+                    found.setdefault((to_y - y, to_x - x), []).append(i * len(starts) + j)
+    return found
+
+
+def _area_sums(values: np.ndarray, y: np.ndarray, x: np.ndarray, window: int) -> np.ndarray:
+    """Sums over windows from ``(y, x)`` of a batch of images: four look-ups each in the summed areas."""
+    area = np.pad(values.cumsum(1).cumsum(2), ((0, 0), (1, 0), (1, 0)))
+    return area[:, y + window, x + window] - area[:, y, x + window] - area[:, y + window, x] + area[:, y, x]
+
+
+#: Share of a window's mean square below which its variance is rounding.
+FLAT = 1e-12
+#: What ``window_matcher`` gives for a pair: an entry a window, row by row.
+WINDOWS = "r array<double>, ssim array<double>"
+
+
+def window_matcher(side: int = 8, window: int = 4, step: int = 4, reach: int = 1):
+    """A vectorised function of two image columns, arrays of ``side`` times ``side`` values from 0 to 1.
+
+    Per window of the first image: the greatest correlation with a window of the second
+    within ``reach``, at least -1 (windows of one value have no correlation), and the
+    structural similarity of the two windows at the same place, with population variances.
+    Sums are four look-ups in summed areas: of values and squares once an image, of
+    products once a shift, for all windows of a batch of pairs. Correlations are rounded to
+    nine digits. Without either image, or where one has a null, NaN or infinite value or
+    another length, both arrays are empty.
+    """
+    places, area = window_places(side, window, step, reach), float(window * window)
+    starts = np.arange(0, side - window + 1, step)
+    wy, wx = np.repeat(starts, len(starts)), np.tile(starts, len(starts))
+    c1, c2 = 1e-4, 9e-4
+
+    def usable(e) -> bool:
+        return e is not None and len(e) == side * side and bool(np.isfinite(np.asarray(e, np.float64)).all())
+
+    def matched(ea: pd.Series, eb: pd.Series) -> pd.DataFrame:
+        good = np.array([usable(u) and usable(v) for u, v in zip(ea, eb, strict=True)], bool)
+        out = pd.DataFrame({"r": [[]] * len(ea), "ssim": [[]] * len(ea)}, dtype=object)
+        if not good.any():
+            return out
+        a, b = (np.stack(s[good].to_list()).astype(np.float64).reshape(-1, side, side) for s in (ea, eb))
+        sums = lambda v, at, dy=0, dx=0: _area_sums(v, wy[at] + dy, wx[at] + dx, window)
+        every = np.arange(len(wy))
+        ma, mb = sums(a, every) / area, sums(b, every) / area
+        va, vb = sums(a * a, every) / area - ma * ma, sums(b * b, every) / area - mb * mb
+        best, ssim = np.full(ma.shape, -1.0), np.zeros(ma.shape)
+        squares = b * b
+        for (dy, dx), at in places.items():
+            at = np.array(at)
+            moved = np.zeros_like(b)
+            moved[:, max(-dy, 0) : side - max(dy, 0), max(-dx, 0) : side - max(dx, 0)] = b[:, max(dy, 0) : side + min(dy, 0), max(dx, 0) : side + min(dx, 0)]
+            mean = sums(b, at, dy, dx) / area
+            both = sums(a * moved, at) / area - ma[:, at] * mean
+            power = sums(squares, at, dy, dx) / area
+            there = power - mean * mean
+            norm = va[:, at] * there
+            flat = (va[:, at] <= FLAT * (va[:, at] + ma[:, at] ** 2)) | (there <= FLAT * power)
+            r = np.where(flat, -1.0, np.clip(np.round(both / np.sqrt(np.where(flat, 1, norm)), 9), -1, 1))
+            best[:, at] = np.maximum(best[:, at], r)
+            if (dy, dx) == (0, 0):
+                ssim[:, at] = ((2 * ma[:, at] * mean + c1) * (2 * both + c2)) / ((ma[:, at] ** 2 + mean**2 + c1) * (va[:, at] + vb[:, at] + c2))
+        for column, values in (("r", best), ("ssim", np.round(ssim, 9))):
+            out.loc[good, column] = pd.Series(list(values), index=out.index[good])
+        return out
+
+    return F.pandas_udf(matched, WINDOWS)
+
+
+def spread_of(a: Column, name: str, *above: float) -> list[Column]:
+    """Mean, greatest, least and deviation of an array, and the shares of entries above each limit; null for an empty one."""
+    n, total = F.size(a), lambda f: F.aggregate(a, F.lit(0.0), lambda s, v: s + f(v))
+    mean = F.try_divide(total(lambda v: v), n)
+    share = lambda limit: F.try_divide(total(lambda v: F.when(v > limit, 1.0).otherwise(0.0)), n)
+    shares = [share(x).alias(f"{name}above_{round(x * 10)}") for x in above]
+    deviation = F.sqrt(F.try_divide(total(lambda v: F.pow(v - mean, F.lit(2))), n))
+    return [mean.alias(f"{name}mean"), F.array_max(a).alias(f"{name}most"), F.array_min(a).alias(f"{name}least"), deviation.alias(f"{name}std"), *shares]
