@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import placed
+
 # Acceptance thresholds of a validation.
 ACCEPT = {"accuracy": 0.95, "precision": 0.90, "recall": 0.85, "specificity": 0.95, "f1": 0.90}
 
@@ -78,15 +80,16 @@ def cmc_curve(pairs: DataFrame, ranks: int = 50) -> DataFrame:
 
 
 def folds(rows: DataFrame, key: str, label: str | None, k: int) -> DataFrame:
-    """``fold`` 0..k-1, shuffled by the key's hash, stratified by ``label`` if given."""
-    order = Window.partitionBy(*([label] if label else [])).orderBy(key_hash(key), key)
-    return rows.withColumn("fold", F.pmod(F.row_number().over(order) - 1, F.lit(k)))
+    """``fold`` 0..k-1, shuffled by the key's hash, stratified by ``label`` if given; a large class is many tasks."""
+    at = placed(rows.withColumn("_hash", key_hash(key)), [label] if label else [], ["_hash", key])
+    return at.withColumn("fold", F.pmod(F.col("_place") - 1, F.lit(k))).select(*rows.columns, "fold")
 
 
 def split(rows: DataFrame, key: str, label: str) -> DataFrame:
-    """Stratified 70/15/15 by the rank of the key's hash within the class."""
-    p = F.percent_rank().over(Window.partitionBy(label).orderBy(key_hash(key), key))
-    return rows.withColumn("split", F.when(p < 0.7, "train").when(p < 0.85, "val").otherwise("test"))
+    """Stratified 70/15/15 by the rank of the key's hash within the class; a large class is many tasks."""
+    at = placed(rows.withColumn("_hash", key_hash(key)), [label], ["_hash", key])
+    p = (F.col("_rank") - 1) / F.greatest(F.col("_size") - 1, F.lit(1))
+    return at.withColumn("split", F.when(p < 0.7, "train").when(p < 0.85, "val").otherwise("test")).select(*rows.columns, "split")
 
 
 def longer(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:

@@ -36,6 +36,29 @@ def running(rows: DataFrame, order: list[str], kind: str, **values: Column) -> D
     return met.drop(*[f"{x}{k}" for x in ("_v_", "_o_", "_b_") for k in values])
 
 
+def placed(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """``df`` with ``_place``, from 1 by ``order`` in each group of ``by``, ``_rank``, where equal rows share the least place, and ``_size`` of the group.
+
+    A group is as many tasks as it has ranges: rows are numbered within range and group,
+    and shifted by the group's rows in the ranges before, a table of a row per range and
+    group. A null in ``by`` is a value like any other.
+    """
+    rows = ranged(df, *by, *order)
+    parts = rows.groupBy("_part", *by).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = parts.select(
+        F.col("_part").alias("_p"), *[F.col(c).alias(f"_by_{c}") for c in by],
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"), F.sum("_n").over(Window.partitionBy(*by)).alias("_size"),
+    )
+    own = Window.partitionBy("_part", *by).orderBy(*order)
+    numbered = rows.withColumns({"_place": F.row_number().over(own), "_rank": F.rank().over(own)})
+    same = numbered["_part"] == shifts["_p"]
+    for c in by:
+        same = same & numbered[c].eqNullSafe(shifts[f"_by_{c}"])
+    met = numbered.join(shifts, same).withColumns({c: F.col(c) + F.col("_shift") for c in ("_place", "_rank")})
+    return met.drop("_part", "_p", "_shift", *[f"_by_{c}" for c in by])
+
+
 def framed(df: DataFrame, order: list[str], back: int) -> DataFrame:
     """Chunks of rows that follow each other in ``order``, each beginning with the ``back`` rows before it.
 

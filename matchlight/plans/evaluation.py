@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluation as E
 from ..operators import vectors as V
+from ..operators.ranges import placed
 from .registry import register
 
 
@@ -88,8 +89,22 @@ _VALUES = ", ".join(f"('{k}', {v})" for k, v in E.ACCEPT.items())
 register("validation_verdict", lambda t: (lambda m: m.join(F.broadcast(t.spark.createDataFrame(list(E.ACCEPT.items()), "metric string, least double")), "metric").withColumn("passed", F.col("value") >= F.col("least")).withColumn("valid", F.min("passed").over(Window.partitionBy())).select("metric", *r("value"), "passed", "valid"))(E.match_rates(t.pairs, 0.1).drop("tp", "tn", "fp", "fn").unpivot([], ["accuracy", "precision", "recall", "specificity", "f1"], "metric", "value")),
     f"WITH c AS (SELECT count(*) FILTER (score >= 0.1 AND same) AS tp, count(*) FILTER (score < 0.1 AND NOT same) AS tn, count(*) FILTER (score >= 0.1 AND NOT same) AS fp, count(*) FILTER (score < 0.1 AND same) AS fn FROM pairs), m AS (SELECT 'accuracy' AS metric, (tp + tn) / (tp + tn + fp + fn) AS value FROM c UNION ALL SELECT 'precision', tp / (tp + fp) FROM c UNION ALL SELECT 'recall', tp / (tp + fn) FROM c UNION ALL SELECT 'specificity', tn / (tn + fp) FROM c UNION ALL SELECT 'f1', 2 * tp / (2 * tp + fp + fn) FROM c) SELECT metric, round(value, 6) AS value, value >= least AS passed, bool_and(value >= least) OVER () AS valid FROM m JOIN (VALUES {_VALUES}) v(metric, least) USING (metric)")
 register("compare_validations", lambda t: fold_long(t).groupBy("metric").agg(F.expr("CAST(max_by(fold, struct(round(value, 6), -fold)) AS BIGINT) AS best"), F.expr("CAST(min_by(fold, struct(round(value, 6), fold)) AS BIGINT) AS worst"), F.round(F.max("value") - F.min("value"), 6).alias("spread")), f"WITH fm AS ({_FM}), lg AS ({_LONG}) SELECT metric, arg_max(fold, round(value, 6) * 1000 - fold / 1000000) AS best, arg_min(fold, round(value, 6) * 1000 + fold / 1000000) AS worst, round(max(value) - min(value), 6) AS spread FROM lg GROUP BY 1")
-register("validation_monitor", lambda t: t.metrics.withColumn("rn", F.row_number().over(Window.partitionBy("name").orderBy(F.desc("sec"), F.desc("event_id")))).where("rn <= 10").groupBy("name").agg(F.round(F.expr("regr_slope(value, CAST(11 - rn AS DOUBLE))"), 5).alias("slope"), F.round(F.expr("regr_r2(value, CAST(11 - rn AS DOUBLE))"), 5).alias("r2")).withColumn("trend", F.expr("CASE WHEN slope > 0.001 THEN 'improving' WHEN slope < -0.001 THEN 'declining' ELSE 'stable' END")),
-    "SELECT *, CASE WHEN slope > 0.001 THEN 'improving' WHEN slope < -0.001 THEN 'declining' ELSE 'stable' END AS trend FROM (SELECT name, round(regr_slope(value, 11 - rn), 5) AS slope, round(regr_r2(value, 11 - rn), 5) AS r2 FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY sec DESC, event_id DESC) AS rn FROM metrics) WHERE rn <= 10 GROUP BY 1)")
+
+
+def validation_monitor(t):
+    """Slope and fit over the last ten values of each name."""
+    last = placed(t.metrics, ["name"], ["sec", "event_id"]).withColumn("x", 10.0 - (F.col("_size") - F.col("_place"))).where("x > 0")
+    fit = last.groupBy("name").agg(F.round(F.expr("regr_slope(value, x)"), 5).alias("slope"), F.round(F.expr("regr_r2(value, x)"), 5).alias("r2"))
+    return fit.withColumn("trend", F.expr("CASE WHEN slope > 0.001 THEN 'improving' WHEN slope < -0.001 THEN 'declining' ELSE 'stable' END"))
+
+
+register(
+    "validation_monitor",
+    validation_monitor,
+    """SELECT *, CASE WHEN slope > 0.001 THEN 'improving' WHEN slope < -0.001 THEN 'declining' ELSE 'stable' END AS trend FROM (
+        SELECT name, round(regr_slope(value, 11 - rn), 5) AS slope, round(regr_r2(value, 11 - rn), 5) AS r2
+        FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY sec DESC, event_id DESC) AS rn FROM metrics) WHERE rn <= 10 GROUP BY 1)""",
+)
 register("split_train_val_test", lambda t: E.split(t.vectors, "vec_id", "label").select("vec_id", "split"), "SELECT vec_id, CASE WHEN p < 0.7 THEN 'train' WHEN p < 0.85 THEN 'val' ELSE 'test' END AS split FROM (SELECT vec_id, percent_rank() OVER (PARTITION BY label ORDER BY (48271 * vec_id + 11) % 2147483647, vec_id) AS p FROM embeddings)")
 
 

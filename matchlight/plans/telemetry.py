@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import telemetry as T
 from ..operators.cooling import cooldown
+from ..operators.ranges import placed
 from .registry import register
 
 ALERT_COOLDOWN = "WITH RECURSIVE c AS (SELECT name, event_id, sec, row_number() OVER (PARTITION BY name ORDER BY sec, event_id) AS rn FROM metrics WHERE value > 90), k AS (SELECT name, event_id, sec, rn, true AS kept, sec AS last FROM c WHERE rn = 1 UNION ALL SELECT c.name, c.event_id, c.sec, c.rn, c.sec - k.last >= 3600, CASE WHEN c.sec - k.last >= 3600 THEN c.sec ELSE k.last END FROM k JOIN c ON c.name = k.name AND c.rn = k.rn + 1) SELECT name, event_id FROM k WHERE kept"
@@ -54,7 +55,7 @@ register("system_status", lambda t: now(t.metrics).where("sec >= now - 3600").ag
 
 
 def correlation(t):
-    back = t.metrics.withColumn("rn", F.row_number().over(Window.partitionBy("name").orderBy(F.desc("sec"), F.desc("event_id"))))
+    back = placed(t.metrics, ["name"], ["sec", "event_id"]).withColumn("rn", F.col("_size") - F.col("_place"))
     a, b = back.select(F.col("name").alias("a"), "rn", F.col("value").alias("va")), back.select(F.col("name").alias("b"), "rn", F.col("value").alias("vb"))
     return a.join(b, "rn").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"), F.round(F.corr("va", "vb"), 5).alias("r")).where("n > 10")
 

@@ -99,3 +99,23 @@ def test_no_task_sees_all_rows(spark):
         plan = made._jdf.queryExecution().executedPlan().toString()
         for window in (line for line in plan.splitlines() if "Window " in line):
             assert "_part" in window
+
+
+@pytest.mark.parametrize("by", [["g"], []])
+def test_places_in_groups(spark, by):
+    """A group of two thirds of the rows, null keys, repeated rows; no window sees a whole group."""
+    rng = np.random.default_rng(11)
+    rows = [(None if g == 3 else int(g), int(x), "keep") for g, x in zip(rng.choice([1, 2, 3], 900, p=[0.67, 0.2, 0.13]), rng.integers(0, 300, 900), strict=True)]
+    df = spark.createDataFrame(rows, "g long, x long, _other string").repartition(6)
+    got = R.placed(df, by, ["x"]).collect()
+    assert len(got) == len(rows) and set(got[0].asDict()) == {"g", "x", "_other", "_place", "_rank", "_size"}
+    groups = {}
+    for r in got:
+        groups.setdefault(r["g"] if by else 0, []).append(r)
+    for held in groups.values():
+        held.sort(key=lambda r: r["_place"])
+        assert [r["_place"] for r in held] == list(range(1, len(held) + 1))
+        xs = [r["x"] for r in held]
+        assert xs == sorted(xs) and {r["_size"] for r in held} == {len(held)}
+        assert [r["_rank"] for r in held] == [xs.index(x) + 1 for x in xs]
+    assert R.placed(df.limit(0), by, ["x"]).count() == 0
