@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import halfspaces as H
 from ..operators import telemetry as T
 from ..operators.cooling import cooldown
 from ..operators.ranges import placed
@@ -44,6 +45,7 @@ _TREND = "SELECT name, event_id, count(*) OVER w AS n, covar_pop(rn, value) OVER
 register("metric_trend", lambda t: T.trend(t.metrics).where("n >= 10").select("event_id", "n", F.round("slope", 4).alias("slope"), F.round("volatility", 4).alias("volatility"), "trend"), f"SELECT event_id, n, round(slope, 4) AS slope, round(volatility, 4) AS volatility, CASE WHEN volatility > 0.2 THEN 'volatile' WHEN abs(slope) < 0.01 THEN 'stable' WHEN slope > 0 THEN 'increasing' ELSE 'decreasing' END AS trend FROM ({_TREND}) WHERE n >= 10")
 _Z = "SELECT name, event_id, 0.6745 * (value - med) / list_median(list_transform(b, lambda v: abs(v - med))) AS z FROM (SELECT *, list_median(b) AS med FROM (SELECT *, list(value) OVER (PARTITION BY name ORDER BY sec, event_id ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING) AS b FROM metrics) WHERE len(b) >= 10)"
 register("metric_anomaly", lambda t: T.anomaly(t.metrics).select("event_id", F.round("z", 4).alias("z")), f"SELECT event_id, round(z, 4) AS z FROM ({_Z})")
+register("metric_anomaly_forest", lambda t: H.anomalies(t.metrics).select("event_id", "mass", "is_anomaly"), H.anomalies_sql())
 register("alert_rules", lambda t: T.trend(t.metrics).join(t.metrics.select("event_id", "value"), "event_id").select("event_id", F.coalesce(F.when(F.col("value") > 95, "critical"), F.when(F.col("value") > 70, "warning"), F.when((F.col("n") >= 10) & (F.col("slope") > 1.0), "medium")).alias("severity")).where("severity IS NOT NULL"),
     f"SELECT event_id, CASE WHEN value > 95 THEN 'critical' WHEN value > 70 THEN 'warning' ELSE 'medium' END AS severity FROM ({_TREND}) JOIN (SELECT event_id, value FROM metrics) USING (event_id) WHERE value > 70 OR (n >= 10 AND slope > 1.0)")
 register("alert_cooldown", lambda t: cooldown(t.metrics.where("value > 90"), "name", 3600).select("name", "event_id"),
