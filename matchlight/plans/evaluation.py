@@ -109,13 +109,20 @@ register("split_train_val_test", lambda t: E.split(t.vectors, "vec_id", "label")
 
 
 def pair_generation(t):
-    own = V.against(t.vectors.selectExpr("vec_id AS id_b", "label AS lb"), t.probes.selectExpr("vec_id AS id_a", "label AS la")).where("la = lb AND id_a <> id_b").selectExpr("id_a", "id_b", "1 AS label")
-    first = t.vectors.withColumn("rn", F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))).where("rn <= 5")
-    other = first.selectExpr("vec_id AS id_a", "label AS la").join(F.broadcast(first.selectExpr("vec_id AS id_b", "label AS lb")), F.col("la") < F.col("lb"))  # five of each class
-    return own.union(other.selectExpr("id_a", "id_b", "0 AS label"))
+    """Every probe with all other rows: label 1 within a class, 0 between classes, and the first five rows of each two classes with each other."""
+    others = t.vectors.selectExpr("vec_id AS id_b", "label AS lb")
+    own = V.against(others, t.probes.selectExpr("vec_id AS id_a", "label AS la")).where("id_a <> id_b").selectExpr("id_a", "id_b", "CAST(la = lb AS INT) AS label")
+    first = placed(t.vectors.select("vec_id", "label"), ["label"], ["vec_id"]).where("_place <= 5")
+    between = first.selectExpr("vec_id AS id_a", "label AS la").join(F.broadcast(first.selectExpr("vec_id AS id_b", "label AS lb")), F.col("la") < F.col("lb"))  # five of each class
+    return own.union(between.where("id_a % 20 <> 0").selectExpr("id_a", "id_b", "0 AS label"))
 
 
-register("pair_generation", pair_generation, "SELECT id_a, id_b, 1 AS label FROM pairs WHERE same UNION ALL SELECT a.vec_id, b.vec_id, 0 FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings) a, (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings) b WHERE a.rn <= 5 AND b.rn <= 5 AND a.label < b.label")
+register(
+    "pair_generation",
+    pair_generation,
+    """WITH f AS (SELECT vec_id, label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings) WHERE rn <= 5)
+    SELECT id_a, id_b, CAST(same AS INT) AS label FROM pairs UNION ALL SELECT a.vec_id, b.vec_id, 0 FROM f a JOIN f b ON a.label < b.label WHERE a.vec_id % 20 <> 0""",
+)
 register("triplet_mining", lambda t: t.pairs.groupBy("id_a").agg(F.expr("max_by(id_b, struct(round(distance, 6), -id_b)) FILTER (WHERE same) AS positive"), F.expr("min_by(id_b, struct(round(distance, 6), id_b)) FILTER (WHERE NOT same) AS negative")),
     "SELECT id_a, first(id_b ORDER BY round(distance, 6) DESC, id_b) FILTER (same) AS positive, first(id_b ORDER BY round(distance, 6), id_b) FILTER (NOT same) AS negative FROM pairs GROUP BY 1")
 register("contrastive_loss", lambda t: t.pairs.agg(F.round(F.avg(F.expr("CASE WHEN same THEN distance * distance ELSE pow(greatest(1.5 - distance, 0D), 2) END")), 6).alias("loss")), "SELECT round(avg(CASE WHEN same THEN distance * distance ELSE pow(greatest(1.5 - distance, 0), 2) END), 6) AS loss FROM pairs")

@@ -28,8 +28,18 @@ def classified(t):
     return U.classify(rows.join(F.broadcast(means), "fold"), nearest_mean).selectExpr("fold", "id", "label = predicted AS hit")
 
 
-register("udf_statistic", lambda t: t.pairs.groupBy("label_a").agg(F.round(U.statistic(lambda x: x.mean())("score"), 5).alias("m")), "SELECT label_a, round(avg(score), 5) AS m FROM pairs GROUP BY 1")
-register("udf_similarity", lambda t: t.pairs.groupBy("label_a", "label_b").agg(F.round(U.statistic(lambda x: 1 - x.min() / x.max())("distance"), 5).alias("s")), "SELECT label_a, label_b, round(1 - min(distance) / max(distance), 5) AS s FROM pairs GROUP BY 1, 2")
+def mean_score(t):
+    parts = {"total": (lambda x: x.sum(), "sum"), "n": (lambda x: x.count(), "sum")}
+    return U.merged_statistic(t.pairs, ["label_a"], "score", parts, F.round(F.col("total") / F.col("n"), 5), "m")
+
+
+def nearness(t):
+    parts = {"least": (lambda x: x.min(), "min"), "most": (lambda x: x.max(), "max")}
+    return U.merged_statistic(t.pairs, ["label_a", "label_b"], "distance", parts, F.round(1 - F.col("least") / F.col("most"), 5), "s")
+
+
+register("udf_statistic", mean_score, "SELECT label_a, round(avg(score), 5) AS m FROM pairs GROUP BY 1")
+register("udf_similarity", nearness, "SELECT label_a, label_b, round(1 - min(distance) / max(distance), 5) AS s FROM pairs GROUP BY 1, 2")
 register(
     "udf_classifier",
     classified,
