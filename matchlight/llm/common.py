@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +50,20 @@ def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def apart(docs: DataFrame, own: set[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with its columns of the names ``own`` (in any case) named otherwise, and what gives them their names back."""
+    taken, renamed = {c.lower() for c in docs.columns} | own, {}
+    for c in docs.columns:
+        if c.lower() in own:
+            other = f"_in_{c}"
+            while other.lower() in taken:
+                other = f"_{other}"
+            taken.add(other.lower())
+            renamed[c] = other
+    back = {v: k for k, v in renamed.items()}
+    return docs.withColumnsRenamed(renamed), lambda df: df.withColumnsRenamed(back)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)`` of longs: ``(node, component)``, component = least node.
 
@@ -80,4 +95,4 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-__all__ = ["ARROW_ROWS", "BROADCAST_ROWS", "bounded_broadcast", "components", "cut", "shared_dir", "table"]
+__all__ = ["ARROW_ROWS", "BROADCAST_ROWS", "apart", "bounded_broadcast", "components", "cut", "shared_dir", "table"]

@@ -38,6 +38,8 @@ OPEN_PAGES, OPEN_SHARE = 3, 0.5
 TEXT_PAGES, TEXT_SHARE = 5, 0.8
 #: Pages of one suffix array, and pages from which an array leaves out counts below a quarter of OPEN_SHARE (it holds pages at random).
 PAGES, FEW_PAGES = 512, 128
+#: Windows (of 8 bytes) of all hosts that every task may hold; pages of a host that meet one copy of its windows beyond that.
+BROADCAST_LONGS, HOST_PAGES = 4_000_000, 4096
 FURNITURE, OPEN, TEXT = 0, 1, 2
 
 _TAG = re.compile(
@@ -324,6 +326,25 @@ def _chosen(page: str | None, weak: np.ndarray | None, strong: np.ndarray | None
     return "\n\n".join(texts)
 
 
+def _beside(pages: DataFrame, known: DataFrame) -> DataFrame:
+    """``pages`` with the windows ``known(host, weak, strong)`` of their host.
+
+    Up to ``BROADCAST_LONGS`` windows in all go to every task. Beyond that both sides meet
+    by host, a host of more than ``HOST_PAGES`` pages in so many parts, each with a copy of
+    its windows.
+    """
+    held = cut(known.withColumn("_longs", F.size("weak") + F.size("strong")), "boilerplate")
+    size = held.agg(F.coalesce(F.sum("_longs"), F.lit(0)).alias("longs")).first()["longs"]
+    held = held.drop("_longs")
+    if size <= BROADCAST_LONGS:  # a host has a window at least, so hosts are bounded with them
+        return pages.join(F.broadcast(held), "host", "left")
+    large = cut(pages.groupBy("host").count().where(F.col("count") > HOST_PAGES).select("host", F.ceil(F.col("count") / HOST_PAGES).cast("int").alias("_parts")), "hosts")
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = pages.join(bounded_broadcast(large), "host", "left").withColumn("_part", F.floor(F.rand(5) * parts).cast("int"))
+    copies = held.join(bounded_broadcast(large), "host", "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return dealt.drop("_parts").join(copies.drop("_parts"), ["host", "_part"], "left").drop("_part")
+
+
 def main_text(pages: DataFrame) -> DataFrame:
     """``(page_id, url, text, n_chars)`` for each row of ``pages(page_id, url, html)``.
 
@@ -341,5 +362,5 @@ def main_text(pages: DataFrame) -> DataFrame:
         for html, weak, strong in columns:
             yield pd.Series([_chosen(*row) for row in zip(html, weak, strong, strict=True)], dtype=object)
 
-    read = pages.join(bounded_broadcast(cut(known, "boilerplate")), "host", "left").select("page_id", "url", text_of("html", "weak", "strong").alias("text"))
+    read = _beside(pages, known).select("page_id", "url", text_of("html", "weak", "strong").alias("text"))
     return read.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))

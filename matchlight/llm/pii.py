@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import apart, cut
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # kind, start, end
@@ -316,7 +316,7 @@ def find(docs: DataFrame, field: Field) -> DataFrame:
     has none; rows are taken one by one, so repeated ids do not matter. Columns named
     ``rules`` or ``spans`` are replaced.
     """
-    docs = docs.drop("rules", "spans")
+    docs, named = apart(docs.drop("rules", "spans"), {"_f"})
     one = "array<struct<kind:string,start:int,end:int>>"
 
     @F.pandas_udf(f"struct<rules:{one},spans:{one}>")
@@ -330,7 +330,7 @@ def find(docs: DataFrame, field: Field) -> DataFrame:
                 spans.append(as_rows(r + field.label(text, r)) if text else [])
             yield pd.DataFrame({"rules": rules, "spans": spans})
 
-    return docs.withColumn("_f", found("text")).withColumn("rules", F.col("_f.rules")).withColumn("spans", F.col("_f.spans")).drop("_f")
+    return named(docs.withColumn("_f", found("text")).withColumn("rules", F.col("_f.rules")).withColumn("spans", F.col("_f.spans")).drop("_f"))
 
 
 def report(docs: DataFrame, field: Field) -> DataFrame:

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import apart, cut
 
 #: Labelled documents that the rules are learned from: those of the least crc32(doc_id).
 FIT_ROWS = 6000
@@ -59,10 +59,11 @@ def statistics(docs: DataFrame) -> DataFrame:
     """``docs`` with ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed`` and the counts that rules use.
 
     A null text is as an empty one: all counts 0, ``base_failed`` true. Columns of
-    these names in the input are replaced. Words in repeated windows are counted once
+    these names in the input are replaced, all others stay. Words in repeated windows are counted once
     each, however many windows they lie in.
     """
-    names = [c for c in docs.columns if c not in STATISTICS]
+    docs, named = apart(docs, OWN)
+    names = [c for c in docs.columns if c.lower() not in STATISTICS]
     text = F.coalesce(F.col("text"), F.lit(""))
     # one split at single spaces after the other white space has become spaces
     words = F.array_remove(F.split(F.regexp_replace(text, r"[\x09-\x0D]", " "), " "), "")
@@ -105,9 +106,10 @@ def statistics(docs: DataFrame) -> DataFrame:
     # explode of one struct: filters on the counts stay above it instead of being
     # pushed down as copies of the expressions, which would count once for each use
     out = final.select(*names, F.explode(F.array(counts)).alias("_counts")).select(*names, "_counts.*")
-    return out.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
+    return named(out.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")))
 
 
+OWN = {"_counts", "_lines", "_n_windows", "_runs", "_sorted", "_text", "_twice", "_windows", "_words"}
 STATISTICS = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_windows", "n_bangs", "n_upper", "base_failed"}
 
 
@@ -220,7 +222,7 @@ def verdict(rules: list[Rule]) -> Column:
 
 
 def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
-    """``statistics`` with ``kept``: false where ``base_failed``, else the decision list's verdict."""
+    """``statistics`` with ``kept``: false where ``base_failed``, else the decision list's verdict; an input column of that name is replaced."""
     return statistics(docs.drop("kept")).withColumn("kept", F.when(F.col("base_failed"), False).otherwise(verdict(rules)))
 
 

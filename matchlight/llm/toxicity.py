@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import apart, cut
 
 #: Labelled documents that the model is fitted on: those of the least crc32(doc_id).
 FIT_ROWS = 8000
@@ -230,7 +230,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     score of none; rows that repeat an id are scored each; an empty table gives none.
     """
     clash = [c for c in ("score", "predicted", "passages") if c in docs.columns]
-    docs = docs.drop(*clash)
+    docs, named = apart(docs.drop(*clash), {"_judged"})
     lexicon, rate, weights = model.lexicon, model.rate, model.weights
     kind = "struct<score:double,passages:array<struct<start:int,end:int,evidence:double>>>"
 
@@ -246,7 +246,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 spans.append([{"start": a, "end": b, "evidence": e} for a, b, e in found])
             yield pd.DataFrame({"score": scores, "passages": spans})
 
-    return (
+    return named(
         docs.withColumn("_judged", judged("text"))
         .withColumn("score", F.col("_judged.score")).withColumn("predicted", (F.col("_judged.score") >= 0.5).cast("int"))
         .withColumn("passages", F.col("_judged.passages")).drop("_judged")
