@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Rows from which user functions get their pieces of groups: a call costs as much as thousands of rows.
+PIECE = 250_000
 MATCHERS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {}
 
 
@@ -37,22 +39,32 @@ def merged_statistic(rows: DataFrame, keys: list[str], value: str, parts: dict[s
     """``(*keys, name)``: a statistic of each group's ``value`` from what user functions say of pieces of it.
 
     ``parts`` names functions of a piece and how their results add up: ``sum``, ``min`` or
-    ``max``; ``finish`` makes the statistic of them. Pieces are what a batch of rows holds
+    ``max``; ``finish`` makes the statistic of them. Pieces are what some ``PIECE`` rows hold
     of a group, so a group of any size is never in one call. Rows without a value are left
     out; a null key is a key like any other.
     """
     types = {f.name: f.dataType.simpleString() for f in rows.select(*keys).schema.fields}
     how = {"sum": F.sum, "min": F.min, "max": F.max}
 
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        waiting: list[pa.RecordBatch] = []
         for batch in batches:
+            waiting.append(batch)
+            if sum(b.num_rows for b in waiting) >= PIECE:
+                yield pa.Table.from_batches(waiting).combine_chunks()
+                waiting = []
+        if waiting:
+            yield pa.Table.from_batches(waiting).combine_chunks()
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in joined(batches):
             held = batch.filter(batch.column(value).is_valid())
             # whole numbers beside nulls stay whole numbers
             number = held.select(keys).to_pandas(integer_object_nulls=True).groupby(keys, dropna=False, sort=False).ngroup()
             first = pa.array(np.flatnonzero(~number.duplicated().to_numpy()))
             found = held.column(value).to_pandas().groupby(number.to_numpy(), sort=True)
             said = [pa.array(found.agg(f).astype(float).to_numpy()) for f, _ in parts.values()]
-            yield pa.RecordBatch.from_arrays([held.column(k).take(first) for k in keys] + said, names=[*keys, *parts])
+            yield pa.RecordBatch.from_arrays([held.column(k).take(first).combine_chunks() for k in keys] + said, names=[*keys, *parts])
 
     schema = ", ".join([f"`{k}` {t}" for k, t in types.items()] + [f"{n} double" for n in parts])
     met = rows.select(*keys, value).mapInArrow(pieces, schema).groupBy(*keys).agg(*[how[kind](n).alias(n) for n, (_, kind) in parts.items()])
