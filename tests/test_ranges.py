@@ -119,3 +119,20 @@ def test_places_in_groups(spark, by):
         assert xs == sorted(xs) and {r["_size"] for r in held} == {len(held)}
         assert [r["_rank"] for r in held] == [xs.index(x) + 1 for x in xs]
     assert R.placed(df.limit(0), by, ["x"]).count() == 0
+
+
+def test_numbers_hold_where_partitions_are_merged_by_size(spark):
+    """Ranges read twice were merged by their size, which differed between the rows and their counts."""
+    from matchlight.operators import catalog
+
+    conf = {"spark.sql.shuffle.partitions": "48", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        rows = spark.range(0, 6_000, 1, 8).selectExpr("6000 - id AS k", "concat_ws('-', id, repeat(uuid(), 20)) AS body")
+        got = catalog.numbered(rows, "k", 100).select("k", "new_id", "body").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(got) == 6_000 and all(r["new_id"] == 100 + r["k"] for r in got)
