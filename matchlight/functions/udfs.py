@@ -83,9 +83,34 @@ def classify(rows: DataFrame, f: Callable[[pd.DataFrame], pd.Series]) -> DataFra
 
 
 def on_tiles(pixels: DataFrame, size: int, f: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
-    """``f`` on each tile of ``size`` x ``size`` pixels, returning the tile's pixels."""
+    """``f`` on each tile of ``size`` x ``size`` pixels, returning the tile's pixels.
+
+    Tiles follow each other in their task; one that runs over a batch's end waits for the
+    next batch, so ``f`` always gets a whole tile, and a task holds a batch and a tile.
+    """
+    keys, columns = ["image_id", "ty", "tx"], ["image_id", "y", "x", "value"]
+
+    def cut(rows: pd.DataFrame) -> list[int]:
+        new = np.zeros(len(rows) - 1, bool)
+        for x, gone in ((rows[k].to_numpy(), rows[k].isna().to_numpy()) for k in keys):
+            new |= (x[1:] != x[:-1]) & ~(gone[1:] & gone[:-1])
+        return [0, *(np.flatnonzero(new) + 1).tolist()]
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            starts = cut(rows)
+            rest = rows.iloc[starts[-1] :]
+            if len(starts) > 1:
+                yield pd.concat([f(rows.iloc[i:j])[columns] for i, j in zip(starts[:-1], starts[1:], strict=True)])
+        if rest is not None:
+            yield f(rest)[columns]
+
     tiles = pixels.withColumn("ty", F.expr(f"y DIV {size}")).withColumn("tx", F.expr(f"x DIV {size}"))
-    return tiles.groupBy("image_id", "ty", "tx").applyInPandas(lambda t: f(t)[["image_id", "y", "x", "value"]], "image_id long, y int, x int, value double")
+    return tiles.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(each, "image_id long, y int, x int, value double")
 
 
 def rule(f: Callable[[pd.Series], pd.Series], message: str) -> Callable[[Column], Column]:

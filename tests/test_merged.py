@@ -31,3 +31,25 @@ def test_pieces_make_the_group(spark):
 def test_without_values(spark):
     of = lambda rows: U.merged_statistic(spark.createDataFrame(rows, SCHEMA), ["k"], "x", PARTS, F.col("n"), "v").collect()
     assert of([]) == [] and of([(1, "a", None)]) == []
+
+
+def test_tiles_are_whole_across_batches(spark):
+    import pandas as pd
+
+    from matchlight.functions import udfs
+
+    grid = spark.range(64).selectExpr("CAST(id DIV 8 AS INT) AS y", "CAST(id % 8 AS INT) AS x", "CAST(id AS DOUBLE) AS value")
+    pixels = spark.createDataFrame([(i,) for i in (1, 2, 5, None)], "image_id long").crossJoin(grid)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+    def seen(tile: pd.DataFrame) -> pd.DataFrame:
+        return tile.assign(value=float(len(tile)))
+
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        made = udfs.on_tiles(pixels, 4, seen)
+        got = made.collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(got) == 256 and {r["value"] for r in got} == {16.0} and sum(r["image_id"] is None for r in got) == 64
+    assert "FlatMapGroupsInPandas" not in made._jdf.queryExecution().executedPlan().toString()  # a call a tile to Python cost more than the tile
