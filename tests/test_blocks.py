@@ -104,3 +104,28 @@ def test_a_query_set_too_large_to_broadcast_is_dealt(spark, monkeypatch):
     monkeypatch.setattr(V, "QUERY_ROWS", 1)
     got = V.against(spark.range(7).withColumnRenamed("id", "b"), spark.range(5).withColumnRenamed("id", "a"))
     assert sorted(map(tuple, got.select("a", "b").collect())) == [(a, b) for a in range(5) for b in range(7)]
+
+
+@pytest.mark.parametrize("by_label", [False, True])
+@pytest.mark.parametrize("k", [1, 3, 20])
+def test_candidates_hold_the_nearest_without_sorting_pairs(monkeypatch, by_label, k):
+    import numpy as np
+
+    def sorts(*_, **__):
+        raise AssertionError("pairs are sorted")
+
+    monkeypatch.setattr(np, "partition", sorts)
+    rng = np.random.default_rng(3)
+    v, labels = rng.integers(0, 3, (400, 4)).astype(float), rng.integers(0, 5, 400)  # many ties and copies
+    v[7] = np.nan
+    every = B.Block(np.arange(400), labels, labels > 0, v, (v * v).sum(1))
+    asked = every.cut(0, 60)
+    i, j = B._candidates(asked, every, k, by_label)
+    found = set(zip(i.tolist(), j.tolist(), strict=True))
+    d = ((v[:60, None, :] - v[None, :, :]) ** 2).sum(2)
+    for a in range(60):
+        assert (a, a) not in found
+        for g in np.unique(every.groups()) if by_label else [None]:
+            at = [b for b in range(400) if b != a and (g is None or every.groups()[b] == g)]
+            best = sorted(at, key=lambda b: (math.inf if math.isnan(d[a, b]) else d[a, b], b))[:k]
+            assert all((a, b) in found for b in best)
