@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import blocks as B
+
 #: Rows from which user functions get their pieces of groups: a call costs as much as thousands of rows.
 PIECE = 250_000
 MATCHERS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {}
@@ -71,6 +73,36 @@ def merged_statistic(rows: DataFrame, keys: list[str], value: str, parts: dict[s
     return met.select(*keys, finish.alias(name))
 
 
+def merged_pairs(vectors: DataFrame, queries: DataFrame, keys: list[str], value: str, parts: dict[str, tuple[Callable[[pd.Series], float], str]], finish: Column, name: str) -> DataFrame:
+    """``merged_statistic`` of the pairs of queries and other rows, by ``label_a`` or both labels; ``value`` is ``score`` or ``distance``.
+
+    User functions are called in the tasks that make the values, with those of a block and a key, so a pair is never a row.
+    """
+    how = {"sum": F.sum, "min": F.min, "max": F.max}
+    # bounds of equal labels in a sorted block; all rows are one piece where the label is no key
+    cuts = lambda g, key: np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) if key in keys else np.zeros(len(g) - 1, bool), True])
+
+    def columns(a: B.Block, b: B.Block) -> list[pa.Array]:
+        a, b = (x.picked(np.argsort(x.groups(), kind="stable")) for x in (a, b))
+        x = B.rounded(B.cosine(a, b), 6) if value == "score" else np.sqrt(B.squared(a, b))
+        x[~B.others(a, b)] = np.nan
+        left, right = cuts(a.groups(), "label_a"), cuts(b.groups(), "label_b")
+        said: list[list] = []
+        for i, i_end in zip(left[:-1], left[1:], strict=True):
+            for j, j_end in zip(right[:-1], right[1:], strict=True):
+                piece = x[i:i_end, j:j_end].ravel()
+                missing = np.isnan(piece)
+                piece = pd.Series(piece[~missing] if missing.any() else piece, name=value)
+                if len(piece):
+                    labels = {"label_a": int(a.labels[i]) if a.known[i] else None, "label_b": int(b.labels[j]) if b.known[j] else None}
+                    said.append([labels[k] for k in keys] + [float(f(piece)) for f, _ in parts.values()])
+        return [pa.array([row[k] for row in said], pa.int32() if k < len(keys) else pa.float64()) for k in range(len(keys) + len(parts))]
+
+    schema = ", ".join([f"{k} int" for k in keys] + [f"{n} double" for n in parts])
+    met = B.pair_rows(vectors, queries, columns, schema).groupBy(*keys).agg(*[how[kind](n).alias(n) for n, (_, kind) in parts.items()])
+    return met.select(*keys, finish.alias(name))
+
+
 def classify(rows: DataFrame, f: Callable[[pd.DataFrame], pd.Series]) -> DataFrame:
     """``rows`` with ``predicted`` from a classifier that maps a batch of rows to labels; what it was trained on comes as columns."""
     names = rows.columns

@@ -30,12 +30,12 @@ def classified(t):
 
 def mean_score(t):
     parts = {"total": (lambda x: x.sum(), "sum"), "n": (lambda x: x.count(), "sum")}
-    return U.merged_statistic(t.pair_columns("label_a", "score"), ["label_a"], "score", parts, F.round(F.col("total") / F.col("n"), 5), "m")
+    return U.merged_pairs(t.vectors, t.probes, ["label_a"], "score", parts, F.round(F.col("total") / F.col("n"), 5), "m")
 
 
 def nearness(t):
     parts = {"least": (lambda x: x.min(), "min"), "most": (lambda x: x.max(), "max")}
-    return U.merged_statistic(t.pair_columns("label_a", "label_b", "distance"), ["label_a", "label_b"], "distance", parts, F.round(1 - F.col("least") / F.col("most"), 5), "s")
+    return U.merged_pairs(t.vectors, t.probes, ["label_a", "label_b"], "distance", parts, F.round(1 - F.col("least") / F.col("most"), 5), "s")
 
 
 register("udf_statistic", mean_score, "SELECT label_a, round(avg(score), 5) AS m FROM pairs GROUP BY 1")

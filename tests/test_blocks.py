@@ -129,3 +129,37 @@ def test_candidates_hold_the_nearest_without_sorting_pairs(monkeypatch, by_label
             at = [b for b in range(400) if b != a and (g is None or every.groups()[b] == g)]
             best = sorted(at, key=lambda b: (math.inf if math.isnan(d[a, b]) else d[a, b], b))[:k]
             assert all((a, b) in found for b in best)
+
+
+def test_aggregates_of_pairs_send_a_few_rows_a_block(spark, tables, monkeypatch):
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from matchlight.functions import udfs as U
+    from matchlight.operators import evaluation as E
+    from matchlight.plans import conclusions as K
+
+    rows, asked = tables
+    plain = [r.asDict() for r in B.pairs(rows, asked, "id_a", "id_b", "score", "same", "label_a", "label_b", "distance").collect()]
+    told = lambda want: sum(1 for r in plain if r["score"] is not None and want(r))
+    got = {r["kind"]: r["n"] for r in B.outcomes(rows, asked, 0.8).collect()}
+    assert got == {
+        "tp": told(lambda r: r["score"] >= 0.8 and r["same"] is True), "tn": told(lambda r: r["score"] < 0.8 and r["same"] is False),
+        "fp": told(lambda r: r["score"] >= 0.8 and r["same"] is False), "fn": told(lambda r: r["score"] < 0.8 and r["same"] is True),
+    }
+    assert E.rates_of_kinds(B.outcomes(rows, asked, 0.8)).collect() == E.match_rates(B.pairs(rows, asked, "score", "same"), 0.8).collect()
+    (r,) = B.contrast(rows, asked, 1.5).collect()
+    (want,) = B.pairs(rows, asked, "same", "distance").selectExpr("CASE WHEN same THEN distance * distance ELSE pow(greatest(1.5 - distance, 0D), 2) END AS x").selectExpr("sum(x) AS x", "count(x) AS n").collect()
+    assert r["n"] == want["n"] and abs(r["total"] - want["x"]) < 1e-6
+    kept = sorted(map(tuple, B.unlike(rows, asked, 0.2, "7").collect()))
+    assert kept == sorted((r["id_a"], r["id_b"], r["score"]) for r in plain if r["same"] is False and r["score"] is not None and r["score"] >= 0.2 and "7" in str(r["id_b"]))
+
+    class Given:
+        vectors, probes = rows, asked
+
+    level = lambda r: "forensic" if r["id_b"] % 4 in (0, 1) else "advanced" if r["score"] is None or r["score"] >= 0.2 else "standard" if r["score"] >= 0.05 else "basic"
+    assert {r["level"]: r["n"] for r in K.levels(Given).collect()} == pd.Series([level(r) for r in plain]).value_counts().to_dict()
+    parts = {"total": (lambda x: x.sum(), "sum"), "n": (lambda x: x.count(), "sum"), "most": (lambda x: x.max(), "max")}
+    for keys, value in ((["label_a"], "score"), (["label_a", "label_b"], "distance")):
+        both = [f(keys, value, parts, F.concat_ws(" ", F.round("total", 3), "n", F.round("most", 6)), "s").collect() for f in (lambda *x: U.merged_pairs(rows, asked, *x), lambda *x: U.merged_statistic(B.pairs(rows, asked, *x[0], x[1]), *x))]
+        assert sorted(map(str, both[0])) == sorted(map(str, both[1]))
