@@ -11,8 +11,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import blocks as B
 from ..operators import clusters as C
-from ..operators import metric as N
 from ..operators import ranges as R
 from ..operators import statistics as S
 from ..operators import validity as V
@@ -247,10 +247,12 @@ def dbscan(t, share: float = 0.9):
 
     Other points near a core point join its cluster (the least, if several); the rest is noise, -1.
     """
-    index = N.build(t.vectors)
-    far = N.nearest(index, t.vectors, _CORE - 1).where(F.col("rank") == _CORE - 1)
+    from ..operators.graph import saved
+
+    held = t.vectors.where("embedding IS NOT NULL")
+    far = saved(B.nearest(held, held, _CORE - 1).where(F.col("rank") == _CORE - 1).select("dist"), "far")
     (eps,) = S.quantiles(far, F.sqrt("dist"), [share])
-    near = N.within(index, t.vectors, eps or 0.0).select("id_a", "id_b")
+    near = B.within(held, held, eps or 0.0).select("id_a", "id_b")
     return clustered(t.vectors.select(F.col("vec_id").alias("node")), near)
 
 

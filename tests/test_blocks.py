@@ -163,3 +163,11 @@ def test_aggregates_of_pairs_send_a_few_rows_a_block(spark, tables, monkeypatch)
     for keys, value in ((["label_a"], "score"), (["label_a", "label_b"], "distance")):
         both = [f(keys, value, parts, F.concat_ws(" ", F.round("total", 3), "n", F.round("most", 6)), "s").collect() for f in (lambda *x: U.merged_pairs(rows, asked, *x), lambda *x: U.merged_statistic(B.pairs(rows, asked, *x[0], x[1]), *x))]
         assert sorted(map(str, both[0])) == sorted(map(str, both[1]))
+
+
+@pytest.mark.parametrize("radius", [0.0, 1e-6, 2.0])
+def test_rows_within_a_radius_are_all_found(tables, monkeypatch, radius):
+    monkeypatch.setattr(B, "PIECE", 5)
+    got = {(r["id_a"], r["id_b"]): r["dist"] for r in B.within(*tables, radius).collect()}
+    want = {(i, j): distance(u, v) for i, u, _ in ROWS[::5] for j, v, _ in ROWS if i != j and u is not None and v is not None and distance(u, v) <= radius}
+    assert set(got) == set(want) and all(abs(math.sqrt(got[p]) - want[p]) < 1e-12 for p in want)
