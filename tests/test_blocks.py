@@ -82,6 +82,19 @@ def test_counts_of_scores(tables):
     assert got == want
 
 
+def test_a_task_sends_its_counts_in_chunks(tables, monkeypatch):
+    sent, meet = [], B.meet
+
+    def seen(*given):
+        sent.append(meet(*given))
+        return sent[-1]
+
+    monkeypatch.setattr(B, "meet", seen)
+    monkeypatch.setattr(B, "CHUNK", 2_100_000)
+    assert B.score_counts(*tables).count() > 50
+    assert sent[0].count() <= sent[0].rdd.getNumPartitions()  # all scores of a task are one row
+
+
 def test_a_pair_is_no_row_where_the_result_has_none(spark, sf_dir):
     from matchlight.sources.tables import Tables
 
