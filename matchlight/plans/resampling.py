@@ -138,10 +138,12 @@ def permutation(t) -> DataFrame:
     """Do a probe's matches of its own label lie nearer than the others? Share of relabelings with a difference of means at least as large."""
     rows = sample(t, 2 * MATCHES)
     mean = lambda mark: F.avg(F.when(mark, F.col("x"))) - F.avg(F.when(~mark, F.col("x")))
-    real = rows.groupBy("id_a").agg(F.count_if("same").alias("own"), mean(F.col("same")).alias("real")).where("real IS NOT NULL")
-    mixed = rows.join(real, "id_a").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(REPLICATES - 1))))
-    place = F.row_number().over(Window.partitionBy("id_a", "rep").orderBy(F.expr(_DRAW), "i"))
-    tried = mixed.withColumn("mark", place <= F.col("own")).groupBy("id_a", "rep").agg(F.first("real").alias("real"), mean(F.col("mark")).alias("d"))
+    real = rows.groupBy("id_a").agg(F.count_if("same").alias("own"), mean(F.col("same")).alias("real"), F.expr("transform(sort_array(collect_list(struct(i, x))), m -> m.x) AS xs")).where("real IS NOT NULL")
+    mixed = real.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(REPLICATES - 1))))
+    order = mixed.withColumn("xs", F.expr(f"transform(sort_array(transform(xs, (x, i) -> struct({_DRAW} AS draw, i, x))), m -> m.x)"))
+    sides = order.selectExpr("id_a", "real", "filter(slice(xs, 1, int(own)), x -> x IS NOT NULL) AS l", "filter(slice(xs, int(own) + 1, size(xs)), x -> x IS NOT NULL) AS r")
+    each = lambda s: f"aggregate({s}, 0D, (t, x) -> t + x) / nullif(size({s}), 0)"
+    tried = sides.select("id_a", "real", F.expr(f"{each('l')} - {each('r')}").alias("d"))
     return tried.groupBy("id_a").agg(F.round(F.first("real"), 5).alias("difference"), F.round(F.avg(F.expr("CAST(abs(d) >= abs(real) - 1e-9 AS DOUBLE)")), 5).alias("p"))
 
 

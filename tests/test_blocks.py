@@ -184,3 +184,31 @@ def test_rows_within_a_radius_are_all_found(tables, monkeypatch, radius):
     got = {(r["id_a"], r["id_b"]): r["dist"] for r in B.within(*tables, radius).collect()}
     want = {(i, j): distance(u, v) for i, u, _ in ROWS[::5] for j, v, _ in ROWS if i != j and u is not None and v is not None and distance(u, v) <= radius}
     assert set(got) == set(want) and all(abs(math.sqrt(got[p]) - want[p]) < 1e-12 for p in want)
+
+
+def test_relabelings_are_sorted_within_a_row(spark, sf_dir):
+    from matchlight.plans.resampling import permutation
+    from matchlight.sources.tables import Tables
+
+    plan = permutation(Tables(spark, sf_dir))._jdf.queryExecution().executedPlan().toString()
+    windows = [line for line in plan.splitlines() if " Window [" in line]
+    assert "array_sort" in plan or "sort_array" in plan
+    assert windows and not any("rep#" in line for line in windows)  # no row a draw is shuffled and sorted
+
+
+def test_exact_distances_in_steps_are_those_of_a_loop(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(B, "PIECE", 7)
+    v = np.random.default_rng(2).normal(size=(40, 9))
+    a = B.Block(np.arange(40), np.zeros(40, int), np.ones(40, bool), v, (v * v).sum(1))
+    i, j = np.divmod(np.arange(1600), 40)
+    assert B.exact_at(a, i, a, j).tolist() == [distance_square(v[x], v[y]) for x, y in zip(i, j, strict=True)]
+    assert B.exact_at(a, i[:0], a, j[:0]).tolist() == []
+
+
+def distance_square(u, v):
+    total = 0.0
+    for x, y in zip(u.tolist(), v.tolist(), strict=True):
+        total += (x - y) * (x - y)
+    return total
