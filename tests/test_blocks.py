@@ -212,3 +212,20 @@ def distance_square(u, v):
     for x, y in zip(u.tolist(), v.tolist(), strict=True):
         total += (x - y) * (x - y)
     return total
+
+
+def test_confidence_of_pairs_is_made_in_the_tasks(tables):
+    made = V.pair_confidence(*tables)
+    got = {(r["id_a"], r["id_b"]): r for r in made.collect()}
+    plain = B.pairs(*tables, "id_a", "id_b", "score", "norm_a", "norm_b").collect()
+    assert len(got) == len(plain) == 13 * 62
+    for p in plain:
+        r, s = got[p["id_a"], p["id_b"]], p["score"]
+        assert r["is_match"] == (None if s is None else s >= 0.5)
+        if s is None:
+            assert r["confidence"] is None and r["quality"] == 1.0
+        else:
+            assert abs(r["confidence"] - abs(s - 0.5) * 2) < 1e-9
+            assert abs(r["quality"] - max(0.0, min(1.0, 0.7 * s + 0.3 / (1 + math.exp(10 - (p["norm_a"] + p["norm_b"]) / 2))))) <= 5.1e-7
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "rint" not in plan.lower()  # no expression over rows of pairs
