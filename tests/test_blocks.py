@@ -229,3 +229,44 @@ def test_confidence_of_pairs_is_made_in_the_tasks(tables):
             assert abs(r["quality"] - max(0.0, min(1.0, 0.7 * s + 0.3 / (1 + math.exp(10 - (p["norm_a"] + p["norm_b"]) / 2))))) <= 5.1e-7
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert "rint" not in plan.lower()  # no expression over rows of pairs
+
+
+@pytest.mark.parametrize("scale", [1e-20, 1.0, 1e10, 1e20])
+@pytest.mark.parametrize("k, by_label", [(1, True), (2, True), (3, False)])
+def test_nearest_are_kept_over_blocks(scale, k, by_label):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    v = rng.integers(0, 3, (700, 6)) + rng.integers(0, 3, (700, 6)) * 1e-9  # copies, and gaps that single precision does not tell
+    v[11], v[12], v[300] = np.nan, np.nan, 0.0
+    v, labels = v * scale, rng.integers(0, 5, 700)
+    every = B.Block(np.arange(700), labels, labels > 0, v, (v * v).sum(1))
+    asked = every.picked(np.arange(0, 700, 9))
+    kept = B._Kept(asked, k)
+    for start in (0, 90, 91, 500):
+        kept.meet(asked, every.cut(start, {0: 90, 90: 91, 91: 500, 500: 700}[start]), by_label)
+    got = {}
+    for id_a, id_b, label_a, label_b, dist in (r for columns in kept.rows(False) for r in zip(*[c.to_pylist() for c in columns], strict=True)):
+        assert label_a == (labels[id_a] or None) and label_b == (labels[id_b] or None)
+        got.setdefault((id_a, label_b if by_label else 0), []).append((math.inf if dist is None else math.sqrt(dist), id_b))
+    want = {}
+    for i in range(0, 700, 9):
+        for j in range(700):
+            if i != j:
+                d = math.inf if math.isnan(v[i, 0]) or math.isnan(v[j, 0]) else math.sqrt(distance_square(v[i], v[j]))
+                want.setdefault((i, (labels[j] or None) if by_label else 0), []).append((d, j))
+    assert {key: sorted(x) for key, x in got.items()} == {key: sorted(x)[:k] for key, x in want.items()}
+
+
+def test_blocks_met_before_leave_few_candidates():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(6_000, 64)).astype("f4").astype(float)
+    every = B.Block(np.arange(6_000), np.arange(6_000) % 10, np.ones(6_000, bool), v, (v * v).sum(1))
+    asked, kept = every.cut(0, 500), B._Kept(every.cut(0, 500), 2)
+    assert B._gaps(asked, every, single=True)[0].dtype == np.float32
+    for start in range(1_000, 5_000, 1_000):
+        kept.meet(asked, every.cut(start, start + 1_000), True)
+    i, _ = B._candidates(asked, every.cut(5_000, 6_000), 2, True, kept)
+    assert len(i) < 0.6 * 500 * 10  # two of five thousand rows in the fifth thousand: 0.4 are expected
