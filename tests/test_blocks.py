@@ -270,3 +270,25 @@ def test_blocks_met_before_leave_few_candidates():
         kept.meet(asked, every.cut(start, start + 1_000), True)
     i, _ = B._candidates(asked, every.cut(5_000, 6_000), 2, True, kept)
     assert len(i) < 0.6 * 500 * 10  # two of five thousand rows in the fifth thousand: 0.4 are expected
+
+
+def test_the_best_match_alone_is_kept_and_sent(tables, monkeypatch):
+    from matchlight.plans import vectors as P
+
+    class Given:
+        vectors, probes = tables[0].where("embedding IS NOT NULL"), tables[1]
+
+    sent, meet = [], B.meet
+
+    def seen(*given):
+        sent.append(meet(*given))
+        return sent[-1]
+
+    monkeypatch.setattr(B, "meet", seen)
+    best = P.best(Given)
+    want = {(r["id_a"], r["id_b"], r["d1"]) for r in M.nearest_two(B.pairs(Given.vectors, Given.probes, "id_a", "id_b", "label_a", "label_b", "distance")).collect()}
+    assert {(r["id_a"], r["id_b"], r["distance"]) for r in best.collect()} == want
+    from pyspark.sql import functions as F
+
+    held = sent[0].groupBy(F.spark_partition_id(), "id_a", "label_b").count()
+    assert held.agg(F.max("count")).first()[0] == 1
