@@ -292,3 +292,22 @@ def test_the_best_match_alone_is_kept_and_sent(tables, monkeypatch):
 
     held = sent[0].groupBy(F.spark_partition_id(), "id_a", "label_b").count()
     assert held.agg(F.max("count")).first()[0] == 1
+
+
+def test_mutual_best_matches_meet_once(tables, monkeypatch):
+    calls, meet = [], B.meet
+
+    def seen(*given):
+        calls.append(given)
+        return meet(*given)
+
+    monkeypatch.setattr(B, "meet", seen)
+    found = M.cross_check_of(tables[0].where("embedding IS NOT NULL"), tables[1])
+    assert len(calls) == 1
+    pairs = B.pairs(tables[0].where("embedding IS NOT NULL"), tables[1], "id_a", "id_b", "label_a", "label_b", "distance")
+    rows = lambda df: sorted(map(repr, df.select("label_a", "label_b", "id_a", "id_b", F.round("distance", 9)).collect()))
+    from pyspark.sql import functions as F
+
+    assert rows(found) == rows(M.cross_check(pairs))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastNestedLoopJoin") + plan.count("SortMergeJoin") + plan.count("ShuffledHashJoin") <= 1
