@@ -311,3 +311,38 @@ def test_mutual_best_matches_meet_once(tables, monkeypatch):
     assert rows(found) == rows(M.cross_check(pairs))
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("BroadcastNestedLoopJoin") + plan.count("SortMergeJoin") + plan.count("ShuffledHashJoin") <= 1
+
+
+@pytest.mark.parametrize("k", [1, 4, 70])
+def test_leading_rows_are_those_of_the_whole_order(tables, k):
+    got = {}
+    for r in B.leading(*tables, k).collect():
+        got.setdefault(r["id_a"], {})[r["rank"]] = r["same"], r["any"]
+    pairs = {}
+    for r in B.pairs(*tables, "id_a", "id_b", "score", "same").collect():
+        pairs.setdefault(r["id_a"], []).append((-math.inf if r["score"] is None else r["score"], r["id_b"], r["same"] is True))
+    for me, rows in pairs.items():
+        order = sorted(rows, key=lambda r: (-r[0], r[1]))
+        assert [got[me][n + 1][0] for n in range(min(k, len(order)))] == [same for _, _, same in order[:k]], me
+        assert {x[1] for x in got[me].values()} == {any(same for _, _, same in rows)}
+    assert set(got) == set(pairs)
+
+
+def test_the_farthest_of_one_label_and_the_nearest_of_another(tables):
+    got = {r["id_a"]: (r["positive"], r["negative"]) for r in B.extremes(*tables).collect()}
+    pairs = {}
+    for r in B.pairs(*tables, "id_a", "id_b", "distance", "same").collect():
+        pairs.setdefault(r["id_a"], []).append((r["same"], math.inf if r["distance"] is None else round(r["distance"], 6), r["id_b"]))
+    for me, rows in pairs.items():
+        far = min(((math.inf if d == math.inf else -d, i) for same, d, i in rows if same is True), default=(0, None))[1]
+        near = min(((d, i) for same, d, i in rows if same is False), default=(0, None))[1]
+        assert got[me] == (far, near), me
+
+
+@pytest.mark.parametrize("name", ["cmc_curve", "triplet_mining"])
+def test_pairs_are_not_sorted_or_shuffled(spark, sf_dir, name):
+    from matchlight import plans
+
+    plan = plans.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    for kind in ("score", "distance", "same"):
+        assert f"{kind}#" not in plan.split("MapInArrow")[1].split("\n")[0]  # no row a pair leaves the tasks
