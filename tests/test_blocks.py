@@ -346,3 +346,24 @@ def test_pairs_are_not_sorted_or_shuffled(spark, sf_dir, name):
     plan = plans.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     for kind in ("score", "distance", "same"):
         assert f"{kind}#" not in plan.split("MapInArrow")[1].split("\n")[0]  # no row a pair leaves the tasks
+
+
+@pytest.mark.parametrize(("most", "held"), [(0, 1), (100, 1), (100, 300)])
+def test_whole_orders(tables, monkeypatch, most, held):
+    monkeypatch.setattr(B, "WHOLE_ROWS", most)
+    monkeypatch.setattr(B, "HELD", held)
+    monkeypatch.setattr(B, "BLOCK", 16)
+    got = {}
+    for r in B.orders(*tables).collect():
+        got.setdefault(r["id_a"], {})[r["rank"]] = r["id_b"]
+    rows = {}
+    for r in B.pairs(*tables, "id_a", "id_b", "score").collect():
+        rows.setdefault(r["id_a"], []).append((math.inf if r["score"] is None else -r["score"], r["id_b"]))
+    assert got == {me: {n: i for n, (_, i) in enumerate(sorted(x), 1)} for me, x in rows.items()}
+
+
+def test_a_whole_order_shuffles_no_pairs(spark, sf_dir):
+    from matchlight import plans
+
+    plan = plans.QUERIES["sort_results"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan.split("BroadcastNestedLoopJoin")[0]
