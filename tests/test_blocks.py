@@ -367,3 +367,18 @@ def test_a_whole_order_shuffles_no_pairs(spark, sf_dir):
 
     plan = plans.QUERIES["sort_results"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "Sort" not in plan.split("BroadcastNestedLoopJoin")[0]
+
+
+def test_leading_rows_are_found_again_after_the_first_block(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(B, "BLOCK", 32)
+    rng = np.random.default_rng(8)
+    v = rng.integers(-2, 3, (300, 5)).astype(float)  # many ties, copies and rows of zeros
+    rows = spark.createDataFrame([(i, v[i].tolist(), i % 7) for i in range(300)], "vec_id long, embedding array<double>, label int").coalesce(1)
+    asked = rows.where("vec_id % 10 = 0")
+    pairs = {}
+    for r in B.pairs(rows, asked, "id_a", "id_b", "score", "same").collect():
+        pairs.setdefault(r["id_a"], []).append((math.inf if r["score"] is None else -r["score"], r["id_b"], r["same"]))
+    got = {(r["id_a"], r["rank"]): r["same"] for r in B.leading(rows, asked, 6).collect()}
+    assert got == {(me, n): x[2] for me, found in pairs.items() for n, x in enumerate(sorted(found)[:6], 1)}
